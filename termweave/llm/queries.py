@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, line_dedup, mixing, quality, simhash
+from . import bpe, chat, embedding_dedup, html_text, line_dedup, mixing, quality, simhash, substring_dedup, token_files
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,10 +18,29 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.count_repeats(_documents(spark, sf_dir))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.pack_and_read_back(_documents(spark, sf_dir), BPE_JSON)
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.measure_mix(_documents(spark, sf_dir))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.format_conversations(turns.unionByName(extra)).drop("last_start")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_tokens(_documents(spark, sf_dir), BPE_RANKS, PATTERN)
 
@@ -38,12 +57,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_documents(_documents(spark, sf_dir))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.text_lengths(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_files": op2_token_files,
     "op3_source_mix": op3_source_mix,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_text": op10_html_text,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -78,6 +106,27 @@ SELECT doc_id, size, source_size, target,
        CAST(full_times * size + CASE WHEN upto <= missing THEN size WHEN upto - there >= missing OR there = 0 THEN 0
             ELSE CAST(size AS HUGEINT) * CAST(missing - (upto - there) AS HUGEINT) // CAST(there AS HUGEINT) END AS BIGINT) AS taken
 FROM o""",
+    "op4_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, p.b FROM r JOIN p ON r.reached = p.a),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.vec_id""",
+    "op5_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+u AS (SELECT *, 24 + length(regexp_replace(role, '([<\[\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[\\])', '\1\\', 'g')) AS chars FROM t),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         CAST(sum(chars) AS BIGINT) AS formatted_chars FROM u GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     "op7_line_dedup": rf"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM x),
