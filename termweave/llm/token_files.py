@@ -37,9 +37,11 @@ from ..runtime import arrow_rows, materialize, new_path
 MAGIC = b"TWPACK01"
 BLOCK = 4096
 FILE_IDS = 8 << 20
-KEPT = 500_000
+KEPT = 600_000
 LONG_WORD = 64
-OTHER_SPACE = re.compile(r" (?:\s|$)")
+#: A space or line end that white space or the text's end follows.
+MEETING = (re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:\s|\Z)"))
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz\u00e0\u00e1\u00e2\u00e4\u00e7\u00e8\u00e9\u00ea\u00ed\u00f1\u00f3\u00f6\u00fa\u00fc\u00df")
 HEAD = struct.Struct("<8sIIQQQ")
 
 
@@ -128,13 +130,30 @@ class PackedFile:
 # --- encoding -----------------------------------------------------------------------------------------------
 
 
+class Words(dict):
+    """Ids by word; a word that isn't there gives None and is noted."""
+
+    def __init__(self, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.older, self.new = older, set()
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.older.get(word)
+        if ids is None:
+            self.new.add(word)
+        else:
+            self[word] = ids
+        return ids
+
+
 class LibraryEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each word met.
 
-    A space before a character that is no white space always begins a piece of this vocabulary's pre-tokenizer, so
-    the words between single spaces have ids of their own. New words go to the library as one text, each ended by a
-    carriage return, which stands alone between a word and a space; words with one inside, or with white space at
-    their end, go by themselves. Texts with any other space go whole.
+    At a space or line end that no white space follows, this vocabulary's pre-tokenizer begins a piece, whatever stands
+    before it. So a text is its words, each with the space or the line end before it, and each has ids of its own. New words go to the library as one text; its ids part where a token begins with a space,
+    or is the line end, as no word holds either elsewhere. A full stop or comma after a letter is a piece of its own, so
+    such a word is asked for without it. Texts with any other space or line end go whole. Words met are kept in two
+    generations of at most ``KEPT`` together.
     """
 
     def __init__(self, path: str) -> None:
@@ -143,42 +162,64 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        (self.mark,) = self.library.encode("\r", add_special_tokens=False).ids
-        self.words: dict[str, bytes] = {}
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)
+        for token, k in self.library.get_vocab().items():
+            self.begins[k] = token.startswith("\u0120")  # how byte-level vocabularies write a space
+        (line,) = self.library.encode("\n", add_special_tokens=False).ids
+        self.begins[line] = True
+        self.points = {p: self._ask([p])[0].tobytes() for p in ".,"}
+        self.words = Words({})
 
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        plain = [w for w in words if "\r" not in w and not w[-1].isspace()]
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            ids = self._ask(["".join([f" {w}\r" for w in part])])[0]
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            flat = ids.tobytes()
-            for w, x, y in zip(part, [-1, *ends[:-1]], ends, strict=True):
-                self.words[w] = flat[4 * x + 4 : 4 * y]
-        alone = list(words.difference(plain)) if len(plain) < len(words) else []
-        for w, ids in zip(alone, self._ask([" " + w for w in alone]), strict=True):
-            self.words[w] = ids.tobytes()
+    def _learn(self) -> None:
+        words, points = self.words, self.points
+        new, ended = words.new, []
+        words.new = set()
+        for w in list(new):
+            if w[-1] in points and w[-2:-1] in LETTERS:
+                new.discard(w)
+                ended.append(w)
+                if words[w[:-1]] is None:
+                    new.add(w[:-1])
+        words.new.clear()
+        asked = list(new)
+        for a in range(0, len(asked), 256):
+            part = asked[a : a + 256]
+            ids = self._ask(["".join([w if w[0] == "\n" else " " + w for w in part])])[0]
+            ends = np.flatnonzero(self.begins[ids]) * 4
+            if len(ends) != len(part):
+                raise ValueError("this vocabulary doesn't begin a piece at each space and line end")
+            flat, ends = ids.tobytes(), ends.tolist()
+            words.update(zip(part, [flat[x:y] for x, y in zip(ends, [*ends[1:], len(flat)], strict=True)], strict=True))
+        for w in ended:
+            words[w] = words[w[:-1]] + points[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        if len(self.words) > KEPT:
-            self.words.clear()
-        whole, split, new = [], [], set()
+        if len(self.words) > KEPT // 2:
+            self.words.older = {}
+            self.words = Words(self.words)
+        words = self.words
+        whole, split, found = [], [], []
         for x in texts:
             x = x or ""
-            head, rest = (x, []) if OTHER_SPACE.search(x) else (x.partition(" ")[0], x.split(" ")[1:])
-            whole.append(head)
+            rest = [x] if MEETING[0].search(x) or MEETING[1].search(x) else x.replace("\n", " \n").split(" ")
+            whole.append(rest.pop(0))
             split.append(rest)
-            new.update(set(rest).difference(self.words))
-        self._learn(new)
-        known = self.words.__getitem__
-        out = [b"".join([h.tobytes(), *map(known, rest)]) for h, rest in zip(self._ask(whole), split, strict=True)]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.words[w]
+            found.append(list(map(words.__getitem__, rest)))
+        long = [w for w in words.new if len(w) > LONG_WORD]
+        self._learn()
+        for rest, ids in zip(split, found, strict=True):
+            k = -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                ids[k] = words[rest[k]]
+        out = [h.tobytes() + b"".join(ids) for h, ids in zip(self._ask(whole), found, strict=True)]
+        for w in long:
+            words.pop(w, None)
+            words.pop(w[:-1], None)
         return out
 
 
