@@ -8,16 +8,18 @@ where every ``<``, ``[`` and backslash of the role and the text is followed by a
 or any other template that begins with ``<`` or ``[`` can therefore come from a text, and dropping the
 backslashes restores it.
 
-Conversations that begin with equal turns share those nodes of a tree. A node's path is the row of its turns' digests
-(16 bytes each): a parent's path is a prefix of its children's, so the order of paths is a depth-first order, and
-a node shared by any number of conversations is one row after a grouping. Nodes are dealt by ranges of paths
-and emitted once, in order, at global offsets. A node carries the position id of its first token (its ancestors'
-lengths) and the intervals of its ancestors, to which its tokens attend besides the earlier ones of its own.
-Tokens are code points, or the ids of a tokenizers file.
+Conversations that begin with equal turns share those nodes of a tree. A conversation's path is the row of its turns'
+digests (16 bytes each), and paths in order are a depth-first order of the tree's leaves: what a path shares with the
+one before it is emitted already, and the rest is its chunk. So every shared turn is emitted once, a chunk has one row
+of linear size, and equal conversations are one path after a grouping. Paths are dealt by ranges; a range's first path
+shares turns with the last one before it, which the driver settles from two paths for each range. A node carries the
+position id of its first token (its ancestors' lengths) and the intervals of its ancestors in the emission, those side by
+side joined, to which its tokens attend besides the earlier ones of its own. Tokens are code points, or the ids
+of a tokenizers file.
 
 Defined cases: null roles and texts are empty; equal turn numbers are ordered by role and text, null turns come first;
 rows without conv_id belong to no conversation and are left out; equal conversations share all nodes; extra
-columns are left out; an empty table gives an empty table. A conversation is one row in memory.
+columns are left out; an empty table gives empty tables. A conversation is one row in memory.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_rows, materialize
@@ -68,79 +71,185 @@ def _counter(tokenizer: str | None):
     return lambda unit: len(library.encode(unit, add_special_tokens=False).ids)
 
 
-def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, leaves)``, both tables in the shared folder.
+def _shared(a: bytes, b: bytes) -> int:
+    """How many digests two paths have in common at their beginning."""
+    k, n = 0, min(len(a), len(b)) // DIGEST
+    while k < n and a[k * DIGEST : (k + 1) * DIGEST] == b[k * DIGEST : (k + 1) * DIGEST]:
+        k += 1
+    return k
 
-    nodes: ``path, depth, unit, n_tokens, start`` (offset in the depth-first emission), ``position`` (id of the first
-    token) and ``attends`` (ancestors' ``(start, stop)`` in order). leaves: ``conv_id, path``.
+
+def _ends(tokens: list[int], first: int) -> list[int]:
+    """Where each unit begins, from ``first`` on."""
+    return [first, *(first + x for x in accumulate(tokens))][: len(tokens)]
+
+
+def joined(starts: list[int], tokens: list[int]) -> list[dict[str, int]]:
+    """Intervals in order, with those side by side as one."""
+    out: list[dict[str, int]] = []
+    for s, n in zip(starts, tokens, strict=True):
+        if out and out[-1]["stop"] == s:
+            out[-1]["stop"] = s + n
+        else:
+            out.append({"start": s, "stop": s + n})
+    return out
+
+
+_SPANS = "array<struct<start: bigint, stop: bigint>>"
+
+
+def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(chunks, leaves, conversations)``, all tables in the shared folder.
+
+    chunks: ``chunk`` (its offset in the depth-first emission), ``units`` and their ``tokens``, ``depth`` and
+    ``position`` of the first unit, and ``attends``, the intervals of the ancestors of that unit. leaves: ``leaf``
+    and ``parts``, the (chunk, first unit, units) that make up its path in order. conversations: ``conv_id, leaf``.
     """
-    arrow_rows(turns.sparkSession, 1024)
+    spark = turns.sparkSession
+    arrow_rows(spark, 256)
     rows = turns.where(F.col(conv_id).isNotNull()).select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("t"))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out_path, units = [], []
-            for conv in b.column(1).to_pylist():
-                made = [format_turn(t["role"], t["text"]) for t in conv]
-                units.append(made)
-                out_path.append(b"".join(hashlib.blake2b(u.encode(), digest_size=DIGEST).digest() for u in made))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out_path, pa.binary()), pa.array(units, pa.list_(pa.string()))], ["conv_id", "path", "units"])
+            units = [[format_turn(t["role"], t["text"]) for t in conv] for conv in b.column(1).to_pylist()]
+            found = [b"".join(hashlib.blake2b(u.encode(), digest_size=DIGEST).digest() for u in x) for x in units]
+            leaf = [hashlib.blake2b(x, digest_size=DIGEST).digest() for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(leaf, pa.binary()), pa.array(found, pa.binary()), pa.array(units, pa.list_(pa.string()))], ["conv_id", "leaf", "path", "units"])
 
     kind = convs.schema["conv_id"].dataType.simpleString()
-    leaves = materialize(convs.mapInArrow(paths, f"conv_id {kind}, path binary, units array<string>"), "chat-leaves")
-    prefix = F.expr(f"substring(path, 1, (at + 1) * {DIGEST})")
-    nodes = leaves.select("path", F.posexplode("units").alias("at", "unit")).select(prefix.alias("path"), "unit").groupBy("path").agg(F.first("unit").alias("unit"))
+    formatted = materialize(convs.mapInArrow(paths, f"conv_id {kind}, leaf binary, path binary, units array<string>"), "chat-formatted")
+    different = formatted.groupBy("path").agg(F.first("leaf").alias("leaf"), F.first("units").alias("units"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, offset, count = TaskContext.get().partitionId(), 0, _counter(tokenizer)
+        """Each path against the one before it in its range; offsets count from the range's beginning."""
+        part, count = TaskContext.get().partitionId(), _counter(tokenizer)
+        last, seq, offset, least = b"", 0, 0, 0
+        starts: list[int] = []
+        owners: list[int] = []
         for b in batches:
-            lengths = [count(u) for u in b.column(1).to_pylist()]
-            starts = []
-            for n in lengths:
-                starts.append(offset)
-                offset += n
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lengths, pa.int64()), pa.array(starts, pa.int64()), pa.array([part] * len(lengths), pa.int32())], ["path", "unit", "n_tokens", "local", "part"])
-
-    ordered = nodes.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(emit, "path binary, unit string, n_tokens long, local long, part int")
+            out = []
+            for path, leaf, units in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                same = _shared(last, path) if seq else 0
+                least = min(least, same) if seq else len(units)
+                tokens = [count(u) for u in units]
+                starts = starts[:same] + _ends(tokens[same:], offset)
+                owners = owners[:same] + [offset] * (len(units) - same)
+                out.append({"part": part, "seq": seq, "path": path, "leaf": leaf, "units": units, "tokens": tokens, "same": same, "least": least, "starts": starts, "owners": owners})
+                offset += sum(tokens[same:])
+                last, seq = path, seq + 1
+            if out:
+                yield pa.RecordBatch.from_pylist(out, emitted_schema)
+
+    ints = pa.list_(pa.int64())
+    emitted_schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.binary()), ("leaf", pa.binary()), ("units", pa.list_(pa.string())), ("tokens", ints), ("same", pa.int64()), ("least", pa.int64()), ("starts", ints), ("owners", ints)])
+    ordered = different.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(emit, "part long, seq long, path binary, leaf binary, units array<string>, tokens array<long>, same long, least long, starts array<long>, owners array<long>")
     emitted = materialize(ordered, "chat-emitted")
-    sums = emitted.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per partition
-    firsts = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    placed = materialize(emitted.join(F.broadcast(firsts), "part").select("path", (F.length("path") / DIGEST).cast("int").alias("depth"), "unit", "n_tokens", (F.col("first") + F.col("local")).alias("start")), "chat-placed")
-    spans = materialize(placed.select(F.col("path").alias("above"), "start", (F.col("start") + F.col("n_tokens")).alias("stop")), "chat-spans")
-    asked = placed.where("depth > 1").select("path", F.explode(F.expr("sequence(1, depth - 1)")).alias("d")).select("path", F.expr(f"substring(path, 1, d * {DIGEST})").alias("above"))
-    above = asked.join(spans, "above").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("attends"), F.sum(F.col("stop") - F.col("start")).alias("position"))
-    full = placed.join(above, "path", "left").select("path", "depth", "unit", "n_tokens", "start", F.coalesce("position", F.lit(0)).alias("position"), F.coalesce("attends", F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)")).alias("attends"))
-    return materialize(full, "chat-nodes"), leaves.select("conv_id", "path")
-
+    inherited = _settle(emitted)
 
-def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, last_start``, from the nodes alone.
-
-    A path is read once, for however many conversations end in it.
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Global offsets, and the first paths of ranges without what they inherit."""
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                above = inherited[r["part"]]
+                same, starts, owners = above.apply(r)
+                tokens, units = r["tokens"], r["units"]
+                parts: list[dict[str, int]] = []
+                for k, owner in enumerate(owners):
+                    if parts and parts[-1]["chunk"] == owner:
+                        parts[-1]["n"] += 1
+                    else:
+                        # a chunk's units are consecutive depths; its first is where this path meets it
+                        parts.append({"chunk": owner, "at": starts[k], "n": 1})
+                out.append({"leaf": r["leaf"], "chunk": starts[same], "units": units[same:], "tokens": tokens[same:], "depth": same + 1, "position": sum(tokens[:same]), "attends": joined(starts[:same], tokens[:same]), "parts": parts})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, placed_schema)
+
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    parts_kind = pa.list_(pa.struct([("chunk", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))
+    placed_schema = pa.schema([("leaf", pa.binary()), ("chunk", pa.int64()), ("units", pa.list_(pa.string())), ("tokens", ints), ("depth", pa.int64()), ("position", pa.int64()), ("attends", spans), ("parts", parts_kind)])
+    placed = materialize(emitted.select("part", "seq", "leaf", "units", "tokens", "same", "least", "starts", "owners").mapInArrow(place, f"leaf binary, chunk long, units array<string>, tokens array<long>, depth long, position long, attends {_SPANS}, parts array<struct<chunk: bigint, at: bigint, n: bigint>>"), "chat-tree")
+    return placed.drop("leaf", "parts"), placed.select("leaf", "parts"), formatted.select("conv_id", "leaf")
+
+
+class _Inherited:
+    """What a range of paths takes over from the ranges before it."""
+
+    def __init__(self, first: int, shared: int, taken: int, starts: list[int], owners: list[int]) -> None:
+        self.first, self.shared, self.taken, self.starts, self.owners = first, shared, taken, starts, owners
+
+    def apply(self, r) -> tuple[int, list[int], list[int]]:
+        """Emitted depths, starts and owners of a path, in global offsets."""
+        held = min(r["least"], self.shared)
+        move = self.first - self.taken
+        first_owner = self.first if self.shared else None  # the first path's chunk begins after what it inherits
+        starts = self.starts[:held] + [x + move for x in r["starts"][held:]]
+        owners = self.owners[:held] + [first_owner if first_owner is not None and x == 0 else x + move for x in r["owners"][held:]]
+        return (self.shared if r["seq"] == 0 else r["same"]), starts, owners
+
+
+def _settle(emitted: DataFrame) -> dict[int, _Inherited]:
+    """For each range its offset and what its first path inherits: two rows a range on the driver."""
+    ends = emitted.groupBy("part").agg(
+        F.min_by(F.struct("path", "tokens"), "seq").alias("low"),
+        F.max_by(F.struct("path", "tokens", "same", "least", "starts", "owners", "seq"), "seq").alias("high"),
+    )
+    out: dict[int, _Inherited] = {}
+    last, starts, owners, offset = b"", [], [], 0
+    for r in sorted(ends.collect(), key=lambda r: r["part"]):
+        shared = _shared(last, bytes(r["low"]["path"]))
+        taken = sum(r["low"]["tokens"][:shared])
+        out[r["part"]] = own = _Inherited(offset, shared, taken, starts[:shared], owners[:shared])
+        _, starts, owners = own.apply(r["high"])
+        last = bytes(r["high"]["path"])
+        offset = starts[-1] + r["high"]["tokens"][-1]  # the last path's chunk ends the range
+    return out
+
+
+def list_nodes(chunks: DataFrame) -> DataFrame:
+    """One row per node in the emission: ``start, n_tokens, depth, position, attends, unit``."""
+    begun = F.expr("aggregate(slice(tokens, 1, k), 0L, (a, x) -> a + x)")
+    own = F.expr("array(named_struct('start', chunk, 'stop', chunk + before))")
+    nodes = chunks.select("*", F.posexplode("units").alias("k", "unit")).withColumn("before", begun)
+    joins = F.expr("k > 0 and size(attends) > 0 and element_at(attends, -1).stop = chunk")
+    attends = (
+        F.when(F.col("k") == 0, F.col("attends"))
+        .when(joins, F.concat(F.expr("slice(attends, 1, size(attends) - 1)"), F.expr("array(named_struct('start', element_at(attends, -1).start, 'stop', chunk + before))")))
+        .otherwise(F.concat("attends", own))
+    )
+    return nodes.select((F.col("chunk") + F.col("before")).alias("start"), F.expr("tokens[k]").alias("n_tokens"), (F.col("depth") + F.col("k")).alias("depth"), (F.col("position") + F.col("before")).alias("position"), attends.alias("attends"), "unit")
+
+
+def read_back(chunks: DataFrame, leaves: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, from the emitted chunks alone.
+
+    A path is read once, for however many conversations end in it, and of a chunk only the units on the path.
     """
-    ends = leaves.select("path").distinct()
-    wanted = ends.select("path", F.explode(F.expr(f"sequence(1, cast(length(path) / {DIGEST} as int))")).alias("d")).select(F.col("path").alias("leaf"), "d", F.expr(f"substring(path, 1, d * {DIGEST})").alias("path"))
-    wanted = materialize(wanted, "chat-wanted")
-    texts = materialize(nodes.select("path", "unit", "start"), "chat-texts")
-    read = wanted.join(texts, "path").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("d", "unit", "start"))).alias("units"))
+    wanted = materialize(leaves.select("leaf", F.posexplode("parts").alias("p", "part")).select("leaf", "p", "part.chunk", "part.at", "part.n"), "chat-wanted")
+    texts = materialize(chunks.select("chunk", "units", "tokens"), "chat-chunks")
+    begins = F.expr("transform(sequence(0, size(tokens) - 1), k -> chunk + aggregate(slice(tokens, 1, k), 0L, (a, x) -> a + x))")
+    whole = (F.col("at") == F.col("chunk"))
+    first = F.when(whole, F.lit(1)).otherwise(F.array_position(begins, F.col("at")).cast("int"))
+    read = wanted.join(texts, "chunk").select("leaf", "p", F.slice("units", first, F.col("n").cast("int")).alias("units"))
+    paths = read.groupBy("leaf").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("p", "units"))), lambda x: x["units"])).alias("units"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for leaf, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                turns = [parse_turn(u["unit"]) for u in units]
+                turns = [parse_turn(u) for u in units]
                 loss = "".join(t for r, t in turns if r == LOSS_ROLE)
                 rows.append({
                     "leaf": leaf, "n_turns": len(turns), "turns_sha256": hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
-                    "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(), "formatted_chars": sum(len(u["unit"]) for u in units), "last_start": units[-1]["start"],
+                    "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(), "formatted_chars": sum(map(len, units)),
                 })
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
-    columns = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, last_start long"
-    read = materialize(read.mapInArrow(digest, f"leaf binary, {columns}"), "chat-read")
-    return leaves.join(read, leaves.path == read.leaf).select("conv_id", *(c.split()[0] for c in columns.split(", ")))
+    columns = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    read = materialize(paths.mapInArrow(digest, f"leaf binary, {columns}"), "chat-read")
+    return conversations.join(read, "leaf").select("conv_id", *(c.split()[0] for c in columns.split(", ")))
 
 
 def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return chat.format_conversations(turns.unionByName(extra)).drop("last_start")
+    return chat.format_conversations(turns.unionByName(extra))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers as P
 from hypothesis import given
@@ -36,37 +37,62 @@ def test_escape_is_reversible_and_leaves_no_control_string(text, role):
 
 def test_rows_equal_brute_force(spark):
     turns = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
-    got = chat.format_conversations(turns.drop("none")).drop("last_start").collect()
+    got = chat.format_conversations(turns).collect()
     assert sorted(map(tuple, got)) == brute(ROWS)
     assert chat.format_conversations(turns.limit(0)).count() == 0
     clash = turns.selectExpr("*", "'x' as path", "1 as unit", "2 as start")
     assert chat.format_conversations(clash).count() == 5
 
 
-def check_tree(rows, starts_with):
-    rows = sorted(rows, key=lambda r: r["start"])
-    at, by = 0, {bytes(r["path"]): r for r in rows}
-    assert len(by) == len(rows)
-    last = b""
-    for r in rows:
-        path = bytes(r["path"])
+def check_tree(chunks, turns):
+    """Every different path's nodes once, depth first, with positions and ancestors as a walk over the tree gives them."""
+    paths = {}
+    for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+        paths.setdefault(r["conv_id"], []).append(chat.format_turn(r["role"], r["text"]))
+    prefixes = {tuple(p[:k]) for p in paths.values() for k in range(1, len(p) + 1)}
+    nodes = sorted(chat.list_nodes(chunks).collect(), key=lambda r: r["start"])
+    assert len(nodes) == len(prefixes)
+    at, stack, seen = 0, [], set()
+    for r in nodes:
         assert r["start"] == at
         at += r["n_tokens"]
-        above = [by[path[: k * chat.DIGEST]] for k in range(1, r["depth"])]
-        assert [(a["start"], a["stop"]) for a in r["attends"]] == [(x["start"], x["start"] + x["n_tokens"]) for x in above]
-        assert r["position"] == sum(x["n_tokens"] for x in above)
-        assert path[: -chat.DIGEST] == last[: len(path) - chat.DIGEST]  # depth first: the parent is on the last path
-        last = path
-    assert at == starts_with
+        stack = stack[: r["depth"] - 1]
+        assert len(stack) == r["depth"] - 1 and r["position"] == sum(x["n_tokens"] for x in stack)
+        above = [t for x in stack for t in range(x["start"], x["start"] + x["n_tokens"])]
+        assert [t for a in r["attends"] for t in range(a["start"], a["stop"])] == above
+        stack.append(r)
+        path = tuple(x["unit"] for x in stack)
+        assert path in prefixes and path not in seen
+        seen.add(path)
 
 
 def test_shared_turns_are_emitted_once_in_depth_first_order(spark, sf_dir):
     turns = spark.createDataFrame(ROWS[:9], "conv_id long, turn long, role string, text string")
-    nodes = chat.build_tree(turns)[0].collect()
-    assert len(nodes) == 4
-    check_tree(nodes, sum(len(r["unit"]) for r in nodes))
-    real = chat.build_tree(spark.read.parquet(f"{sf_dir}/conversations.parquet"))[0].collect()
-    check_tree(real, sum(len(r["unit"]) for r in real))
-    ids = chat.build_tree(turns, tokenizer=P.path("byte_bpe_50k.json"))[0].collect()
-    check_tree(ids, sum(r["n_tokens"] for r in ids))
-    assert all(0 < r["n_tokens"] < len(r["unit"]) for r in ids)
+    chunks = chat.build_tree(turns)[0]
+    assert chunks.count() == 2
+    check_tree(chunks, turns.collect())
+    real = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    check_tree(chat.build_tree(real)[0], real.collect())
+    ids = chat.build_tree(turns, tokenizer=P.path("byte_bpe_50k.json"))[0]
+    check_tree(ids, turns.collect())
+    assert all(0 < n < len(u) for r in ids.collect() for n, u in zip(r["tokens"], r["units"], strict=True))
+
+
+def test_one_tree_over_many_ranges(spark):
+    rnd = random.Random(6)
+    rows = []
+    for c in range(300):
+        for k in range(rnd.randint(1, 7)):
+            rows.append((c, k, "user" if k % 2 == 0 else "assistant", "same" if k < 2 else rnd.choice("abc")))
+    rows += [(1000 + c, k, "user", f"deep {min(k, 90 + c)}") for c in range(3) for k in range(120)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks, leaves, convs = chat.build_tree(turns)
+        check_tree(chunks, turns.collect())
+        assert sorted(map(tuple, chat.read_back(chunks, leaves, convs).collect())) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
