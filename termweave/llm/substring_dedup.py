@@ -13,9 +13,11 @@ Two kinds of paragraph are compared, both as word sequences (words end at ASCII
 Of each component, and of each window, the first occurrence by (doc_id, place) stays and the others are removals. A
 line or window that only repeats its own document is cut with ``within=True`` alone.
 
-Equal paragraphs are one class before any pairing. In a bucket all members are verified against the smallest; after
-components, only buckets that still hold several components go on, and there only pairs across components do. So no
-link between different components is lost, and a group of near-copies costs its size and not its square.
+Equal paragraphs are one class before any pairing. In a bucket all members are verified against the most frequent; after
+components, only buckets that still hold several components go on, and there only pairs across components do. Before
+whole sets are fetched, a pair has to pass a bound that no link fails: a 256-bit parity sketch shows at least how many
+shingles two sets have apart. So no link between different components is lost, and a group of near-copies
+gives as many pairs as it has members.
 
 Defined cases: null and empty texts have no paragraph; rows that repeat a doc_id are that document again and no
 repeats of each other; rows without doc_id are neither compared nor changed; paragraph ids are 64-bit hashes, of
@@ -117,6 +119,20 @@ def paragraph_id(shingles_in_order: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh64_digest(shingles_in_order.tobytes()), ">i8")[0])
 
 
+SKETCH = 4
+
+
+def parity_sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """``SKETCH`` words of bits for each set of different hashes: a bit is the parity of the hashes that fall on it.
+
+    The sketches of A and B differ in at most as many bits as A and B have hashes apart.
+    """
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
+    flat = np.concatenate(sets)
+    bit, word = np.uint64(1) << (flat & np.uint64(63)), flat >> np.uint64(6) & np.uint64(SKETCH - 1)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), starts) for k in range(SKETCH)], axis=1)
+
+
 def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     """One key for each set and band."""
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
@@ -131,14 +147,21 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
-    """(kind, doc_id, at, n, h, bands): what a pass over the texts gives.
+    """(kind, doc_id, at, n, h, size, sketch, bands): what a pass over the texts gives.
 
     kind 0 a line and 1 a window, at their first place in their document; 2 a document of n words; 3 a line and
     4 a window that repeat an earlier place of their own document.
     """
 
-    def batch(kind: int, ids, at, n, h, keys=None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), keys if keys is not None else pa.nulls(len(ids), pa.list_(pa.int64()))], ["kind", "doc_id", "at", "n", "h", "bands"])
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).reshape(-1)))
+
+    def batch(kind: int, ids, at, n, h, sets=None) -> pa.RecordBatch:
+        none = pa.nulls(len(ids), pa.list_(pa.int64()))
+        more = [pa.nulls(len(ids), pa.int32()), none, none]
+        if sets:
+            more = [pa.array(list(map(len, sets)), pa.int32()), lists(parity_sketch(sets)), lists(band_keys(sets, bands, rows))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), *more], ["kind", "doc_id", "at", "n", "h", "size", "sketch", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,7 +178,7 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
                         column.append(x)
                     if h not in seen:
                         seen.add(h)
-                        sets.append(grams)
+                        sets.append(np.unique(grams))
                 if len(lines.words) >= WINDOW:
                     at = anchors(lines.hashes)
                     at = at[at <= len(lines.words) - WINDOW]
@@ -166,8 +189,7 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
                         column.append(x)
             yield batch(2, ids, [0] * len(ids), doc_n, [0] * len(ids))
             if sets:
-                keys = band_keys(sets, bands, rows).view(np.int64)
-                yield batch(0, *new, pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1))))
+                yield batch(0, *new, sets)
             if again[0]:
                 yield batch(3, *again)
             if windows[0]:
@@ -176,7 +198,7 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
                 if not first.all():
                     yield batch(4, i[~first], at[~first], np.full((~first).sum(), WINDOW), h[~first])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, at long, n long, h long, bands array<long>")
+    return docs.mapInArrow(run, "kind int, doc_id long, at long, n long, h long, size int, sketch array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -209,6 +231,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     return materialize(found.join(wanted, ["doc_id", "at"]).select("id", "set").dropDuplicates(["id"]), "passage-sets")
 
 
+def _may_link(threshold: float):
+    """Whether sets a and b can be similar enough: sizes, and a lower bound on the hashes they have apart.
+
+    Jaccard >= t means |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|), and sketches differ in no more bits than that.
+    """
+    apart = sum(F.bit_count(F.col("a_sketch")[k].bitwiseXOR(F.col("b_sketch")[k])) for k in range(SKETCH))
+    small, large = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    return (small >= threshold * large - 1e-9) & (apart <= (1 - threshold) / (1 + threshold) * (small + large) + 1e-9)
+
+
+def _side(frame: DataFrame, name: str, *others: str) -> DataFrame:
+    return frame.select(*others, F.col("id").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity reaches the threshold."""
     left = materialize(pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b"), "passage-half")
@@ -218,25 +254,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.withColumn("common", common).where(F.col("common") >= threshold * whole - 1e-9).select("a", "b")
 
 
+def _checked(docs: DataFrame, pairs: DataFrame, known: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """The pairs that link, by the whole shingle sets of the paragraphs in them."""
+    named = pairs.select(F.col("a").alias("id")).distinct().unionAll(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+    wanted = materialize(known.select("id", "doc_id", "at").join(named, "id", "left_semi"), "passage-wanted")
+    return _verify(pairs, _sets(docs, wanted, min_words), threshold)
+
+
 def _similar_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, min_words: int, threshold: float) -> DataFrame:
     """(id, component) of paragraphs with links."""
     keyed = lines.select(F.col("h").alias("id"), F.explode("bands").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("key", "a"), "passage-buckets")
+    shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("key"), "passage-buckets")
     small = shared.count() <= HELD_KEYS
-    members = materialize(keyed.join(F.broadcast(shared) if small else shared, "key").select("key", "a", "id").distinct(), "passage-members")
+    members = materialize(keyed.join(F.broadcast(shared) if small else shared, "key").groupBy("key", "id").agg(F.count("*").alias("times")), "passage-members")
+    centre = materialize(members.groupBy("key").agg(F.max(F.struct("times", "id"))["id"].alias("a")), "passage-centres")
     ids = materialize(members.select("id").distinct().join(classes, F.col("id") == F.col("h")).select("id", F.col("low").alias("doc_id")), "passage-ids")
-    wanted = materialize(lines.select("doc_id", "at", F.col("h").alias("id")).join(ids, ["id", "doc_id"]).distinct(), "passage-wanted")
-    sets = _sets(docs, wanted, min_words)
-    tried = materialize(members.where("a != id").select("a", F.col("id").alias("b")).distinct(), "passage-pairs")
-    links = materialize(_verify(tried, sets, threshold), "passage-links")
+    known = materialize(lines.select("doc_id", "at", F.col("h").alias("id"), "size", "sketch").join(ids, ["id", "doc_id"]).dropDuplicates(["id"]), "passage-known")
+
+    # each member of a bucket against the one found most often, which its variants are likely to come from
+    star = materialize(members.join(centre, "key").where("a != id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "passage-star")
+    half = materialize(star.join(_side(known, "b"), "b"), "passage-star-b")
+    tried = materialize(half.join(_side(known, "a"), "a").where(_may_link(threshold)).select("a", "b"), "passage-pairs")
+    links = materialize(_checked(docs, tried, known, min_words, threshold), "passage-links")
     reached = materialize(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "passage-components")
-    # buckets that still hold several components
-    known = materialize(members.join(reached, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "passage-known")
-    open_ = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    rest = materialize(known.join(materialize(open_, "passage-open"), "key", "left_semi"), "passage-rest")
-    other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("c"))
-    across = rest.select("key", F.col("id").alias("a"), "component").join(other, "key").where("component < c").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(_verify(materialize(across.join(tried, ["a", "b"], "left_anti"), "passage-across"), sets, threshold), "passage-more")
+
+    # buckets that still hold several components: pairs across them that may link
+    held = materialize(members.join(reached, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "passage-held")
+    open_ = materialize(held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "passage-open")
+    rest = materialize(held.join(open_, "key", "left_semi").join(known.select("id", "size", "sketch"), "id"), "passage-rest")
+    left, right = _side(rest, "a", "key", F.col("component").alias("c")), _side(rest, "b", "key", F.col("component").alias("d"))
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("c") < F.col("d")) & _may_link(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = materialize(_checked(docs, materialize(across.join(tried, ["a", "b"], "left_anti"), "passage-across"), known, min_words, threshold), "passage-more")
     if more.isEmpty():
         return reached
     return materialize(connected_components(links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "passage-components")
@@ -251,7 +299,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bands, rows = tune_bands(threshold, recall)
     scan = materialize(_scan(docs, min_words, bands, rows), "passages")
-    lines = scan.where("kind = 0").select("doc_id", "at", "n", "h", "bands")
+    lines = scan.where("kind = 0").select("doc_id", "at", "n", "h", "size", "sketch", "bands")
     classes = materialize(lines.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "passage-classes")
     reached = _similar_lines(docs, lines, classes, min_words, threshold)
 

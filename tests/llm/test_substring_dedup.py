@@ -63,6 +63,18 @@ def test_anchors_follow_the_passage_and_not_its_place():
     assert len(sd.anchors(np.zeros(500, np.uint64))) == 499
 
 
+def test_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], rng.integers(0, 2**64, k, dtype=np.uint64)])) for k in range(40)]
+    sketch = sd.parity_sketch(sets)
+    for a in range(40):
+        for b in range(40):
+            apart = len(np.setxor1d(sets[a], sets[b]))
+            seen = int(np.bitwise_count(sketch[a] ^ sketch[b]).sum())
+            assert seen <= apart and (seen - apart) % 2 == 0
+
+
 def test_lines_equal_brute_force(spark, sf_dir):
     rnd = random.Random(3)
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
