@@ -1,0 +1 @@
+"""Streaming: nothing to match here, so nothing is offered."""
