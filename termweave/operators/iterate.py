@@ -81,30 +81,77 @@ def personalized_pagerank(edges: DataFrame, jump: float = 0.2, steps: int = 20,
 
 
 DENSE_VERTICES = 2_000
+BATCH_RECORDS = 200
 
 
-def record_pagerank(edges: DataFrame, jump: float = 0.2, steps: int = 20) -> DataFrame:
-    """``personalized_pagerank`` per ``record_id``: dense matrices for records of at most ``DENSE_VERTICES`` edges' ends, the sparse form for others."""
+def _walks(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, jump: float, steps: int) -> np.ndarray:
+    """Row s: the walk that restarts at s, over row-normalised weights."""
+    m = np.zeros((n, n))
+    np.add.at(m, (src, dst), weight)
+    rows = m.sum(1, keepdims=True)
+    m = np.divide(m, rows, out=np.zeros_like(m), where=rows > 0)
+    w = np.eye(n)
+    for _ in range(steps):
+        w = (1 - jump) * w @ m + jump * np.eye(n)
+    return w
+
+
+def _split_by_size(edges: DataFrame) -> DataFrame:
+    """``record_id`` of the records whose graphs are too large for a dense matrix."""
     sized = edges.groupBy("record_id").agg(F.count_distinct("src").alias("n"))
-    large = materialize(sized.where(F.col("n") > DENSE_VERTICES).select("record_id"), "ppr-large")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, at = np.unique(np.concatenate([pdf["src"], pdf["dst"]]).astype(object), return_inverse=True)
-        n, k = len(names), len(pdf)
-        m = np.zeros((n, n))
-        np.add.at(m, (at[:k], at[k:]), pdf["weight"].to_numpy())
-        rows = m.sum(1, keepdims=True)
-        m = np.divide(m, rows, out=np.zeros_like(m), where=rows > 0)
-        w = np.eye(n)
-        for _ in range(steps):
-            w = (1 - jump) * w @ m + jump * np.eye(n)
-        return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "source": np.repeat(names, n), "vertex": np.tile(names, n), "v": w.reshape(-1)}).query("v > 0")
-
-    kind = edges.schema["record_id"].dataType.simpleString()
-    dense = edges.join(large, "record_id", "left_anti").groupBy("record_id").applyInPandas(walk, f"record_id {kind}, source string, vertex string, v double")
+    return materialize(sized.where(F.col("n") > DENSE_VERTICES).select("record_id"), "large-records")
+
+
+def _dense_record(vertices: pd.DataFrame, edges: pd.DataFrame, jump: float, steps: int, rounds: int) -> pd.DataFrame:
+    """``personalized_pagerank`` and ``coherence_rank`` of one record."""
+    names = sorted({*vertices["entity"], *edges["src"], *edges["dst"]})
+    at = {x: k for k, x in enumerate(names)}
+    pr = _walks(edges["src"].map(at).to_numpy(int), edges["dst"].map(at).to_numpy(int), edges["weight"].to_numpy(float), len(names), jump, steps)
+    linked = np.zeros(len(names), bool)
+    linked[[at[x] for x in {*edges["src"], *edges["dst"]}]] = True
+    pr[~linked] = 0  # as a vertex without edges has no walk
+    reached = np.maximum((pr > 0).sum(0), 1)
+    mean = pr.sum(0) / reached
+    v = vertices.sort_values(["mention", "entity"])
+    entity, mention, score = v["entity"].map(at).to_numpy(int), pd.factorize(v["mention"])[0], v["score"].to_numpy(float)
+    other = mention[:, None] != mention[None, :]
+    pull = pr[np.ix_(entity, entity)] * score[:, None] * other
+    voters, last = np.ones(len(v), bool), None
+    for _ in range(rounds):
+        total = pull[voters].sum(0) + mean[entity] * score
+        order = np.lexsort((np.arange(len(v)), -total, mention))
+        won = order[np.r_[True, mention[order][1:] != mention[order][:-1]]]
+        if last is not None and (won == last).all():
+            break
+        last = won
+        voters = np.zeros(len(v), bool)
+        voters[won] = True
+    best = v.iloc[won]
+    return pd.DataFrame({"record_id": best["record_id"], "mention": best["mention"], "entity": best["entity"], "score": total[won]})
+
+
+def collective_rank(vertices: DataFrame, edges: DataFrame, jump: float = 0.2, steps: int = 20, rounds: int = 100) -> DataFrame:
+    """``record_id, mention, entity, score`` of ``candidate_graph``: walks, then coherence to a fixpoint, record by record.
+
+    Records of up to ``DENSE_VERTICES`` vertices are solved one by one as small matrices, ``BATCH_RECORDS`` to a task's
+    group; larger ones by the sparse joins.
+    """
+    large = _split_by_size(edges)
+    kind = vertices.schema["record_id"].dataType.simpleString()
+    bucket = F.pmod(F.xxhash64("record_id"), F.lit(max(1, vertices.select("record_id").distinct().count() // BATCH_RECORDS))).alias("bucket")
+
+    def solve(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        by = dict(list(e.groupby("record_id")))
+        none = e.iloc[:0]
+        out = [_dense_record(part, by.get(r, none), jump, steps, rounds) for r, part in v.groupby("record_id")]
+        return pd.concat(out) if out else pd.DataFrame({"record_id": [], "mention": [], "entity": [], "score": []})
+
+    small_v, small_e = (d.join(large, "record_id", "left_anti").withColumn("bucket", bucket) for d in (vertices, edges))
+    dense = small_v.groupBy("bucket").cogroup(small_e.groupBy("bucket")).applyInPandas(solve, f"record_id {kind}, mention string, entity string, score double")
     if large.isEmpty():
         return dense
-    return dense.unionByName(personalized_pagerank(edges.join(large, "record_id", "left_semi"), jump, steps, ("record_id",)))
+    v, e = vertices.join(large, "record_id", "left_semi"), edges.join(large, "record_id", "left_semi")
+    return dense.unionByName(coherence_rank(v, personalized_pagerank(e, jump, steps, ("record_id",)), rounds))
 
 
 def candidate_graph(candidates: DataFrame, network: DataFrame, popularity: DataFrame, factor: float = 1.2) -> tuple[DataFrame, DataFrame]:

@@ -398,7 +398,7 @@ def coherence_rank(spark, sf):
     cand = materialize(names.join(rank.top_k(_text_candidates(spark, sf), 3), "mention").select("record_id", "mention", "entity", "sim"), "query-candidates")
     edges, pop = graph.log_network(_names(spark, sf))
     v, e = iterate.candidate_graph(cand, edges, pop)
-    return iterate.coherence_rank(v, iterate.record_pagerank(e)).withColumn("score", F.round("score", 6))
+    return iterate.collective_rank(materialize(v, "query-vertices"), materialize(e, "query-pairs")).withColumn("score", F.round("score", 6))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------

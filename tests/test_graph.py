@@ -55,9 +55,8 @@ def test_pagerank(spark):
     w = {(1, 2): math.log(3), (1, 3): math.log(2), (2, 3): math.log(2)}
     rows = [(0, str(a), str(b), x) for (a, b), x in w.items()] + [(0, str(b), str(a), x) for (a, b), x in w.items()]
     e = spark.createDataFrame(rows, "record_id long, src string, dst string, weight double")
-    for p in (iterate.personalized_pagerank(e, keys=("record_id",)), iterate.record_pagerank(e)):
-        s = scores(p, "source", "vertex")
-        assert (s["1", "1"], s["2", "1"], s["3", "1"], s["1", "3"], s["3", "3"]) == pytest.approx((0.448921, 0.314739, 0.305464, 0.236339, 0.389072), abs=1e-5)
+    s = scores(iterate.personalized_pagerank(e, keys=("record_id",)), "source", "vertex")
+    assert (s["1", "1"], s["2", "1"], s["3", "1"], s["1", "3"], s["3", "3"]) == pytest.approx((0.448921, 0.314739, 0.305464, 0.236339, 0.389072), abs=1e-5)
 
 
 def test_idf_cosine(spark):
@@ -96,12 +95,19 @@ def brute_coherence(vertices, ppr, rounds=100):
     return won
 
 
-def test_coherence(spark):
+def test_coherence(spark, monkeypatch):
     vertices = {("m", "a"): 0.6, ("m", "b"): 0.4, ("n", "c"): 0.5, ("n", "d"): 0.5, ("o", "e"): 1.0}
     edges = [(0, x, y, 5.0 if {x, y} <= {"b", "d", "e"} else 1.0) for (m, x) in vertices for (o, y) in vertices if m != o]
-    v = spark.createDataFrame([(0, m, e, s) for (m, e), s in vertices.items()], "record_id long, mention string, entity string, score double")
-    p = iterate.record_pagerank(spark.createDataFrame(edges, "record_id long, src string, dst string, weight double"))
-    got = {r["mention"]: (r["entity"], r["score"]) for r in iterate.coherence_rank(v, p).collect()}
-    want = brute_coherence(vertices, scores(p, "source", "vertex"))
-    assert {m: e for m, (e, _) in got.items()} == {m: e for m, (e, _) in want.items()} == {"m": "b", "n": "d", "o": "e"}
-    assert all(got[m][1] == pytest.approx(want[m][1]) for m in want)
+    v = spark.createDataFrame([(k, m, e, s) for k in (0, 1) for (m, e), s in vertices.items()] + [(2, "m", "a", 1.0)], "record_id long, mention string, entity string, score double")
+    e = spark.createDataFrame([(k, *x[1:]) for k in (0, 1) for x in edges], "record_id long, src string, dst string, weight double")
+    walks = iterate.personalized_pagerank(e, keys=("record_id",))
+    want = brute_coherence(vertices, scores(walks.where("record_id = 0"), "source", "vertex"))
+    assert {m: x for m, (x, _) in want.items()} == {"m": "b", "n": "d", "o": "e"}
+    sparse = iterate.coherence_rank(v, walks)
+    dense = iterate.collective_rank(v, e)
+    monkeypatch.setattr(iterate, "DENSE_VERTICES", 1)
+    for got in (sparse, dense, iterate.collective_rank(v, e)):
+        rows = {(r["record_id"], r["mention"]): (r["entity"], r["score"]) for r in got.collect()}
+        assert len(rows) == 7 and rows[2, "m"] == ("a", 0.0)
+        for (k, m), (x, score) in rows.items():
+            assert k == 2 or x == want[m][0] and score == pytest.approx(want[m][1])
