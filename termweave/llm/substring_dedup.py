@@ -45,8 +45,6 @@ RADIUS = 5
 MIN_RUN = 20
 #: Ids that a worker may hold to tell wanted paragraphs from others; beyond it all sets travel.
 HELD_IDS = 4_000_000
-#: Rows of bucket keys that may be broadcast.
-HELD_KEYS = 1_000_000
 
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -265,8 +263,7 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, min_wo
     """(id, component) of paragraphs with links."""
     keyed = lines.select(F.col("h").alias("id"), F.explode("bands").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("key"), "passage-buckets")
-    small = shared.count() <= HELD_KEYS
-    members = materialize(keyed.join(F.broadcast(shared) if small else shared, "key").groupBy("key", "id").agg(F.count("*").alias("times")), "passage-members")
+    members = materialize(keyed.join(shared, "key").groupBy("key", "id").agg(F.count("*").alias("times")), "passage-members")
     centre = materialize(members.groupBy("key").agg(F.max(F.struct("times", "id"))["id"].alias("a")), "passage-centres")
     ids = materialize(members.select("id").distinct().join(classes, F.col("id") == F.col("h")).select("id", F.col("low").alias("doc_id")), "passage-ids")
     known = materialize(lines.select("doc_id", "at", F.col("h").alias("id"), "size", "sketch").join(ids, ["id", "doc_id"]).dropDuplicates(["id"]), "passage-known")
@@ -316,8 +313,6 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     windows = scan.where("kind = 1").select("doc_id", "at", "h")
     twice = materialize(windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("h", "first"), "window-repeated")
-    if twice.count() <= HELD_KEYS:
-        twice = F.broadcast(twice)
     cut_windows = windows.join(twice, "h").where("doc_id > first").select("doc_id", "at", F.lit(WINDOW).cast("long").alias("n"), "h", F.lit(1).alias("kind"))
 
     cut = materialize(cut_lines.unionAll(cut_windows), "passage-cut")

@@ -144,6 +144,5 @@ def test_large_bucket_ids_travel_when_they_cannot_be_held(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(base[:59] + [f"x{k}"])) for k in range(40)], "doc_id long, text string")
     want = sorted(map(str, sd.count_repeats(docs).collect()))
     monkeypatch.setattr(sd, "HELD_IDS", -1)
-    monkeypatch.setattr(sd, "HELD_KEYS", -1)
     assert sorted(map(str, sd.count_repeats(docs).collect())) == want
     assert sum(r["has_repeats"] for r in sd.count_repeats(docs).collect()) == 39
