@@ -43,8 +43,6 @@ MIN_WORDS = 20
 WINDOW = 20
 RADIUS = 5
 MIN_RUN = 20
-#: Ids that a worker may hold to tell wanted paragraphs from others; beyond it all sets travel.
-HELD_IDS = 4_000_000
 
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -200,33 +198,29 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(id, set) of the paragraphs in ``wanted(id, doc_id, at)``, from whole texts."""
-    spark = docs.sparkSession
-    held = None
-    if wanted.count() <= HELD_IDS:  # 24 bytes each
-        places = wanted.select("doc_id", "at").toArrow()
-        order = np.lexsort((places.column("at").to_numpy(), places.column("doc_id").to_numpy()))
-        held = spark.sparkContext.broadcast((places.column("doc_id").to_numpy()[order], places.column("at").to_numpy()[order]))
+    """(id, set) of the paragraphs in ``wanted(id, doc_id, at)``, from whole texts.
+
+    Texts meet the places wanted in them by a join on doc_id whose strategy Spark picks by their size: under its broadcast
+    threshold no text travels, beyond it texts are dealt by doc_id.
+    """
+    places = wanted.groupBy("doc_id").agg(F.collect_set("at").alias("at"), F.collect_set("id").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                places = None
-                if held is not None:
-                    x, y = np.searchsorted(held.value[0], [i, i + 1])
-                    places = set(held.value[1][x:y].tolist())
-                    if not places:
-                        continue
-                lines = Lines(text or "")
+            ids, sets = [], []
+            for text, at, some in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                lines, at, some = Lines(text or ""), set(at), set(some)
                 for a, n in lines.paragraphs(min_words):
-                    if places is None or a in places:
-                        for column, v in zip(out, (i, a, np.unique(lines.shingles(a, n)).view(np.int64)), strict=True):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["doc_id", "at", "set"])
-
-    found = docs.mapInArrow(run, "doc_id long, at long, set array<long>")
-    return materialize(found.join(wanted, ["doc_id", "at"]).select("id", "set").dropDuplicates(["id"]), "passage-sets")
+                    if a in at:
+                        grams = lines.shingles(a, n)
+                        h = paragraph_id(grams)
+                        if h in some:  # rows that repeat a doc_id may differ in their texts
+                            ids.append(h)
+                            sets.append(np.unique(grams).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+
+    found = docs.join(places, "doc_id").select("text", "at", "ids").mapInArrow(run, "id long, set array<long>")
+    return materialize(found.dropDuplicates(["id"]), "passage-sets")
 
 
 def _may_link(threshold: float):

@@ -138,11 +138,22 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert sd.count_repeats(no_docs).count() == sd.drop_repeats(no_docs).count() == 0
 
 
-def test_large_bucket_ids_travel_when_they_cannot_be_held(spark, monkeypatch):
+def test_large_bucket_of_variants(spark):
     rnd = random.Random(5)
     base = words(rnd, 60)
     docs = spark.createDataFrame([(k, " ".join(base[:59] + [f"x{k}"])) for k in range(40)], "doc_id long, text string")
-    want = sorted(map(str, sd.count_repeats(docs).collect()))
-    monkeypatch.setattr(sd, "HELD_IDS", -1)
-    assert sorted(map(str, sd.count_repeats(docs).collect())) == want
     assert sum(r["has_repeats"] for r in sd.count_repeats(docs).collect()) == 39
+
+
+def test_sets_are_those_of_the_wanted_paragraphs(spark):
+    rnd = random.Random(6)
+    lines = [words(rnd, 30) for _ in range(4)]
+    texts = ["\n".join(" ".join(x) for x in lines), " ".join(lines[3])]
+    docs = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (7, texts[0]), (8, None)], "doc_id long, text string")
+    known = {}
+    for x in texts:
+        found = sd.Lines(x)
+        known |= {(a, sd.paragraph_id(found.shingles(a, n))): sorted(np.unique(found.shingles(a, n)).view(np.int64).tolist()) for a, n in found.paragraphs(20)}
+    wanted = [(h, 7, a) for a, h in known if a != 30]
+    got = sd._sets(docs, spark.createDataFrame([*wanted, (1, 8, 0), (2, 9, 0)], "id long, doc_id long, at long"), 20).collect()
+    assert sorted((r["id"], sorted(r["set"])) for r in got) == sorted({h: (h, known[a, h]) for h, _, a in wanted}.values())
