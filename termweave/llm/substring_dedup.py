@@ -10,6 +10,11 @@ Two kinds of paragraph are compared, both as word sequences (words end at ASCII
   paragraphs: similarity 1, one shared hash. Of random passages of 51 words 0.06 % have no anchor that leaves room
   for a window; from 60 words on, under 0.001 %. Only runs of ``MIN_RUN`` words or more count.
 
+Windows, and shorter ones of ``SEED`` words for passages with edits, are also seeds: each is joined to its first occurrence in
+an earlier document, both texts are aligned from there to the left and the right, at first word by word and then across
+edits, and the aligned span goes if it is an exact run of ``MIN_RUN`` words or if its shingles reach the threshold. Line ends don't
+matter to that. Slices of the texts are compared, and longer ones wherever an alignment reaches the end of a slice.
+
 Of each component, and of each window, the first occurrence by (doc_id, place) stays and the others are removals. A
 line or window that only repeats its own document is cut with ``within=True`` alone.
 
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows, materialize
+from ..runtime import arrow_rows, forget, materialize
 from .components import connected_components
 
 SHINGLE = 5
@@ -43,6 +48,8 @@ MIN_WORDS = 20
 WINDOW = 20
 RADIUS = 5
 MIN_RUN = 20
+SEED = 10
+MARGIN = 32
 
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,7 +153,7 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
     """(kind, doc_id, at, n, h, size, sketch, bands): what a pass over the texts gives.
 
     kind 0 a line and 1 a window, at their first place in their document; 2 a document of n words; 3 a line and
-    4 a window that repeat an earlier place of their own document.
+    4 a window that repeat an earlier place of their own document; 5 a short window.
     """
 
     def lists(x: np.ndarray) -> pa.Array:
@@ -163,6 +170,7 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
         for b in batches:
             new, again, sets, doc_n = ([], [], [], []), ([], [], [], []), [], []
             windows: tuple[list, list, list, list] = ([], [], [], [])
+            short: tuple[list, list, list] = ([], [], [])
             ids = b.column(0).to_pylist()
             for i, text in zip(ids, b.column(1).to_pylist(), strict=True):
                 lines, seen = Lines(text or ""), set()
@@ -176,8 +184,11 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
                         seen.add(h)
                         sets.append(np.unique(grams))
                 if len(lines.words) >= WINDOW:
-                    at = anchors(lines.hashes)
-                    at = at[at <= len(lines.words) - WINDOW]
+                    found = anchors(lines.hashes)
+                    at = found[found <= len(lines.words) - SEED]
+                    for column, x in zip(short, (np.full(len(at), i, np.int64), at, gram_hashes(lines.hashes, SEED, 330)[at].view(np.int64)), strict=True):
+                        column.append(x)
+                    at = found[found <= len(lines.words) - WINDOW]
                     h = gram_hashes(lines.hashes, WINDOW, 300)[at].view(np.int64)
                     first = np.zeros(len(at), bool)
                     first[np.unique(h, return_index=True)[1]] = True
@@ -193,6 +204,8 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
                 yield batch(1, i[first], at[first], np.full(first.sum(), WINDOW), h[first])
                 if not first.all():
                     yield batch(4, i[~first], at[~first], np.full((~first).sum(), WINDOW), h[~first])
+                i, at, h = map(np.concatenate, short)
+                yield batch(5, i, at, np.full(len(i), SEED), h)
 
     return docs.mapInArrow(run, "kind int, doc_id long, at long, n long, h long, size int, sketch array<long>, bands array<long>")
 
@@ -243,14 +256,20 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     whole = F.size("set_a") + F.size("set_b") - F.col("common")
-    return both.withColumn("common", common).where(F.col("common") >= threshold * whole - 1e-9).select("a", "b")
+    out = materialize(both.withColumn("common", common).where(F.col("common") >= threshold * whole - 1e-9).select("a", "b"), "passage-verified")
+    forget(left)
+    return out
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, known: DataFrame, min_words: int, threshold: float) -> DataFrame:
     """The pairs that link, by the whole shingle sets of the paragraphs in them."""
     named = pairs.select(F.col("a").alias("id")).distinct().unionAll(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     wanted = materialize(known.select("id", "doc_id", "at").join(named, "id", "left_semi"), "passage-wanted")
-    return _verify(pairs, _sets(docs, wanted, min_words), threshold)
+    sets = _sets(docs, wanted, min_words)
+    out = _verify(pairs, sets, threshold)
+    forget(sets)
+    forget(wanted)
+    return out
 
 
 def _similar_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, min_words: int, threshold: float) -> DataFrame:
@@ -276,11 +295,162 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, min_wo
     left, right = _side(rest, "a", "key", F.col("component").alias("c")), _side(rest, "b", "key", F.col("component").alias("d"))
     across = left.join(right, (left["key"] == right["key"]) & (F.col("c") < F.col("d")) & _may_link(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialize(_checked(docs, materialize(across.join(tried, ["a", "b"], "left_anti"), "passage-across"), known, min_words, threshold), "passage-more")
+    for done in (shared, members, centre, ids, known, star, half, tried, held, open_, rest):
+        forget(done)
     if more.isEmpty():
         return reached
     return materialize(connected_components(links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "passage-components")
 
 
+def _exact(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int]:
+    """The maximal run (i, j, n) of equal words through x[i] and y[j]."""
+    back, ahead = min(i, j), min(len(x) - i, len(y) - j)
+    left = np.flatnonzero((x[i - back : i] != y[j - back : j])[::-1])
+    right = np.flatnonzero(x[i : i + ahead] != y[j : j + ahead])
+    a, b = int(left[0]) if len(left) else back, int(right[0]) if len(right) else ahead
+    return i - a, j - a, a + b
+
+
+def _next_run(x: np.ndarray, y: np.ndarray, i: int, j: int, reach: int) -> tuple[int, int] | None:
+    """The nearest places from (i, j) on, ``reach`` words at most, with a shingle in common."""
+    u, v = x[i : i + reach + SHINGLE], y[j : j + reach + SHINGLE]
+    if min(len(u), len(v)) < SHINGLE:
+        return None
+    at: dict[int, int] = {}
+    for k, g in enumerate(gram_hashes(v, SHINGLE).tolist()):
+        at.setdefault(g, k)
+    found = [(k + at[g], k, at[g]) for k, g in enumerate(gram_hashes(u, SHINGLE).tolist()) if g in at]
+    return (i + min(found)[1], j + min(found)[2]) if found else None
+
+
+def _onward(x: np.ndarray, y: np.ndarray, run: tuple[int, int, int]) -> tuple[list[tuple[int, int, int]], bool]:
+    """Runs to the right of ``run`` across edits, and whether the search met the end of a slice."""
+    out, (i, j, n) = [], run
+    span = n
+    while True:
+        i, j = i + n, j + n
+        reach = max(8, span // 9)  # a gap of g words leaves a span of n words similar to 0.8 if g + 4 <= n / 9
+        near = i + reach + SHINGLE > len(x) or j + reach + SHINGLE > len(y)
+        found = _next_run(x, y, i, j, reach)
+        if found is None:
+            return out, near
+        a, b = found
+        n = int(np.append(np.flatnonzero(x[a : a + min(len(x) - a, len(y) - b)] != y[b : b + min(len(x) - a, len(y) - b)]), min(len(x) - a, len(y) - b))[0])
+        span += n + a - i
+        i, j = a, b
+        out.append((i, j, n))
+
+
+def align(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> tuple[list[tuple[int, int]], bool, bool]:
+    """Ranges of x that repeat y, and whether an alignment met the first or the last words of either.
+
+    ``seeds`` are (place in x, place in y, words). A range is a run of ``MIN_RUN`` equal words, or runs with edits between
+    them whose shingles have at least the threshold in common with those of their counterpart.
+    """
+    out: list[tuple[int, int]] = []
+    done: list[tuple[int, int]] = []
+    low = high = False
+    for i, j, n in sorted(seeds):
+        if min(i, j) < 0 or i + n > len(x) or j + n > len(y) or (x[i : i + n] != y[j : j + n]).any() or any(a <= i and i + n <= b for a, b in done):
+            continue
+        run = _exact(x, y, i, j)
+        right, near_end = _onward(x, y, run)
+        back, near_start = _onward(x[::-1], y[::-1], (len(x) - run[0] - run[2], len(y) - run[1] - run[2], run[2]))
+        runs = [(len(x) - a - k, len(y) - b - k, k) for a, b, k in reversed(back)] + [run] + right
+        low, high = low or near_start, high or near_end
+        done += [(a, a + k) for a, _, k in runs]
+        out += [(a, a + k) for a, _, k in runs if k >= MIN_RUN]
+        start, other, size = (np.array(c) for c in zip(*runs, strict=True))
+        both = np.concatenate([[0], np.cumsum(np.maximum(size - SHINGLE + 1, 0))])
+        for p in range(len(runs)):
+            common = both[p + 1 :] - both[p]
+            wide = start[p:] + size[p:] - start[p]
+            sets = wide + other[p:] + size[p:] - other[p] - 2 * (SHINGLE - 1)
+            good = np.flatnonzero((wide >= MIN_RUN) & (common >= threshold * (sets - common) - 1e-9))
+            if len(good):
+                out.append((int(start[p]), int(start[p] + wide[good[-1]])))
+    return _union(sorted(out)), low, high
+
+
+_JOB = "doc_id long, first long, at long, stop long, first_at long, first_stop long, seeds array<struct<at: bigint, first_at: bigint, n: bigint>>"
+
+
+def _jobs(hits: DataFrame) -> DataFrame:
+    """Seeds of a document in an earlier one, those close to each other together: ``_JOB``."""
+    grouped = hits.groupBy("doc_id", "first").agg(F.sort_array(F.collect_list(F.struct("at", "first_at", "n"))).alias("seeds"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, first, seeds in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                open_: list[dict] = []
+                for s in seeds:
+                    job = next((o for o in open_ if s["at"] <= o["stop"] + MARGIN and o["first_at"] - MARGIN <= s["first_at"] <= o["first_stop"] + MARGIN), None)
+                    if job is None:
+                        job = {"doc_id": i, "first": first, "at": s["at"], "stop": 0, "first_at": s["first_at"], "first_stop": 0, "seeds": []}
+                        open_.insert(0, job)
+                        out.append(job)
+                    job["stop"], job["first_at"] = max(job["stop"], s["at"] + s["n"]), min(job["first_at"], s["first_at"])
+                    job["first_stop"] = max(job["first_stop"], s["first_at"] + s["n"])
+                    job["seeds"].append(s)
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "first", "at", "stop", "first_at", "first_stop")), ("seeds", pa.list_(pa.struct([(c, pa.int64()) for c in ("at", "first_at", "n")])))])
+    return materialize(grouped.mapInArrow(run, _JOB), "passage-jobs")
+
+
+def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, low, high, words, total): 32 bits of the hash of each word low to high of a text of ``total`` words, for ``wanted(doc_id, low, high)``."""
+    places = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                h = word_hashes((text or "").encode().split()).astype(np.uint32).view(np.int32)
+                for k in range(0, len(places), 256):
+                    some = places[k : k + 256]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([i] * len(some), pa.int64()), pa.array([r["low"] for r in some], pa.int64()), pa.array([r["high"] for r in some], pa.int64()),
+                        pa.array([h[r["low"] : r["high"]] for r in some], pa.list_(pa.int32())), pa.array([len(h)] * len(some), pa.int64()),
+                    ], ["doc_id", "low", "high", "words", "total"])
+
+    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "doc_id long, low long, high long, words array<int>, total long")
+
+
+def _aligned(docs: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, at, n) of the spans that alignments from the seeds in ``hits(doc_id, at, n, first, first_at)`` give."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                x, y = (np.array(r[c], np.int32).view(np.uint32).astype(np.uint64) for c in ("x", "y"))
+                found, low, high = align(x, y, [(s["at"] - r["low"], s["first_at"] - r["first_low"], s["n"]) for s in r["seeds"]], threshold)
+                again = low and (r["low"] > 0 or r["first_low"] > 0) or high and (r["low"] + len(x) < r["total"] or r["first_low"] + len(y) < r["first_total"])
+                out.append({c: r[c] for c in ("doc_id", "first", "at", "stop", "first_at", "first_stop", "seeds")} | {"spans": [{"at": s + r["low"], "n": e - s} for s, e in found], "again": bool(again)})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    pair = lambda *names: pa.list_(pa.struct([(c, pa.int64()) for c in names]))
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "first", "at", "stop", "first_at", "first_stop")), ("seeds", pair("at", "first_at", "n")), ("spans", pair("at", "n")), ("again", pa.bool_())])
+    jobs, margin, found = _jobs(hits), MARGIN, None
+    while found is None or not jobs.isEmpty():
+        # slices begin and end at multiples of the margin, so that jobs share them
+        down, up = (lambda c: F.greatest(F.floor((F.col(c) - margin) / margin) * margin, F.lit(0)).cast("long")), (lambda c: (F.ceil((F.col(c) + margin) / margin) * margin).cast("long"))  # noqa: B023
+        cut = jobs.withColumns({"low": down("at"), "high": up("stop"), "first_low": down("first_at"), "first_high": up("first_stop")})
+        mine = _slices(docs, cut.select("doc_id", "low", "high").distinct()).withColumnRenamed("words", "x")
+        theirs = _slices(docs, cut.select(F.col("first").alias("doc_id"), F.col("first_low").alias("low"), F.col("first_high").alias("high")).distinct())
+        theirs = materialize(theirs.toDF("first", "first_low", "first_high", "y", "first_total"), "passage-sources")
+        half = materialize(cut.join(mine, ["doc_id", "low", "high"]), "passage-slices")
+        both = half.join(theirs, ["first", "first_low", "first_high"])
+        step = materialize(both.mapInArrow(run, f"{_JOB}, spans array<struct<at: bigint, n: bigint>>, again boolean"), "passage-aligned")
+        spans = step.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.at", "s.n")
+        forget(half)
+        forget(theirs)
+        found = spans if found is None else found.unionAll(spans)
+        jobs, margin = step.where("again").drop("spans", "again").dropDuplicates(["doc_id", "first", "at", "first_at"]), margin * 16
+    return found
+
+
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = 0.999, within: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_words, spans``, the word ranges ``(start, stop)`` to remove, in order and apart.
 
@@ -305,15 +475,19 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated = materialize(plain.unionAll(named.join(begin, "component").select("h", "first", "first_at")), "passage-repeated")
     cut_lines = places.join(repeated, "h").where("doc_id > first or doc_id = first and at > first_at").select("doc_id", "at", "n", "h", F.lit(0).alias("kind"))
 
-    windows = scan.where("kind = 1").select("doc_id", "at", "h")
-    twice = materialize(windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("h", "first"), "window-repeated")
-    cut_windows = windows.join(twice, "h").where("doc_id > first").select("doc_id", "at", F.lit(WINDOW).cast("long").alias("n"), "h", F.lit(1).alias("kind"))
+    windows = scan.where("kind in (1, 4, 5)").select("kind", "doc_id", "at", "n", "h")
+    source = F.min(F.struct("doc_id", "at"))
+    twice = materialize(windows.groupBy("h").agg(source["doc_id"].alias("first"), source["at"].alias("first_at"), F.max("doc_id").alias("last")).where("first != last").drop("last"), "window-repeated")
+    hits = materialize(windows.join(twice, "h").where("doc_id > first"), "window-hits")
+    forget(twice)
+    cut_windows = hits.where("kind = 1").select("doc_id", "at", "n", "h", F.lit(1).alias("kind"))
+    aligned = _aligned(docs, hits, threshold).select("doc_id", "at", "n", F.lit(0).alias("kind"))
 
     cut = materialize(cut_lines.unionAll(cut_windows), "passage-cut")
     again = scan.where("kind in (3, 4)").select("doc_id", "at", "n", "h", (F.col("kind") - 3).alias("kind"))
     if not within:  # later places go with their first
         again = again.join(cut.select("doc_id", "h", "kind").distinct(), ["doc_id", "h", "kind"], "left_semi")
-    cuts = cut.unionByName(again).select("doc_id", "at", "n", "kind").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "kind"))).alias("cuts"))
+    cuts = cut.unionByName(again).select("doc_id", "at", "n", "kind").unionByName(aligned).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "kind"))).alias("cuts"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -157,3 +157,62 @@ def test_sets_are_those_of_the_wanted_paragraphs(spark):
     wanted = [(h, 7, a) for a, h in known if a != 30]
     got = sd._sets(docs, spark.createDataFrame([*wanted, (1, 8, 0), (2, 9, 0)], "id long, doc_id long, at long"), 20).collect()
     assert sorted((r["id"], sorted(r["set"])) for r in got) == sorted({h: (h, known[a, h]) for h, _, a in wanted}.values())
+
+
+def _inside(rnd, passages):
+    """Documents of one line, each passage between words of its own."""
+    return [(k, " ".join(words(rnd, rnd.randint(30, 60)) + p + words(rnd, rnd.randint(30, 60))), p) for k, p in enumerate(passages)]
+
+
+def _share(spark, docs):
+    """For each document the share of its passage that is cut, and the words cut beyond it."""
+    spans = {r["doc_id"]: r["spans"] for r in sd.repeated_spans(spark.createDataFrame([(k, t) for k, t, _ in docs], "doc_id long, text string")).collect()}
+    out = {}
+    for k, text, passage in docs:
+        w = text.split()
+        at = next(i for i in range(len(w)) if w[i : i + len(passage)] == passage)
+        gone = {i for s in spans[k] for i in range(s["start"], s["stop"])}
+        own = set(range(at, at + len(passage)))
+        out[k] = len(gone & own) / len(own), len(gone - own)
+    return out
+
+
+def test_passages_are_cut_to_their_ends(spark):
+    rnd = random.Random(21)
+    passages = [p for n in (51, 60, 100) for _ in range(8) for p in [words(rnd, n)]]
+    docs = _inside(rnd, passages + passages)
+    share = _share(spark, docs)
+    for k in range(len(passages)):
+        assert share[k] == (0, 0)
+        assert share[k + len(passages)] == (1, 0)
+
+
+def test_near_copies_inside_lines_are_cut(spark):
+    rnd = random.Random(22)
+    passages, edited = [], []
+    for n, places in ((60, (29,)), (100, (33, 66)), (60, (12,)), (100, (20, 50))):
+        for _ in range(6):
+            p = words(rnd, n)
+            q = list(p)
+            for at in places:
+                q[at] = f"edit{rnd.randrange(10**6)}"
+            passages.append(p)
+            edited.append(q)
+    docs = _inside(rnd, passages + edited)
+    wrapped = [(k, "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9)), p) for k, t, p in docs]
+    for case in (docs, wrapped):
+        share = _share(spark, case)
+        assert sum(share[k + len(passages)][0] for k in range(len(passages))) >= 0.98 * len(passages)
+        assert all(share[k + len(passages)][1] == 0 for k in range(len(passages)))
+        assert all(share[k] == (0, 0) for k in range(len(passages)))
+
+
+def test_alignments_follow_long_passages_and_stop_at_changes():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    y = x.copy()
+    y[:100], y[2900:] = 1, 2
+    assert sd.align(x, y, [(1500, 1500, 10)])[0] == [(100, 2900)]
+    assert sd.align(x[:600], y[:600], [(300, 300, 10)])[1:] == (False, True)
+    y[1000:1800] = 3  # a gap too wide to be a near copy
+    assert sd.align(x, y, [(500, 500, 10), (2000, 2000, 10)])[0] == [(100, 1000), (1800, 2900)]
