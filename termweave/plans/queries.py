@@ -395,7 +395,7 @@ def idf_neighbour_cosine(spark, sf):
 @_query("coherence_rank")
 def coherence_rank(spark, sf):
     names = _names(spark, sf).select("record_id", F.col("name").alias("mention")).distinct()
-    cand = materialize(names.join(rank.top_k(_text_candidates(spark, sf), 3), "mention").select("record_id", "mention", "entity", "sim"), "query-candidates")
+    cand = materialize(names.join(_text_candidates(spark, sf), "mention").select("record_id", "mention", "entity", "sim"), "query-candidates")
     edges, pop = graph.log_network(_names(spark, sf))
     v, e = iterate.candidate_graph(cand, edges, pop)
     return iterate.collective_rank(materialize(v, "query-vertices"), materialize(e, "query-pairs")).withColumn("score", F.round("score", 6))

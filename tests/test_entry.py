@@ -50,3 +50,19 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') or q == 'pipeline' for q in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.stdout.split() == [str(len(linker.Q)), "False"], out.stderr
+
+
+def test_coherence_rank_takes_every_candidate(spark, tmp_path):
+    """Of four names with the same letters the last by name is the popular one."""
+    names = ["abcd", "abdc", "acbd", "dcba", "wxyz"]
+    lines = [(k, 4, 1, 1) for k in range(30)] + [(k, 5, 1, 2) for k in range(30)] + [(30 + k, k + 1, 1, 1) for k in range(3)]
+    tables = {
+        "part": spark.createDataFrame(list(enumerate(names, 1)), "p_partkey long, p_name string"),
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+        "supplier": spark.createDataFrame([(1, 1)], "s_suppkey long, s_nationkey long"),
+        "nation": spark.createDataFrame([(1, "N")], "n_nationkey long, n_name string"),
+    }
+    for name, frame in tables.items():
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    won = {r["entity"] for r in __spark_entry__.queries()["coherence_rank"](spark, str(tmp_path)).where("mention = 'dcba'").collect()}
+    assert won == {"dcba"}
