@@ -1,8 +1,8 @@
 """Candidate generation: from mentions to ``(mention, seg_no, entity, sim, match_type)``.
 
 The dictionary of entities is closed. It is broadcast while it has at most ``BROADCAST_ROWS`` rows, which is
-counted; beyond, pairs come from a join on shared characters, which loses no pair of positive similarity, as two
-texts without a common character or syllable have none.
+counted; beyond, pairs come from a join on shared characters and on shared first letters of syllables, which loses no pair of
+positive similarity, as two texts that have none of these in common have none. An empty name is in every mention and pairs with all.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def unmatched(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.join(entities, mentions["mention"] == entities["name"], "left_anti")
 
 
-def pairs(mentions: DataFrame, entities: DataFrame, same_negation: bool = True, keep_located: bool = False) -> DataFrame:
+def pairs(mentions: DataFrame, entities: DataFrame, same_negation: bool = True, keep_located: bool = False, syllables: Column | None = None) -> DataFrame:
     """Mention-entity pairs that can be similar.
 
     Negation flags must agree. A mention without a location takes only entities without one, unless ``keep_located``.
@@ -50,8 +50,11 @@ def pairs(mentions: DataFrame, entities: DataFrame, same_negation: bool = True,
         rule = rule & (F.col("m_loc") | ~F.col("e_loc"))
     if e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return m.join(F.broadcast(e), rule)
-    by_char = lambda d, c: d.select("*", F.explode(X.chars(F.col(c))).alias("ch"))
-    return by_char(m, "mention").join(by_char(e, "entity"), "ch").where(rule).drop("ch").distinct()
+    table = syllables if syllables is not None else F.create_map().cast("map<string,string>")
+    begins = lambda c: F.transform(X.syllables(F.col(c), table), lambda x: F.substring(x, 1, 1))
+    by_key = lambda d, c: d.select("*", F.explode(F.array_union(X.chars(F.col(c)), begins(c))).alias("ch"))
+    empty = m.join(e.where("entity = ''").distinct(), rule)
+    return by_key(m, "mention").join(by_key(e, "entity"), "ch").where(rule).drop("ch").unionByName(empty).distinct()
 
 
 def score(pairs_: DataFrame, syllables: Column | None = None) -> DataFrame:
@@ -82,7 +85,7 @@ def tiers(scored: DataFrame, exact_: DataFrame) -> DataFrame:
 def link(mentions: DataFrame, entities: DataFrame, syllables: Column | None = None) -> DataFrame:
     """Candidates of single mentions, each mention once."""
     known = exact(mentions.select("mention").distinct(), entities)
-    return tiers(score(pairs(unmatched(mentions, entities), entities), syllables), known)
+    return tiers(score(pairs(unmatched(mentions, entities), entities, syllables=syllables), syllables), known)
 
 
 def segment_candidates(segmented: DataFrame, entities: DataFrame, score_pair=None) -> DataFrame:

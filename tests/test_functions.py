@@ -70,3 +70,18 @@ def test_other_similarities(spark):
     assert one(spark, S.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))), m=1) == pytest.approx(0.707107, abs=1e-6)
     both = one(spark, S.segments_entity(F.split("s", " "), F.col("t"), F.transform(F.split("s", " "), lambda x: F.split(x, "")), F.split("t", "")), s="abc de", t="cd")
     assert both["contains"] and both["sim"] == pytest.approx(0.4)
+
+
+def test_links_by_syllables_do_not_depend_on_the_size_of_the_dictionary(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from termweave.operators import candidates as C
+
+    table = F.create_map(*(F.lit(x) for pair in zip("她他塔踏心新", ("ta", "ta", "ta", "ta", "xin", "xing"), strict=True) for x in pair))
+    mentions = spark.createDataFrame([("她心",), ("ab",), ("塔",)], "mention string")
+    entities = spark.createDataFrame([("1", "他新"), ("2", "踏"), ("3", "ba"), ("4", "zz"), ("5", "")], "code string, name string")
+    rows = lambda: sorted(map(tuple, C.link(mentions, entities, table).collect()))
+    small = rows()
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    assert rows() == small
+    assert {("她心", "他新"), ("塔", "踏")} <= {r[:2] for r in small}
