@@ -1,28 +1,29 @@
 """Repeated passages found by paragraph MinHash banding (operator 1).
 
-Two kinds of paragraph are compared, both as word sequences (words end at ASCII white space):
-
-* Lines of ``MIN_WORDS`` words or more. Each gives the MinHash of its set of five-word shingles; ``tune_bands`` picks
-  the fewest bands that find a pair at the threshold with the wanted recall. Paragraphs that collide in a band are
-  joined, their exact Jaccard similarity is verified on whole shingle sets, and links make components.
-* Windows of ``WINDOW`` words that begin at content-defined anchors (a word pair whose hash is the least among its
-  neighbours). A passage in the middle of a line has the same anchors wherever it stands, so its windows are equal
-  paragraphs: similarity 1, one shared hash. Of random passages of 51 words 0.06 % have no anchor that leaves room
-  for a window; from 60 words on, under 0.001 %. Only runs of ``MIN_RUN`` words or more count.
-
-Windows, and shorter ones of ``SEED`` words for passages with edits, are also seeds: each is joined to its first occurrence in
-an earlier document, both texts are aligned from there to the left and the right, at first word by word and then across
-edits, and the aligned span goes if it is an exact run of ``MIN_RUN`` words or if its shingles reach the threshold. Line ends don't
-matter to that. Slices of the texts are compared, and longer ones wherever an alignment reaches the end of a slice.
-
-Of each component, and of each window, the first occurrence by (doc_id, place) stays and the others are removals. A
-line or window that only repeats its own document is cut with ``within=True`` alone.
-
-Equal paragraphs are one class before any pairing. In a bucket all members are verified against the most frequent; after
-components, only buckets that still hold several components go on, and there only pairs across components do. Before
-whole sets are fetched, a pair has to pass a bound that no link fails: a 256-bit parity sketch shows at least how many
-shingles two sets have apart. So no link between different components is lost, and a group of near-copies
-gives as many pairs as it has members.
+Two kinds of paragraph are compared, both as sets of five-word shingles (words end at ASCII white space):
+
+* Lines of ``MIN_WORDS`` words or more. ``tune_bands`` picks the fewest bands that find a pair at the threshold with the
+  wanted recall. Lines that collide in a band are joined, their exact Jaccard similarity is verified on whole
+  shingle sets, and links make components.
+* Blocks of ``WINDOW`` words that begin at content-defined anchors (a word pair whose hash is the least among its
+  neighbours), for passages that begin and end inside lines. A passage has the same anchors wherever it stands. Equal
+  blocks meet in every band; blocks of which one holds an edited word have a similarity of about 0.52 and meet in one of
+  ``BLOCK_BANDS`` bands of ``BLOCK_ROWS`` rows with a chance of 0.61, and a passage has several. From the shingle on which two
+  blocks collide, both texts are aligned to the left and the right, word by word and then across edits. The aligned span is the
+  paragraph that is verified: it goes if it is a run of ``MIN_RUN`` equal words, or if its shingles reach the threshold exactly.
+
+Of each component of lines the first place by (doc_id, place) stays. A span goes where it is aligned with an earlier
+document, so of spans that are copies of each other the first stays. What repeats only its own document is cut with
+``within=True`` alone.
+
+One pass over the texts gives all band keys; one shuffle deals them out by key, sorted, and a stream over each partition
+emits what collides. Unequal members of a bucket are verified against the most frequent one; after components, only buckets
+that still hold several components go on, and there only pairs across components do. Before whole sets are fetched,
+a pair has to pass a bound that no link fails: a 256-bit parity sketch shows at least how many shingles two sets have
+apart. Texts never travel but those of documents in which a set or slice is wanted, told by a bit map of bounded size.
+
+A hot line or passage is summed up before the shuffle: of those in a batch of documents only the first is sent on, and the others
+are settled there, as they repeat it. A key that is hot all the same streams through its task in pieces of ``PIECE`` rows.
 
 Defined cases: null and empty texts have no paragraph; rows that repeat a doc_id are that document again and no
 repeats of each other; rows without doc_id are neither compared nor changed; paragraph ids are 64-bit hashes, of
@@ -39,17 +40,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows, forget, materialize
+from ..runtime import forget, materialize, maybe_in, pieces
 from .components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 MIN_WORDS = 20
 WINDOW = 20
+BLOCK_BANDS, BLOCK_ROWS = 3, 2
 RADIUS = 5
 MIN_RUN = 20
-SEED = 10
 MARGIN = 32
+PIECE = 1 << 20
 
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,77 +151,274 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _scan(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
-    """(kind, doc_id, at, n, h, size, sketch, bands): what a pass over the texts gives.
+def _scan(docs: DataFrame, min_words: int, bands: int, rows: int, within: bool) -> DataFrame:
+    """(kind, key, a, b, c, info): what one pass over the texts sends on, dealt out by ``key`` afterwards.
 
-    kind 0 a line and 1 a window, at their first place in their document; 2 a document of n words; 3 a line and
-    4 a window that repeat an earlier place of their own document; 5 a short window.
+    CLASS: key a line's id, its document a and first place b there, c words; info: size, sketch, further places
+    there. BAND: a line's id a under a band key. BLOCK: document a, place b of the shingle that collides, tag c of the whole block.
+    WORDS: document a of c words. CUT: document a, place b, c words that go. HIT: document a, place b, and an earlier document c with
+    its place in info. Of equal lines or blocks in a batch only those of the first document are sent as CLASS or BLOCK.
     """
 
-    def lists(x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).reshape(-1)))
-
-    def batch(kind: int, ids, at, n, h, sets=None) -> pa.RecordBatch:
-        none = pa.nulls(len(ids), pa.list_(pa.int64()))
-        more = [pa.nulls(len(ids), pa.int32()), none, none]
-        if sets:
-            more = [pa.array(list(map(len, sets)), pa.int32()), lists(parity_sketch(sets)), lists(band_keys(sets, bands, rows))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.int64()), *more], ["kind", "doc_id", "at", "n", "h", "size", "sketch", "bands"])
+    def cut_rows(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            i, at, n = (np.array(x, np.int64) for x in zip(*found, strict=True))
+            yield _sent(CUT, mix(i.astype(np.uint64)).view(np.int64), i, at, n)
+
+    def line_rows(ids: list[int], texts: list[Lines]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, dict[int, list[int]]] = {}  # the places of a line by document
+        words: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+        for i, x in zip(ids, texts, strict=True):
+            here: dict[int, list[int]] = {}
+            for a, n in x.paragraphs(min_words):
+                grams = x.shingles(a, n)
+                h = paragraph_id(grams)
+                here.setdefault(h, []).append(a)
+                if h not in sets:
+                    sets[h], words[h] = np.unique(grams), n
+            for h, places in here.items():
+                known = found.setdefault(h, {}).setdefault(i, [])
+                known[:] = sorted({*known, *places})  # rows that repeat a doc_id may differ in their texts
+        if not sets:
+            return
+        order = list(found)
+        some = [sets[h] for h in order]
+        sketch, keys, own, cuts = parity_sketch(some), band_keys(some, bands, rows).view(np.int64), np.array(order, np.int64), []
+        for k in range(bands):
+            yield _sent(BAND, keys[:, k], own)
+        first = [min(found[h]) for h in order]
+        info = [np.array([len(s)], "<i4").tobytes() + sketch[k].astype("<u8").tobytes() + np.array(found[h][first[k]][1:], "<i4").tobytes() for k, (h, s) in enumerate(zip(order, some, strict=True))]
+        yield _sent(CLASS, own, np.array(first, np.int64), np.array([found[h][i][0] for h, i in zip(order, first, strict=True)], np.int64), np.array([words[h] for h in order], np.int64), info)
+        for h, i in zip(order, first, strict=True):
+            cuts += [(j, a, words[h]) for j, places in found[h].items() if j > i or within for a in places[(j == i) :]]
+        yield from cut_rows(cuts)
+
+    def block_rows(ids: list[int], texts: list[Lines]) -> Iterator[pa.RecordBatch]:
+        wide = WINDOW - SHINGLE + 1
+        own, grams, begins, tags, cuts = [], [], [], [], []
+        at = 0
+        for i, x in zip(ids, texts, strict=True):
+            if len(x.words) < WINDOW:
+                continue
+            places = anchors(x.hashes)
+            places = places[places <= len(x.words) - WINDOW]
+            h = gram_hashes(x.hashes, WINDOW, 300)[places]
+            own.append(np.column_stack([np.full(len(places), i), places]))
+            grams.append(x.grams)
+            begins.append(places + at)
+            tags.append(h & np.uint64(0xFFFF))
+            at += len(x.grams)
+            if within:
+                again = np.ones(len(h), bool)
+                again[np.unique(h, return_index=True)[1]] = False
+                cuts += [(i, a, b - a) for a, b in _union([(p, p + WINDOW) for p in places[again].tolist()]) if b - a >= MIN_RUN]
+        if own:
+            own, g, begin, tag = np.concatenate(own), np.concatenate(grams), np.concatenate(begins), np.concatenate(tags).astype(np.int64)
+            around = begin[:, None] + np.arange(wide)
+            for band in range(BLOCK_BANDS):
+                low, key = [], np.full(len(begin), band + 1, np.uint64)
+                for r in range(BLOCK_ROWS):
+                    k = 400 + band * BLOCK_ROWS + r
+                    v = (g ^ _ADD[k]) * _ODD[k]
+                    low.append(v[around].argmin(1))
+                    key = mix(key * np.uint64(31) + v[begin + low[-1]])
+                yield from _block_band(band, key.view(np.int64), own[:, 0], own[:, 1] + low[0], tag)
+        yield from cut_rows(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new, again, sets, doc_n = ([], [], [], []), ([], [], [], []), [], []
-            windows: tuple[list, list, list, list] = ([], [], [], [])
-            short: tuple[list, list, list] = ([], [], [])
+        for b in pieces(batches):
             ids = b.column(0).to_pylist()
-            for i, text in zip(ids, b.column(1).to_pylist(), strict=True):
-                lines, seen = Lines(text or ""), set()
-                doc_n.append(len(lines.words))
-                for a, n in lines.paragraphs(min_words):
-                    grams = lines.shingles(a, n)
-                    h = paragraph_id(grams)
-                    for column, x in zip(again if h in seen else new, (i, a, n, h), strict=True):
-                        column.append(x)
-                    if h not in seen:
-                        seen.add(h)
-                        sets.append(np.unique(grams))
-                if len(lines.words) >= WINDOW:
-                    found = anchors(lines.hashes)
-                    at = found[found <= len(lines.words) - SEED]
-                    for column, x in zip(short, (np.full(len(at), i, np.int64), at, gram_hashes(lines.hashes, SEED, 330)[at].view(np.int64)), strict=True):
-                        column.append(x)
-                    at = found[found <= len(lines.words) - WINDOW]
-                    h = gram_hashes(lines.hashes, WINDOW, 300)[at].view(np.int64)
-                    first = np.zeros(len(at), bool)
-                    first[np.unique(h, return_index=True)[1]] = True
-                    for column, x in zip(windows, (np.full(len(at), i, np.int64), at, h, first), strict=True):
-                        column.append(x)
-            yield batch(2, ids, [0] * len(ids), doc_n, [0] * len(ids))
-            if sets:
-                yield batch(0, *new, sets)
-            if again[0]:
-                yield batch(3, *again)
-            if windows[0]:
-                i, at, h, first = map(np.concatenate, windows)
-                yield batch(1, i[first], at[first], np.full(first.sum(), WINDOW), h[first])
-                if not first.all():
-                    yield batch(4, i[~first], at[~first], np.full((~first).sum(), WINDOW), h[~first])
-                i, at, h = map(np.concatenate, short)
-                yield batch(5, i, at, np.full(len(i), SEED), h)
-
-    return docs.mapInArrow(run, "kind int, doc_id long, at long, n long, h long, size int, sketch array<long>, bands array<long>")
+            texts = [Lines(x or "") for x in b.column(1).to_pylist()]
+            i = np.array(ids, np.int64)
+            yield _sent(WORDS, mix(i.astype(np.uint64)).view(np.int64), i, None, np.array([len(x.words) for x in texts], np.int64))
+            yield from line_rows(ids, texts)
+            yield from block_rows(ids, texts)
 
+    return docs.mapInArrow(run, "kind int, key long, a long, b long, c long, info binary")
 
-def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(id, set) of the paragraphs in ``wanted(id, doc_id, at)``, from whole texts.
 
-    Texts meet the places wanted in them by a join on doc_id whose strategy Spark picks by their size: under its broadcast
-    threshold no text travels, beyond it texts are dealt by doc_id.
+CLASS, BAND, BLOCKS, WORDS, CUT, HIT = range(6)
+_NAMES = ["kind", "key", "a", "b", "c", "info"]
+
+
+def _sent(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, c: np.ndarray | None = None, info: list[bytes] | None = None) -> pa.RecordBatch:
+    none = np.zeros(len(key), np.int64)
+    columns = [np.full(len(key), kind, np.int32), key, a, none if b is None else b, none if c is None else c]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(info, pa.binary()) if info else pa.nulls(len(key), pa.binary())], _NAMES)
+
+
+def _block_band(band: int, key: np.ndarray, doc: np.ndarray, place: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch's blocks under one band key each: those of the first document that has an equal block, and the others as hits on it.
+
+    Equal blocks meet in every band, so only the first band reports them.
+    """
+    key = key & ~np.int64(3) | np.int64(band)
+    order = np.lexsort((place, doc, tag, key))
+    key, doc, place, tag = key[order], doc[order], place[order], tag[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    twice = np.zeros(len(key), bool)
+    twice[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+    late = doc > doc[begin]
+    own = ~late & ~twice
+    yield _sent(BLOCKS, key[own], doc[own], place[own], tag[own])
+    late &= ~twice
+    if band == 0 and late.any():
+        yield _sent(HIT, mix(doc[late].astype(np.uint64)).view(np.int64), doc[late], place[late], doc[begin][late], [x.tobytes() for x in place[begin][late].astype("<i8")])
+
+
+_MET = "kind int, k long, a long, b long, c long, n long, size int, sketch array<long>, places array<int>"
+
+
+def _met(kind: int, k=None, a=None, b=None, c=None, n=None, size=None, sketch=None, places=None) -> pa.RecordBatch:
+    rows = len(a)
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    columns = [pa.nulls(rows, t) if x is None else pa.array(x, t) for x, t in zip((k, a, b, c, n, size, sketch, places), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *columns], ["kind", "k", "a", "b", "c", "n", "size", "sketch", "places"])
+
+
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: where each group of equal columns begins, and the group's number for each row."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _classes_met(key, a, b, c, info) -> Iterator[pa.RecordBatch]:
+    """The first place of each line, and what repeats it in later documents."""
+    begin, group = _groups(key)
+    late = np.flatnonzero(a > a[begin][group])
+    blobs = [info[i] for i in begin.tolist()]
+    yield _met(
+        CLASS, key[begin], a[begin], b[begin], None, c[begin], np.array([int.from_bytes(x[:4], "little") for x in blobs], np.int32),
+        [np.frombuffer(x[4 : 4 + 8 * SKETCH], "<i8") for x in blobs], [np.frombuffer(x[4 + 8 * SKETCH :], "<i4") for x in blobs],
+    )
+    if len(late):
+        more = [np.frombuffer(info[i][4 + 8 * SKETCH :], "<i4") for i in late.tolist()]
+        times = np.array([1 + len(x) for x in more])
+        places = np.concatenate([np.concatenate([[p], x]) for p, x in zip(b[late], more, strict=True)])
+        yield _met(CUT, None, np.repeat(a[late], times), places.astype(np.int64), None, np.repeat(c[late], times))
+
+
+def _bands_met(key, a) -> Iterator[pa.RecordBatch]:
+    """(k: band key, a: the line found most often, b: another line) of the buckets that hold several lines."""
+    run, _ = _groups(key, a)
+    times = np.diff(np.append(run, len(key)))
+    key, a = key[run], a[run]
+    begin, group = _groups(key)
+    if len(begin) == len(key):
+        return
+    best = np.lexsort((a, -times, key))[begin]  # the first of each group in that order
+    centre = a[best][group]
+    other = a != centre
+    if other.any():
+        yield _met(BAND, key[other], centre[other], a[other])
+
+
+def _blocks_met(key, a, b, c) -> Iterator[pa.RecordBatch]:
+    """Hits (a: document, b: place, k: an earlier document, c: its place) of blocks that collide.
+
+    Equal blocks against the first of them; of unequal ones the first of each kind against the first of all and of the most frequent kind.
     """
-    places = wanted.groupBy("doc_id").agg(F.collect_set("at").alias("at"), F.collect_set("id").alias("ids"))
+    order = np.lexsort((b, a, c, key))
+    key, doc, place, tag = key[order], a[order], b[order], c[order]
+    start, _ = _groups(key)
+    size = np.diff(np.append(start, len(key)))
+    some = np.repeat(size > 1, size)
+    key, doc, place, tag = key[some], doc[some], place[some], tag[some]
+    if not len(key):
+        return
+    begin, kind = _groups(key, tag)
+    late = np.flatnonzero((doc > doc[begin][kind]) & (key & 3 == 0))
+    hits = [(late, begin[kind[late]])]
+    start, of = _groups(key[begin])
+    times = np.diff(np.append(begin, len(key)))
+    several = np.flatnonzero(np.diff(np.append(start, len(begin)))[of] > 1)
+    if len(several):
+        g = key[begin]
+        for rule in ((place[begin], doc[begin]), (place[begin], doc[begin], -times)):
+            centre = np.lexsort((*rule, g))[start][of]
+            x, y = begin[several], begin[centre[several]]
+            later = doc[x] > doc[y]
+            hits += [(x[later], y[later]), (y[~later & (doc[x] < doc[y])], x[~later & (doc[x] < doc[y])])]
+    x, y = (np.concatenate(z) for z in zip(*hits, strict=True))
+    if len(x):
+        yield _met(HIT, doc[y], doc[x], place[x], place[y])
+
+
+def _collide(sent: DataFrame) -> DataFrame:
+    """What meets under the keys of ``_scan``, by kind (``_MET``)."""
+
+    def finish(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: t.column(c).to_numpy() for c in _NAMES[:-1]}
+        for kind in range(6):
+            at = np.flatnonzero(col["kind"] == kind)
+            if not len(at):
+                continue
+            key, a, b, c = (col[x][at] for x in ("key", "a", "b", "c"))
+            if kind == CLASS:
+                yield from _classes_met(key, a, b, c, t.column("info").take(pa.array(at)).to_pylist())
+            elif kind == BAND:
+                yield from _bands_met(key, a)
+            elif kind == BLOCKS:
+                yield from _blocks_met(key, a, b, c)
+            elif kind == WORDS:
+                yield _met(WORDS, None, a, None, None, c)
+            elif kind == CUT:
+                yield _met(CUT, None, a, b, None, c)
+            else:
+                yield _met(HIT, c, a, b, np.frombuffer(b"".join(t.column("info").take(pa.array(at)).to_pylist()), "<i8"))
+
+    def heads(t: pa.Table) -> pa.Table:
+        """Of a group that goes on in the next piece, the rows that the rest is compared with."""
+        kind, key, a, c = (t.column(x).to_numpy() for x in ("kind", "key", "a", "c"))
+        if kind[0] == BLOCKS:
+            return t.take(pa.array(np.unique(c, return_index=True)[1]))
+        if kind[0] == BAND:
+            begin, _ = _groups(a)
+            return t.take(pa.array([int(begin[np.diff(np.append(begin, len(a))).argmax()])]))
+        return t.slice(0, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
         for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            size += b.num_rows
+            if size < PIECE // 8:
+                continue
+            t = pa.concat_tables(held).combine_chunks()
+            kind, key = t.column("kind").to_numpy(), t.column("key").to_numpy()
+            begin, _ = _groups(kind, key)
+            last = int(begin[-1])
+            if last:
+                yield from finish(t.slice(0, last))
+            rest = t.slice(last)
+            if rest.num_rows >= PIECE:
+                yield from finish(rest)
+                rest = heads(rest)
+            held, size = [rest], rest.num_rows
+        if held:
+            yield from finish(pa.concat_tables(held).combine_chunks())
+
+    return sent.repartition("key").sortWithinPartitions("key", "kind", "a", "b").mapInArrow(run, _MET)
+
+
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``docs`` joined with ``places`` on doc_id; texts of documents that aren't named stay where they are, but for a few."""
+    return maybe_in(docs, "doc_id", places.select("doc_id")).join(places, "doc_id")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """(id, set) of the paragraphs in ``wanted(id, doc_id, at)``, from whole texts."""
+    places = materialize(wanted.groupBy("doc_id").agg(F.collect_set("at").alias("at"), F.collect_set("id").alias("ids")), "passage-places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
             ids, sets = [], []
             for text, at, some in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 lines, at, some = Lines(text or ""), set(at), set(some)
@@ -232,8 +431,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                             sets.append(np.unique(grams).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
-    found = docs.join(places, "doc_id").select("text", "at", "ids").mapInArrow(run, "id long, set array<long>")
-    return materialize(found.dropDuplicates(["id"]), "passage-sets")
+    found = _texts(docs, places).select("text", "at", "ids").mapInArrow(run, "id long, set array<long>")
+    out = materialize(found.dropDuplicates(["id"]), "passage-sets")
+    forget(places)
+    return out
 
 
 def _may_link(threshold: float):
@@ -263,43 +464,43 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _checked(docs: DataFrame, pairs: DataFrame, known: DataFrame, min_words: int, threshold: float) -> DataFrame:
     """The pairs that link, by the whole shingle sets of the paragraphs in them."""
-    named = pairs.select(F.col("a").alias("id")).distinct().unionAll(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-    wanted = materialize(known.select("id", "doc_id", "at").join(named, "id", "left_semi"), "passage-wanted")
+    named = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "passage-named")
+    wanted = materialize(maybe_in(known.select("id", "doc_id", "at"), "id", named).join(named, "id"), "passage-wanted")
     sets = _sets(docs, wanted, min_words)
     out = _verify(pairs, sets, threshold)
-    forget(sets)
-    forget(wanted)
+    for done in (named, wanted, sets):
+        forget(done)
     return out
 
 
-def _similar_lines(docs: DataFrame, lines: DataFrame, classes: DataFrame, min_words: int, threshold: float) -> DataFrame:
-    """(id, component) of paragraphs with links."""
-    keyed = lines.select(F.col("h").alias("id"), F.explode("bands").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("key"), "passage-buckets")
-    members = materialize(keyed.join(shared, "key").groupBy("key", "id").agg(F.count("*").alias("times")), "passage-members")
-    centre = materialize(members.groupBy("key").agg(F.max(F.struct("times", "id"))["id"].alias("a")), "passage-centres")
-    ids = materialize(members.select("id").distinct().join(classes, F.col("id") == F.col("h")).select("id", F.col("low").alias("doc_id")), "passage-ids")
-    known = materialize(lines.select("doc_id", "at", F.col("h").alias("id"), "size", "sketch").join(ids, ["id", "doc_id"]).dropDuplicates(["id"]), "passage-known")
+def _similar_lines(docs: DataFrame, buckets: DataFrame, classes: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """(id, component) of lines with links. ``buckets(key, a, b)``: the line found most often under a key, and another."""
+    star = materialize(buckets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "passage-star")
+    named = materialize(star.select(F.col("a").alias("id")).unionAll(star.select("b")).distinct(), "passage-met")
+    known = materialize(maybe_in(classes, "id", named).join(named, "id"), "passage-known")
+    forget(named)
 
     # each member of a bucket against the one found most often, which its variants are likely to come from
-    star = materialize(members.join(centre, "key").where("a != id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "passage-star")
     half = materialize(star.join(_side(known, "b"), "b"), "passage-star-b")
     tried = materialize(half.join(_side(known, "a"), "a").where(_may_link(threshold)).select("a", "b"), "passage-pairs")
-    links = materialize(_checked(docs, tried, known, min_words, threshold), "passage-links")
+    links = _checked(docs, tried, known, min_words, threshold)
     reached = materialize(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "passage-components")
 
     # buckets that still hold several components: pairs across them that may link
+    members = buckets.select("key", F.col("b").alias("id")).unionAll(buckets.select("key", "a")).distinct()
     held = materialize(members.join(reached, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "passage-held")
     open_ = materialize(held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "passage-open")
     rest = materialize(held.join(open_, "key", "left_semi").join(known.select("id", "size", "sketch"), "id"), "passage-rest")
     left, right = _side(rest, "a", "key", F.col("component").alias("c")), _side(rest, "b", "key", F.col("component").alias("d"))
     across = left.join(right, (left["key"] == right["key"]) & (F.col("c") < F.col("d")) & _may_link(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(_checked(docs, materialize(across.join(tried, ["a", "b"], "left_anti"), "passage-across"), known, min_words, threshold), "passage-more")
-    for done in (shared, members, centre, ids, known, star, half, tried, held, open_, rest):
+    untried = materialize(across.join(tried, ["a", "b"], "left_anti"), "passage-across")
+    more = None if untried.isEmpty() else _checked(docs, untried, known, min_words, threshold)
+    if more is not None and not more.isEmpty():
+        last, reached = reached, materialize(connected_components(links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "passage-components")
+        forget(last)
+    for done in (star, known, half, tried, links, held, open_, rest, untried, *([] if more is None else [more])):
         forget(done)
-    if more.isEmpty():
-        return reached
-    return materialize(connected_components(links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "passage-components")
+    return reached
 
 
 def _exact(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int]:
@@ -372,12 +573,17 @@ def align(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], thres
     return _union(sorted(out)), low, high
 
 
-_JOB = "doc_id long, first long, at long, stop long, first_at long, first_stop long, seeds array<struct<at: bigint, first_at: bigint, n: bigint>>"
+_JOB = "doc_id long, first long, at long, stop long, first_at long, first_stop long, seeds array<struct<at: bigint, first_at: bigint>>"
+_ENDS = ("doc_id", "first", "at", "stop", "first_at", "first_stop")
+
+
+def _pairs(*names: str) -> pa.DataType:
+    return pa.list_(pa.struct([(c, pa.int64()) for c in names]))
 
 
 def _jobs(hits: DataFrame) -> DataFrame:
-    """Seeds of a document in an earlier one, those close to each other together: ``_JOB``."""
-    grouped = hits.groupBy("doc_id", "first").agg(F.sort_array(F.collect_list(F.struct("at", "first_at", "n"))).alias("seeds"))
+    """Seeds of a document in an earlier one, those close to each other together: ``_JOB``. A seed is a shingle."""
+    grouped = hits.groupBy("doc_id", "first").agg(F.sort_array(F.collect_set(F.struct("at", "first_at"))).alias("seeds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -385,26 +591,27 @@ def _jobs(hits: DataFrame) -> DataFrame:
             for i, first, seeds in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 open_: list[dict] = []
                 for s in seeds:
-                    job = next((o for o in open_ if s["at"] <= o["stop"] + MARGIN and o["first_at"] - MARGIN <= s["first_at"] <= o["first_stop"] + MARGIN), None)
+                    open_ = [o for o in open_ if s["at"] <= o["stop"] + MARGIN]
+                    job = next((o for o in open_ if o["first_at"] - MARGIN <= s["first_at"] <= o["first_stop"] + MARGIN), None)
                     if job is None:
                         job = {"doc_id": i, "first": first, "at": s["at"], "stop": 0, "first_at": s["first_at"], "first_stop": 0, "seeds": []}
                         open_.insert(0, job)
                         out.append(job)
-                    job["stop"], job["first_at"] = max(job["stop"], s["at"] + s["n"]), min(job["first_at"], s["first_at"])
-                    job["first_stop"] = max(job["first_stop"], s["first_at"] + s["n"])
+                    job["stop"], job["first_at"] = max(job["stop"], s["at"] + SHINGLE), min(job["first_at"], s["first_at"])
+                    job["first_stop"] = max(job["first_stop"], s["first_at"] + SHINGLE)
                     job["seeds"].append(s)
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "first", "at", "stop", "first_at", "first_stop")), ("seeds", pa.list_(pa.struct([(c, pa.int64()) for c in ("at", "first_at", "n")])))])
+    schema = pa.schema([*((c, pa.int64()) for c in _ENDS), ("seeds", _pairs("at", "first_at"))])
     return materialize(grouped.mapInArrow(run, _JOB), "passage-jobs")
 
 
 def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, low, high, words, total): 32 bits of the hash of each word low to high of a text of ``total`` words, for ``wanted(doc_id, low, high)``."""
-    places = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("places"))
+    places = materialize(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("places")), "passage-slice-places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             for i, text, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 h = word_hashes((text or "").encode().split()).astype(np.uint32).view(np.int32)
                 for k in range(0, len(places), 256):
@@ -414,38 +621,38 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         pa.array([h[r["low"] : r["high"]] for r in some], pa.list_(pa.int32())), pa.array([len(h)] * len(some), pa.int64()),
                     ], ["doc_id", "low", "high", "words", "total"])
 
-    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "doc_id long, low long, high long, words array<int>, total long")
+    out = materialize(_texts(docs, places).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, low long, high long, words array<int>, total long"), "passage-slices")
+    forget(places)
+    return out
 
 
 def _aligned(docs: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, at, n) of the spans that alignments from the seeds in ``hits(doc_id, at, n, first, first_at)`` give."""
+    """(doc_id, at, n) of the spans that alignments from the seeds in ``hits(doc_id, at, first, first_at)`` give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for r in b.to_pylist():
                 x, y = (np.array(r[c], np.int32).view(np.uint32).astype(np.uint64) for c in ("x", "y"))
-                found, low, high = align(x, y, [(s["at"] - r["low"], s["first_at"] - r["first_low"], s["n"]) for s in r["seeds"]], threshold)
+                found, low, high = align(x, y, [(s["at"] - r["low"], s["first_at"] - r["first_low"], SHINGLE) for s in r["seeds"]], threshold)
                 again = low and (r["low"] > 0 or r["first_low"] > 0) or high and (r["low"] + len(x) < r["total"] or r["first_low"] + len(y) < r["first_total"])
-                out.append({c: r[c] for c in ("doc_id", "first", "at", "stop", "first_at", "first_stop", "seeds")} | {"spans": [{"at": s + r["low"], "n": e - s} for s, e in found], "again": bool(again)})
+                out.append({c: r[c] for c in (*_ENDS, "seeds")} | {"spans": [{"at": s + r["low"], "n": e - s} for s, e in found], "again": bool(again)})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    pair = lambda *names: pa.list_(pa.struct([(c, pa.int64()) for c in names]))
-    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "first", "at", "stop", "first_at", "first_stop")), ("seeds", pair("at", "first_at", "n")), ("spans", pair("at", "n")), ("again", pa.bool_())])
+    schema = pa.schema([*((c, pa.int64()) for c in _ENDS), ("seeds", _pairs("at", "first_at")), ("spans", _pairs("at", "n")), ("again", pa.bool_())])
     jobs, margin, found = _jobs(hits), MARGIN, None
     while found is None or not jobs.isEmpty():
         # slices begin and end at multiples of the margin, so that jobs share them
         down, up = (lambda c: F.greatest(F.floor((F.col(c) - margin) / margin) * margin, F.lit(0)).cast("long")), (lambda c: (F.ceil((F.col(c) + margin) / margin) * margin).cast("long"))  # noqa: B023
-        cut = jobs.withColumns({"low": down("at"), "high": up("stop"), "first_low": down("first_at"), "first_high": up("first_stop")})
-        mine = _slices(docs, cut.select("doc_id", "low", "high").distinct()).withColumnRenamed("words", "x")
-        theirs = _slices(docs, cut.select(F.col("first").alias("doc_id"), F.col("first_low").alias("low"), F.col("first_high").alias("high")).distinct())
-        theirs = materialize(theirs.toDF("first", "first_low", "first_high", "y", "first_total"), "passage-sources")
-        half = materialize(cut.join(mine, ["doc_id", "low", "high"]), "passage-slices")
-        both = half.join(theirs, ["first", "first_low", "first_high"])
-        step = materialize(both.mapInArrow(run, f"{_JOB}, spans array<struct<at: bigint, n: bigint>>, again boolean"), "passage-aligned")
+        cut = materialize(jobs.withColumns({"low": down("at"), "high": up("stop"), "first_low": down("first_at"), "first_high": up("first_stop")}), "passage-cut-jobs")
+        both_ends = cut.select("doc_id", "low", "high").unionAll(cut.select("first", "first_low", "first_high")).distinct()
+        slices = _slices(docs, both_ends)
+        theirs = slices.toDF("first", "first_low", "first_high", "y", "first_total")
+        joined = cut.join(slices.withColumnRenamed("words", "x"), ["doc_id", "low", "high"]).join(theirs, ["first", "first_low", "first_high"])
+        step = materialize(joined.mapInArrow(run, f"{_JOB}, spans array<struct<at: bigint, n: bigint>>, again boolean"), "passage-aligned")
         spans = step.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.at", "s.n")
-        forget(half)
-        forget(theirs)
+        for done in (cut, slices, *([jobs] if found is None else [])):
+            forget(done)
         found = spans if found is None else found.unionAll(spans)
         jobs, margin = step.where("again").drop("spans", "again").dropDuplicates(["doc_id", "first", "at", "first_at"]), margin * 16
     return found
@@ -456,52 +663,36 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``within``: also cut what repeats an earlier place of its own document alone.
     """
-    arrow_rows(docs.sparkSession, 512)
     docs = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bands, rows = tune_bands(threshold, recall)
-    scan = materialize(_scan(docs, min_words, bands, rows), "passages")
-    lines = scan.where("kind = 0").select("doc_id", "at", "n", "h", "size", "sketch", "bands")
-    classes = materialize(lines.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "passage-classes")
-    reached = _similar_lines(docs, lines, classes, min_words, threshold)
-
-    # equal lines without links to others: all but those of the first document
-    places = lines.select("doc_id", "at", "n", "h")
-    plain = classes.where("low != high").join(reached, F.col("h") == F.col("id"), "left_anti").select("h", F.col("low").alias("first"), F.lit(None).cast("long").alias("first_at"))
-    # lines of a component: all but its first place
-    linked = materialize(classes.join(reached, F.col("h") == F.col("id")).select("h", "low", "component"), "passage-linked")
-    first = materialize(linked.groupBy("component").agg(F.min("low").alias("first")), "passage-first")
-    named = materialize(linked.join(first, "component").select("h", "first", "component"), "passage-named")
-    begin = places.join(named, "h").where("doc_id = first").groupBy("component").agg(F.min("at").alias("first_at"))
-    repeated = materialize(plain.unionAll(named.join(begin, "component").select("h", "first", "first_at")), "passage-repeated")
-    cut_lines = places.join(repeated, "h").where("doc_id > first or doc_id = first and at > first_at").select("doc_id", "at", "n", "h", F.lit(0).alias("kind"))
-
-    windows = scan.where("kind in (1, 4, 5)").select("kind", "doc_id", "at", "n", "h")
-    source = F.min(F.struct("doc_id", "at"))
-    twice = materialize(windows.groupBy("h").agg(source["doc_id"].alias("first"), source["at"].alias("first_at"), F.max("doc_id").alias("last")).where("first != last").drop("last"), "window-repeated")
-    hits = materialize(windows.join(twice, "h").where("doc_id > first"), "window-hits")
-    forget(twice)
-    cut_windows = hits.where("kind = 1").select("doc_id", "at", "n", "h", F.lit(1).alias("kind"))
-    aligned = _aligned(docs, hits, threshold).select("doc_id", "at", "n", F.lit(0).alias("kind"))
-
-    cut = materialize(cut_lines.unionAll(cut_windows), "passage-cut")
-    again = scan.where("kind in (3, 4)").select("doc_id", "at", "n", "h", (F.col("kind") - 3).alias("kind"))
-    if not within:  # later places go with their first
-        again = again.join(cut.select("doc_id", "h", "kind").distinct(), ["doc_id", "h", "kind"], "left_semi")
-    cuts = cut.unionByName(again).select("doc_id", "at", "n", "kind").unionByName(aligned).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n", "kind"))).alias("cuts"))
+    met = materialize(_collide(_scan(docs, min_words, bands, rows, within)), "passages", "kind")
+    of = lambda kind, *columns: met.where(F.col("kind") == kind).selectExpr(*columns)
+    classes = of(CLASS, "k as id", "a as doc_id", "b as at", "n", "size", "sketch", "places")
+    reached = _similar_lines(docs, of(BAND, "k as key", "a", "b"), classes.select("id", "doc_id", "at", "size", "sketch"), min_words, threshold)
+
+    # lines of a component: the first place of each line, and those that follow it in its document, but for the component's first
+    linked = materialize(maybe_in(classes.select("id", "doc_id", "at", "n", "places"), "id", reached.select("id")).join(reached, "id"), "passage-linked")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    later = F.col("doc_id") > F.col("first.doc_id")
+    if within:
+        later = later | (F.col("at") > F.col("first.at"))
+    cut_lines = linked.join(first, "component").where(later).select("doc_id", F.explode(F.concat(F.array("at"), F.col("places").cast("array<bigint>"))).alias("at"), "n")
+
+    aligned = _aligned(docs, of(HIT, "a as doc_id", "b as at", "k as first", "c as first_at"), threshold)
+    cuts = cut_lines.unionAll(of(CUT, "a", "b", "n")).unionAll(aligned).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("cuts"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = []
-            for found in b.column(1).to_pylist():
-                runs = [(x["at"], x["at"] + x["n"]) for x in found if not x["kind"]]
-                runs += [r for r in _union([(x["at"], x["at"] + x["n"]) for x in found if x["kind"]]) if r[1] - r[0] >= MIN_RUN]
-                spans.append([{"start": s, "stop": e} for s, e in _union(sorted(runs))])
+            spans = [[{"start": s, "stop": e} for s, e in _union([(x["at"], x["at"] + x["n"]) for x in found])] for found in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["doc_id", "spans"])
 
-    spans = materialize(cuts.mapInArrow(merge, "doc_id long, spans array<struct<start: bigint, stop: bigint>>"), "passage-spans")
-    whole = scan.where("kind = 2").groupBy("doc_id").agg(F.max("n").alias("n_words"))
+    spans = cuts.mapInArrow(merge, "doc_id long, spans array<struct<start: bigint, stop: bigint>>")
+    whole = of(WORDS, "a as doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n_words"))
     none = F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)")
-    return whole.join(spans, "doc_id", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"))
+    out = materialize(whole.join(spans, "doc_id", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans")), "passage-spans")
+    for done in (met, reached, linked):
+        forget(done)
+    return out
 
 
 def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -517,14 +708,13 @@ def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the repeated words; a line that loses all its words goes with its line end."""
-    arrow_rows(docs.sparkSession, 512)
     spans = repeated_spans(docs, doc_id, text, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_passage_doc"), F.col("spans").alias("_passage_spans"))
     spans = materialize(spans, "passage-cuts")
     joined = docs.join(spans, F.col(doc_id).cast("long") == F.col("_passage_doc"), "left").select(*docs.columns, "_passage_spans")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = [x if not cuts else cut_words(x, [(c["start"], c["stop"]) for c in cuts]) for x, cuts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             yield b.select(range(b.num_columns - 1)).set_column(at, text, pa.array(texts, pa.string()))
 
