@@ -1,8 +1,9 @@
 """Candidate generation: from mentions to ``(mention, seg_no, entity, sim, match_type)``.
 
-The dictionary of entities is closed. It is broadcast while it has at most ``BROADCAST_ROWS`` rows, which is
-counted; beyond, pairs come from a join on shared characters and on shared first letters of syllables, which loses no pair of
-positive similarity, as two texts that have none of these in common have none. An empty name is in every mention and pairs with all.
+A mention comes as ``mention`` and, where it has been split, ``segments``. The dictionary of entities is closed. It is broadcast
+while its rows and their bytes are under ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``, which are measured; beyond, pairs come from a
+join on shared characters and on shared first letters of syllables, which loses no pair of positive similarity, as two texts that
+have none of these in common have none. An empty name is in every mention and pairs with all.
 """
 
 from __future__ import annotations
@@ -12,18 +13,27 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
+from ..runtime import materialize
 
 # Match types and thresholds.
 EXACT, SEMI, LOCATION, FUZZY = 1, 2, 3, 4
-SEMI_SIM, FUZZY_SIM, PROMOTED_SIM, LOCATION_SIM = 0.80, 0.62, 0.68, 0.70
+SEMI_SIM, FUZZY_SIM, PROMOTED_SIM, LOCATION_SIM, SIBLING_SIM = 0.80, 0.62, 0.68, 0.70, 0.70
 SEGMENT_CONTAINS_SIM, SEGMENT_FUZZY_SIM, WHOLE_FUZZY_SIM = 0.30, 0.65, 0.70
 PARENT_SIM, HIGH_CONFIDENCE = 0.1, 0.857
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` is under both bounds. At most ``rows`` + 1 rows are looked at."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = F.coalesce(F.sum(sum(texts, F.lit(16))), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return n <= rows and total <= BROADCAST_BYTES
 
 
 def fit_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is proven small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if _small(df, rows) else df
 
 
 def exact(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -36,92 +46,147 @@ def unmatched(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.join(entities, mentions["mention"] == entities["name"], "left_anti")
 
 
-def pairs(mentions: DataFrame, entities: DataFrame, same_negation: bool = True, keep_located: bool = False, syllables: Column | None = None) -> DataFrame:
-    """Mention-entity pairs that can be similar.
+def _table(syllables: Column | None) -> Column:
+    """Without a syllable table each character is its own syllable."""
+    return syllables if syllables is not None else F.create_map().cast("map<string,string>")
+
+
+def _segmented(mentions: DataFrame) -> DataFrame:
+    """``mention, segments, whole``, each mention once. Whatever has no segments is one."""
+    if "segments" not in mentions.columns:
+        return mentions.select("mention").distinct().select("mention", F.array("mention").alias("segments"), F.col("mention").alias("whole"))
+    return mentions.select("mention", "segments").dropDuplicates(["mention"]).withColumn("whole", F.concat_ws("", "segments"))
+
+
+def pairs(texts: DataFrame, entities: DataFrame, rule: Column, syllables: Column | None = None) -> DataFrame:
+    """``texts`` (with the column ``text``) and entities that can be similar and keep ``rule``.
 
-    Negation flags must agree. A mention without a location takes only entities without one, unless ``keep_located``.
+    ``rule`` may use ``t_neg, t_loc`` and ``e_neg, e_loc``: whether a side is negated, and how many locations it has.
     """
-    m = mentions.select("mention").distinct().withColumn("m_neg", X.negation(F.col("mention"))).withColumn("m_loc", F.size(X.locations(F.col("mention"))) > 0)
-    e = entities.select(F.col("name").alias("entity"), "code").withColumn("e_neg", X.negation(F.col("entity"))).withColumn("e_loc", F.size(X.locations(F.col("entity"))) > 0)
-    rule = F.lit(True)
-    if same_negation:
-        rule = rule & (F.col("m_neg") == F.col("e_neg"))
-    if not keep_located:
-        rule = rule & (F.col("m_loc") | ~F.col("e_loc"))
-    if e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return m.join(F.broadcast(e), rule)
-    table = syllables if syllables is not None else F.create_map().cast("map<string,string>")
+    flags = lambda d, c, p: d.withColumn(f"{p}_neg", X.negation(F.col(c))).withColumn(f"{p}_loc", F.size(X.locations(F.col(c))))
+    t = flags(texts, "text", "t")
+    e = flags(entities.select(F.col("name").alias("entity"), "code"), "entity", "e")
+    if _small(e):
+        return t.join(F.broadcast(e), rule)
+    table = _table(syllables)
     begins = lambda c: F.transform(X.syllables(F.col(c), table), lambda x: F.substring(x, 1, 1))
     by_key = lambda d, c: d.select("*", F.explode(F.array_union(X.chars(F.col(c)), begins(c))).alias("ch"))
-    empty = m.join(e.where("entity = ''").distinct(), rule)
-    return by_key(m, "mention").join(by_key(e, "entity"), "ch").where(rule).drop("ch").unionByName(empty).distinct()
+    empty = t.join(e.where("entity = ''").distinct(), rule)
+    return by_key(t, "text").join(by_key(e, "entity"), "ch").where(rule).drop("ch").unionByName(empty).distinct()
 
 
-def score(pairs_: DataFrame, syllables: Column | None = None) -> DataFrame:
-    """Pairs with ``sim``, ``contains`` and location columns. Without a syllable table each character is its own syllable."""
-    table = syllables if syllables is not None else F.create_map().cast("map<string,string>")
-    mention, entity = F.col("mention"), F.col("entity")
-    m_syl, e_syl = X.syllables(mention, table), X.syllables(entity, table)
-    scored = pairs_.withColumn("score", S.mention_entity(mention, entity, m_syl, e_syl))
-    locs = X.locations(mention)
-    return scored.select(*pairs_.columns, "score.sim", "score.contains", X.location_share(locs, X.locations(entity)).alias("loc_share"))
+def _blended(sim: Column, mine: Column, entity: Column) -> Column:
+    """The similarity of texts without their locations, mixed with that of the locations."""
+    theirs = X.locations(entity)
+    return S.location_blend(F.coalesce(X.location_share(mine, theirs), F.lit(0.0)), sim, F.size(theirs) > 0)
 
 
-def tiers(scored: DataFrame, exact_: DataFrame) -> DataFrame:
-    """The first tier of a mention that has hits: exact, then for located mentions location, else semi-exact with promoted fuzzy hits, then fuzzy."""
-    sim = F.when(F.col("m_loc"), S.location_blend(F.coalesce("loc_share", F.lit(0.0)), F.col("sim"), F.col("e_loc"))).otherwise(F.col("sim"))
-    s = scored.withColumn("sim", sim)
+def link(mentions: DataFrame, entities: DataFrame, syllables: Column | None = None) -> DataFrame:
+    """Candidates of single mentions, each mention once: ``mention, entity, sim, match_type``.
+
+    The first tier counts. A mention that is a name is exact. One with a location has those names whose blend of both
+    similarities is high or whose characters it holds. Others skip names with a location: contained or very similar names, with the better of the
+    fuzzy ones, else fuzzy ones. A mention without candidates has one row without an entity, of the tier it came to.
+    """
+    table = _table(syllables)
+    said = _segmented(mentions)
+    named = exact(said.select(F.col("whole").alias("mention")).distinct(), entities).select(F.col("mention").alias("whole"), "entity", "sim", "match_type")
+    rest = said.join(named.select("whole"), "whole", "left_anti").withColumn("text", F.col("whole"))
+    both = pairs(rest, entities, (F.col("t_loc") > 0) | (F.col("e_loc") == 0), syllables)
+    located = F.col("t_loc") > 0
+    bare = F.transform("segments", lambda x: F.when(located, X.strip_locations(x)).otherwise(x))
+    target = F.when(located, X.strip_locations(F.col("entity"))).otherwise(F.col("entity"))
+    ready = both.withColumn("bare", bare).withColumn("target", target)
+    scored = ready.withColumn("score", S.segments_entity("bare", "target", F.transform("bare", lambda x: X.syllables(x, table)), X.syllables(F.col("target"), table)))
+    sim = F.when(located, _blended(F.col("score.sim"), X.locations(F.col("whole")), F.col("entity"))).otherwise(F.col("score.sim"))
+    inside = F.when(located, X.covers(F.col("whole"), F.col("entity"))).otherwise(F.contains("whole", "entity") | F.col("score.contains"))
+    found = scored.select("mention", "entity", "t_loc", sim.alias("sim"), inside.alias("inside"))
     tier = (
-        F.when(F.col("m_loc"), F.when((F.col("sim") >= LOCATION_SIM) | F.col("contains"), LOCATION))
-        .when(F.contains("mention", "entity") | F.col("contains") | (F.col("sim") >= SEMI_SIM), SEMI)
+        F.when(located, F.when((F.col("sim") >= LOCATION_SIM) | F.col("inside"), LOCATION))
+        .when(F.col("inside") | (F.col("sim") >= SEMI_SIM), SEMI)
         .when(F.col("sim") >= FUZZY_SIM, FUZZY)
     )
-    hits = s.withColumn("match_type", tier).where("match_type is not null").join(exact_.select("mention").distinct(), "mention", "left_anti")
-    best = F.min("match_type").over(Window.partitionBy("mention"))
-    kept = hits.withColumn("best", best).where((F.col("match_type") == F.col("best")) | (F.col("best") == SEMI) & (F.col("sim") >= PROMOTED_SIM))
-    return exact_.select("mention", "entity", "sim", "match_type").unionByName(kept.select("mention", "entity", "sim", F.col("best").alias("match_type")))
-
-
-def link(mentions: DataFrame, entities: DataFrame, syllables: Column | None = None) -> DataFrame:
-    """Candidates of single mentions, each mention once."""
-    known = exact(mentions.select("mention").distinct(), entities)
-    return tiers(score(pairs(unmatched(mentions, entities), entities, syllables=syllables), syllables), known)
+    best = F.min("tier").over(Window.partitionBy("mention"))
+    kept = found.withColumn("tier", tier).where("tier is not null").withColumn("best", best).where((F.col("tier") == F.col("best")) | (F.col("best") == SEMI) & (F.col("sim") >= PROMOTED_SIM))
+    tried = rest.select("mention", F.when(F.size(X.locations(F.col("whole"))) > 0, LOCATION).otherwise(FUZZY).alias("last"))
+    hits = tried.join(kept.select("mention", "entity", "sim", "best"), "mention", "left").select("mention", "entity", "sim", F.coalesce("best", "last").alias("match_type"))
+    return said.join(named, "whole").select("mention", "entity", "sim", "match_type").unionByName(hits)
 
 
-def segment_candidates(segmented: DataFrame, entities: DataFrame, score_pair=None) -> DataFrame:
+def segment_candidates(segmented: DataFrame, entities: DataFrame, syllables: Column | None = None, groups: DataFrame | None = None, tfidf: DataFrame | None = None) -> DataFrame:
     """``mention, seg_no, entity, sim`` for each segment (from 0) and for the whole (their number), from ``mention, segments``.
 
-    A whole that is a name is the only candidate set. A segment that is a name is matched. Other segments keep
-    contained or very similar names, and fuzzy ones only where nothing else matched.
+    A whole of several segments that is a name is the only candidate set. A segment that is a name is matched by it; one with a
+    location by names of a high blend or whose characters it holds. Names found so are out for the rest: other segments keep contained or
+    very similar names without a location, and fuzzy ones only where nothing else matched; so does the whole with names of any kind.
+    Negation flags must agree everywhere.
+
+    ``groups(mention, l3, survives)``: the later variant, in which names of a group that doesn't survive are out but those of unknown
+    groups stay, a segment that is a name is not compared with others, and located segments skip names without a location.
+    ``tfidf(text, entity, weight_sim)``: another similarity of a text and a name, which counts where it is higher.
     """
-    sim = score_pair or (lambda m, e: S.char_overlap(m, e))
-    whole = F.concat_ws("", "segments")
-    parts = segmented.select("mention", F.size("segments").alias("n"), F.posexplode(F.when(F.size("segments") == 1, F.col("segments")).otherwise(F.concat("segments", F.array(whole)))).alias("seg_no", "seg"))
+    table = _table(syllables)
+    said = _segmented(segmented)
+    n = F.size("segments")
+    all_ = F.when(n == 1, F.col("segments")).otherwise(F.concat("segments", F.array("whole")))
+    parts = said.select("mention", n.alias("n"), F.posexplode(all_).alias("seg_no", "text"))
     names = fit_broadcast(entities.select(F.col("name").alias("entity")).distinct())
-    hit = parts.join(names, F.col("seg") == F.col("entity")).select("mention", "seg_no", "entity", F.lit(1.0).alias("sim"), (F.col("seg_no") == F.col("n")).alias("is_whole"))
+    hit = parts.join(names, F.col("text") == F.col("entity")).select("mention", "seg_no", "entity", F.lit(1.0).alias("sim"), (F.col("seg_no") == F.col("n")).alias("is_whole"))
+    hit = materialize(hit, "segment-names")
     done = hit.where("is_whole").select("mention").distinct()
-    rest = parts.join(done, "mention", "left_anti").join(hit.select("mention", "seg_no"), ["mention", "seg_no"], "left_anti")
-    e = names.withColumnRenamed("entity", "e")
-    scored = rest.join(e, X.negation(F.col("seg")) == X.negation(F.col("e"))).withColumn("sim", sim(F.col("seg"), F.col("e"))).withColumn("inside", X.covers(F.col("seg"), F.col("e")))
-    fuzzy = F.when(F.col("seg_no") == F.col("n"), WHOLE_FUZZY_SIM).otherwise(SEGMENT_FUZZY_SIM)
-    scored = scored.withColumn("strong", (F.col("inside") & (F.col("sim") >= SEGMENT_CONTAINS_SIM)) | (F.col("sim") >= SEMI_SIM)).where(F.col("strong") | (F.col("sim") >= fuzzy))
+    rest = parts.join(done, "mention", "left_anti").join(hit.select("mention", "seg_no", F.lit(True).alias("named")), ["mention", "seg_no"], "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    is_whole = F.col("seg_no") == F.col("n")
+    located = ~is_whole & (F.col("t_loc") > 0)
+    rule = (F.col("t_neg") == F.col("e_neg")) & (is_whole | located | ~F.col("named") & (F.col("e_loc") == 0))
+    if groups is not None:
+        rule = rule & (is_whole | ~F.col("named")) & (~located | (F.col("e_loc") > 0))
+    both = pairs(rest, entities, rule, syllables)
+    if groups is not None:
+        out = groups.where("not survives").select("mention", "l3").distinct()
+        both = both.withColumn("l3", X.before_dot(F.col("code"))).join(out, ["mention", "l3"], "left_anti").drop("l3")
+    bare = lambda c: F.when(located, X.strip_locations(F.col(c))).otherwise(F.col(c))
+    ready = both.withColumn("bare", bare("text")).withColumn("target", bare("entity"))
+    if tfidf is not None:
+        ready = ready.join(tfidf.select(F.col("text").alias("bare"), "entity", "weight_sim"), ["bare", "entity"], "left")
+    score = S.mention_entity(F.col("bare"), F.col("target"), X.syllables(F.col("bare"), table), X.syllables(F.col("target"), table), F.col("weight_sim") if tfidf is not None else None)
+    scored = ready.withColumn("score", score)
+    sim = F.when(located, _blended(F.col("score.sim"), X.locations(F.col("text")), F.col("entity"))).otherwise(F.col("score.sim"))
+    inside = F.when(located, X.covers(F.col("text"), F.col("entity"))).otherwise(F.col("score.contains"))
+    found = materialize(scored.select("mention", "seg_no", "entity", sim.alias("sim"), inside.alias("inside"), is_whole.alias("is_whole"), located.alias("located")), "segment-scores")
+    first = found.where("located").where((F.col("sim") >= LOCATION_SIM) | F.col("inside")).select("mention", "seg_no", "entity", "sim")
+    by_name = hit.join(done, "mention", "left_anti").unionAll(hit.where("is_whole")).select("mention", "seg_no", "entity", "sim")
+    matched = by_name.unionAll(first).groupBy("mention", "seg_no", "entity").agg(F.max("sim").alias("sim"))
+    second = found.where("not located").join(matched.select("mention", "entity").distinct(), ["mention", "entity"], "left_anti")
+    enough = F.when(F.col("is_whole"), F.col("sim") > SEGMENT_CONTAINS_SIM).otherwise(F.col("sim") >= SEGMENT_CONTAINS_SIM)
+    fuzzy = F.when(F.col("is_whole"), WHOLE_FUZZY_SIM).otherwise(SEGMENT_FUZZY_SIM)
+    second = second.withColumn("strong", F.col("inside") & enough | (F.col("sim") >= SEMI_SIM)).where(F.col("strong") | (F.col("sim") >= fuzzy))
     any_strong = F.max("strong").over(Window.partitionBy("mention", "seg_no"))
-    kept = scored.withColumn("any", any_strong).where("strong or not any").select("mention", "seg_no", F.col("e").alias("entity"), "sim")
-    exact_ = hit.join(done, "mention", "left_anti").unionAll(hit.where("is_whole")).select("mention", "seg_no", "entity", "sim")
-    return exact_.unionByName(kept)
+    kept = second.withColumn("any", any_strong).where("strong or not any").select("mention", "seg_no", "entity", "sim")
+    return matched.unionByName(kept)
 
 
 def surviving_groups(mentions: DataFrame, parents: DataFrame, least: float = PARENT_SIM) -> DataFrame:
     """``mention, l3`` of groups whose parent name is similar enough to the mention."""
-    return mentions.select("mention").distinct().join(fit_broadcast(parents.select("l3", F.col("name").alias("parent"))), S.char_overlap(F.col("parent"), F.col("mention")) > least).select("mention", "l3")
+    return group_survival(mentions, parents, least).where("survives").select("mention", "l3")
+
+
+def group_survival(mentions: DataFrame, parents: DataFrame, least: float = PARENT_SIM) -> DataFrame:
+    """``mention, l3, survives`` of all groups with a parent name. Groups without one are in no row."""
+    p = fit_broadcast(parents.select(F.substring("l3", 1, 3).alias("l3"), F.col("name").alias("parent")))
+    return _segmented(mentions).join(p).select("mention", "l3", (S.char_overlap(F.col("parent"), F.col("whole")) > least).alias("survives"))
 
 
-def add_siblings(candidates: DataFrame, entities: DataFrame, least: float = FUZZY_SIM) -> DataFrame:
-    """Candidates and the entities of their five-character groups that are similar enough to the mention."""
+def add_siblings(candidates: DataFrame, entities: DataFrame, segmented: DataFrame | None = None, least: float = SIBLING_SIM, syllables: Column | None = None) -> DataFrame:
+    """Candidates, and of the names in their five-character groups those similar to the mention's segments or contained in them."""
+    table = _table(syllables)
+    said = _segmented(candidates.select("mention") if segmented is None else segmented).select("mention", "segments")
     codes = entities.select("name", "l4")
     own = candidates.join(codes, candidates["entity"] == codes["name"]).select("mention", "l4").distinct()
-    near = own.join(codes, "l4").select("mention", F.col("name").alias("entity")).join(candidates.select("mention", "entity"), ["mention", "entity"], "left_anti")
-    return candidates.select("mention", "entity", "sim").unionByName(near.withColumn("sim", S.char_overlap(F.col("mention"), F.col("entity"))).where(F.col("sim") >= least))
+    near = own.join(codes, "l4").select("mention", F.col("name").alias("entity")).distinct().join(said, "mention")
+    score = S.segments_entity("segments", "entity", F.transform("segments", lambda x: X.syllables(x, table)), X.syllables(F.col("entity"), table))
+    found = near.withColumn("score", score).where((F.col("score.sim") >= least) | F.col("score.contains")).select("mention", "entity", F.col("score.sim").alias("sim"))
+    known = candidates.select("mention", "entity", "sim").join(found.select("mention", "entity"), ["mention", "entity"], "left_anti")
+    return known.unionByName(found)
 
 
 def add_aliases(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -141,3 +206,33 @@ def with_default(mentions: DataFrame, candidates: DataFrame, default: str) -> Da
 
 def high_confidence(candidates: DataFrame, gate: float = HIGH_CONFIDENCE) -> DataFrame:
     return candidates.where(F.col("sim") > gate)
+
+
+def is_very_similar(candidates: DataFrame, gate: float = HIGH_CONFIDENCE) -> DataFrame:
+    """``mention, route``: by its best candidate ``sure`` over the gate, ``open`` under it, ``none`` without one."""
+    best = candidates.groupBy("mention").agg(F.max("sim").alias("best"))
+    route = F.when(F.col("best").isNull(), "none").when(F.col("best") > gate, "sure").otherwise("open")
+    return best.select("mention", route.alias("route"))
+
+
+def get_candidates(segmented: DataFrame, entities: DataFrame, aliases: DataFrame, syllables: Column | None = None) -> DataFrame:
+    """``mention, seg_no, entity, sim, is_single`` of ``segment_candidates`` with synonyms; single are mentions of one segment."""
+    found = materialize(segment_candidates(segmented, entities, syllables), "candidate-sets")
+    more = found.join(aliases.select(F.col("a").alias("entity"), "b"), "entity").select("mention", "seg_no", F.col("b").alias("entity"), "sim")
+    all_ = found.unionByName(more).groupBy("mention", "seg_no", "entity").agg(F.max("sim").alias("sim"))
+    return all_.join(_segmented(segmented).select("mention", (F.size("segments") == 1).alias("is_single")), "mention")
+
+
+def record_candidates(items: DataFrame, entities: DataFrame, default: str, syllables: Column | None = None) -> DataFrame:
+    """``record_id, slot, role, mention, entity, sim``: candidates of every name of a record, ``default`` at 0 where there are none."""
+    names = items.select(F.col("name").alias("mention")).distinct()
+    found = with_default(names, link(names, entities, syllables).where("entity is not null"), default)
+    return items.withColumnRenamed("name", "mention").join(found, "mention").select("record_id", "slot", "role", "mention", "entity", "sim")
+
+
+def candidate_names(mentions: DataFrame, entities: DataFrame, syllables: Column | None = None) -> DataFrame:
+    """``mention, entity, sim, match_type`` of ``link``; of fuzzy mentions with the siblings of their candidates."""
+    found = materialize(link(mentions, entities, syllables), "candidate-links")
+    fuzzy = found.where((F.col("match_type") == FUZZY) & F.col("entity").isNotNull())
+    more = add_siblings(fuzzy, entities, mentions, syllables=syllables).withColumn("match_type", F.lit(FUZZY))
+    return found.join(fuzzy.select("mention").distinct(), "mention", "left_anti").unionByName(more)

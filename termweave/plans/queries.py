@@ -8,7 +8,7 @@ supplier's nation of the first line is the procedure.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -37,6 +37,39 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     return entities(spark, sf).select(F.explode(forms).alias("mention"), n.alias("truth")).groupBy("mention").agg(F.min("truth").alias("truth"))
 
 
+#: Fixed values of the fixture below: what words of part names stand for, and how the characters sound.
+TERMS = {
+    "blue": "前壁", "cold": "非", "hot": "急性", "large": "左室前间壁", "new": "不稳定", "old": "陈旧性", "red": "下壁", "small": "小小",
+    "anvil": "心肌梗死", "bolt": "心绞痛", "gear": "冠心病", "gizmo": "心肌病", "plate": "心心衰", "ring": "高血压", "rod": "血栓", "widget": "瓣膜病变性心肌炎",
+}
+SOUNDS = dict(zip("前壁非急性左室间不稳定陈旧下小心肌梗死塞绞痛冠病衰高血压栓瓣膜变炎新", "qian bi fei ji xing zuo shi jian bu wen ding chen jiu xia xiao xin ji geng si se jiao tong guan bing shuai gao xue ya shuan ban mo bian yan xin".split(), strict=True))
+
+
+def terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary in characters, with locations, negations and repeated characters."""
+    name = F.col("p_name")
+    for word, term in TERMS.items():
+        name = F.replace(name, F.lit(word), F.lit(term))
+    names = _table(spark, sf, "part").select(F.replace(name, F.lit(" "), F.lit("")).alias("name")).where("name is not null").distinct()
+    l3 = F.concat(F.lit("I2"), (F.length("name") % 6).cast("string"))
+    l4 = F.concat(l3, F.lit("."), F.substring("name", 1, 1))
+    return names.select(F.concat(l4, F.lit("00")).alias("code"), "name", l3.alias("l3"), l4.alias("l4"))
+
+
+def sayings(spark: SparkSession, sf: str) -> DataFrame:
+    """``mention, segments, truth``: each term itself, without its first and its last character, as two segments in turn, and with one said twice."""
+    n, size = F.col("name"), F.length("name")
+    tail, head = F.expr("substring(name, 2)"), F.expr("substring(name, 1, length(name) - 1)")
+    two = F.array(F.expr("substring(name, 3)"), F.expr("substring(name, 1, 2)"))
+    forms = F.array(F.array(n), F.array(tail), F.array(head), two, F.array(F.concat(n, F.expr("substring(name, length(name), 1)")), F.lit("塞")), F.array(F.replace(n, F.lit("死"), F.lit("塞"))))
+    said = terms(spark, sf).where(size > 2).select(F.explode(forms).alias("segments"), n.alias("truth")).withColumn("mention", F.concat_ws(" ", "segments"))
+    return said.groupBy("mention").agg(F.min("segments").alias("segments"), F.min("truth").alias("truth"))
+
+
+def sounds() -> Column:
+    return F.create_map(*(F.lit(x) for pair in SOUNDS.items() for x in pair))
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -81,6 +114,12 @@ _LINES = "SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION
 _ITEM = "SELECT l_orderkey AS record_id, slot, CASE WHEN slot = 0 THEN 'main' ELSE 'vice' END AS role, p_name AS name FROM lines JOIN part ON l_partkey = p_partkey UNION ALL SELECT l_orderkey, 100, 'surg', n_name FROM lines JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE slot = 0"
 _BASE = f"entity AS ({_ENTITY}), mention AS ({_MENTION}), lines AS ({_LINES}), item AS ({_ITEM}), nm AS (SELECT * FROM item WHERE role <> 'surg')"
 _CH = "list_distinct(string_split({0}, ''))"
+_NAMED = "p_name"
+for _word, _term in TERMS.items():
+    _NAMED = f"replace({_NAMED}, '{_word}', '{_term}')"
+_TERM = f"SELECT 'I2' || (length(name) % 6) || '.' || substr(name, 1, 1) || '00' AS code, name, 'I2' || (length(name) % 6) AS l3, 'I2' || (length(name) % 6) || '.' || substr(name, 1, 1) AS l4 FROM (SELECT DISTINCT replace({_NAMED}, ' ', '') AS name FROM part WHERE p_name IS NOT NULL)"
+_SAYING = "SELECT array_to_string(segments, ' ') AS mention, min(segments) AS segments, min(name) AS truth FROM (SELECT name, unnest([[name], [substr(name, 2)], [substr(name, 1, length(name) - 1)], [substr(name, 3), substr(name, 1, 2)], [name || substr(name, length(name), 1), '塞'], [replace(name, '死', '塞')]]) AS segments FROM term WHERE length(name) > 2) GROUP BY 1"
+_SPOKEN = f"term AS ({_TERM}), saying AS ({_SAYING})"
 
 
 def _overlap(a: str, b: str) -> str:
@@ -89,16 +128,38 @@ def _overlap(a: str, b: str) -> str:
 
 
 def _edit(a: str, b: str, border: float, insert: float, cost: str) -> str:
-    """Over lists a and b."""
+    """Over lists a and b. Equal items take the diagonal cell alone."""
     first = f"list_transform(range(0, len({b}) + 1), lambda j: j * {border}::DOUBLE)"
-    step = f"list_reduce(range(1, len({b}) + 1), lambda acc, j: list_append(acc, least(acc[-1] + {insert}, prev[j + 1] + 1, prev[j] + {cost.format(x='x', y=f'{b}[j]')})), [prev[1] + {border}])"
+    y = f"{b}[j]"
+    step = f"list_reduce(range(1, len({b}) + 1), lambda acc, j: list_append(acc, CASE WHEN x = {y} THEN prev[j] ELSE least(acc[-1] + {insert}, prev[j + 1] + 1, prev[j] + {cost.format(x='x', y=y)}) END), [prev[1] + {border}])"
     return f"(1 - list_reduce({a}, lambda prev, x: {step}, {first})[-1] / greatest(len({a}), len({b})))"
 
 
 _S, _T = "string_split(mention, '')", "string_split(entity, '')"
-_DIRECT = _edit(_S, _T, 2.0, 2.0, "CASE WHEN {x} = {y} THEN 0 ELSE 1 END")
-_PHON_EDIT = _edit(_S, _T, 1.0, 1.0, "CASE WHEN {x} = {y} THEN 0 ELSE 1 END")  # one-letter syllables that differ begin differently
-_PHON = f"CASE WHEN abs(len({_S}) - len({_T})) >= 4 THEN len(list_filter({_T}, lambda c: list_contains({_S}, c)))::DOUBLE / greatest(len({_S}), len({_T})) ELSE {_PHON_EDIT} END"
+_NEAR = "CASE WHEN left({x}, 1) = left({y}, 1) THEN 0.5 ELSE 1 END"
+_DIRECT = _edit(_S, _T, 2.0, 2.0, "1")
+
+
+def _phon(a: str, b: str) -> str:
+    """Over syllable lists a and b."""
+    return f"CASE WHEN abs(len({a}) - len({b})) >= 4 THEN len(list_filter({b}, lambda c: list_contains({a}, c)))::DOUBLE / greatest(len({a}), len({b})) ELSE {_edit(a, b, 1.0, 1.0, _NEAR)} END"
+
+
+_PHON = _phon(_S, _T)
+_SOUNDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SOUNDS.items()) + "}"
+
+
+def _syl(x: str) -> str:
+    return f"list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: coalesce({_SOUNDS}[c], c))"
+
+
+_LOC = "[上下左右正前后侧][间壁室]+"
+_LOCS = f"regexp_extract_all({{0}}, '{_LOC}')"
+_BARE = f"regexp_replace({{0}}, '{_LOC}', '', 'g')"
+_NEG = "regexp_matches({0}, '[不非]')"
+_SUBSET = "len(list_filter(string_split({1}, ''), lambda c: c <> '' AND NOT contains({0}, c))) = 0"  # characters of the second in the first
+_SHARE = "len(list_filter(ml, lambda l: list_contains(el, l)))::DOUBLE / len(ml)"
+_BLEND = f"CASE WHEN len(el) > 0 THEN 0.29 * ({_SHARE}) + 0.71 * r ELSE 0.85 * r END"
 _GRID = "SELECT mention, name AS entity FROM mention, entity"
 _TEXT_CAND = f"SELECT mention, entity, sim FROM (SELECT mention, entity, {_overlap('mention', 'entity')} AS sim FROM ({_GRID})) WHERE sim >= 0.62"
 _CLIQUE = "SELECT x.name AS a, y.name AS b, count(*) AS n FROM (SELECT DISTINCT record_id, name FROM nm) x JOIN (SELECT DISTINCT record_id, name FROM nm) y ON x.record_id = y.record_id AND x.name < y.name GROUP BY 1, 2"
@@ -143,15 +204,23 @@ def char_set_sim(spark, sf):
     return _grid(spark, sf).select("mention", "entity", F.round(S.char_overlap(F.col("mention"), F.col("entity")), 6).alias("sim"))
 
 
-@_query("directional_edit_sim", f"SELECT mention, entity, round({_DIRECT}, 6) AS sim FROM ({_GRID})")
+_SPOKEN_GRID = "SELECT mention, name AS entity FROM (SELECT DISTINCT array_to_string(segments, '') AS mention FROM saying), term"
+
+
+def _spoken_grid(spark, sf):
+    e = C.fit_broadcast(terms(spark, sf).select(F.col("name").alias("entity")))
+    return sayings(spark, sf).select(F.concat_ws("", "segments").alias("mention")).distinct().join(e, F.lit(True))
+
+
+@_query("directional_edit_sim", f"SELECT mention, entity, round({_DIRECT}, 6) AS sim FROM ({_SPOKEN_GRID})", _SPOKEN)
 def directional_edit_sim(spark, sf):
-    return _grid(spark, sf).select("mention", "entity", F.round(S.directional_edit(F.col("mention"), F.col("entity")), 6).alias("sim"))
+    return _spoken_grid(spark, sf).select("mention", "entity", F.round(S.directional_edit("mention", "entity"), 6).alias("sim"))
 
 
-@_query("phonetic_sim", f"SELECT mention, entity, round({_PHON}, 6) AS sim FROM ({_GRID})")
+@_query("phonetic_sim", f"SELECT mention, entity, round({_phon(_syl('mention'), _syl('entity'))}, 6) AS sim FROM ({_SPOKEN_GRID})", _SPOKEN)
 def phonetic_sim(spark, sf):
-    letters = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
-    return _grid(spark, sf).select("mention", "entity", F.round(S.phonetic(letters("mention"), letters("entity")), 6).alias("sim"))
+    syllables = lambda c: X.syllables(F.col(c), sounds())
+    return _spoken_grid(spark, sf).select("mention", "entity", F.round(S.phonetic(syllables("mention"), syllables("entity")), 6).alias("sim"))
 
 
 @_query("jaro_winkler", f"SELECT mention, entity, round(jaro_winkler_similarity(mention, entity), 6) AS sim FROM ({_GRID})")
@@ -195,27 +264,83 @@ def unmatched_anti(spark, sf):
     return C.unmatched(mentions(spark, sf), entities(spark, sf))
 
 
-_SCORED = f"SELECT mention, entity, greatest({_PHON}, {_overlap('mention', 'entity')}, ({_DIRECT} + jaro_winkler_similarity(mention, entity)) / 2) AS sim, contains(mention, entity) OR len(list_filter({_T}, lambda c: NOT list_contains({_S}, c))) = 0 AS inside FROM ({_GRID})"
-_TIERED = f"""tiered AS (
-  SELECT mention, name AS entity, 1.0::DOUBLE AS sim, 1 AS match_type FROM mention JOIN entity ON mention = name UNION ALL
-  SELECT mention, entity, sim, best FROM (
-    SELECT *, min(tier) OVER (PARTITION BY mention) AS best FROM (
-      SELECT *, CASE WHEN inside OR sim >= 0.8 THEN 2 WHEN sim >= 0.62 THEN 4 END AS tier FROM ({_SCORED}) WHERE mention NOT IN (SELECT name FROM entity))
-    WHERE tier IS NOT NULL) WHERE tier = best OR best = 2 AND sim >= 0.68)"""
+_PHON_Q, _DIRECT_Q = _phon("q.sy", "es"), _edit("q.sc", "ec", 2.0, 2.0, "1")
+# segments_entity over (segs, e): whole and each segment
+_SEGS = f"""
+  SELECT k.*, greatest(({_overlap('k.joined', 'k.target')}), ({_phon('k.ws', 'k.es')}), best) AS r,
+         contains(array_to_string(k.ws, ''), array_to_string(k.es, '')) OR {_SUBSET.format('k.joined', 'k.target')} OR len(list_distinct(list_intersect(k.ws, k.es))) = len(k.es) AS held
+  FROM pair k JOIN (
+    SELECT q.mention, q.entity, greatest(0, max(greatest({_PHON_Q}, CASE WHEN len(q.sc) = 0 THEN 1 - 2 * len(ec)::DOUBLE / greatest(len(ec), 1) ELSE {_DIRECT_Q} END))) AS best
+    FROM (SELECT mention, entity, es, list_filter(string_split(target, ''), lambda c: c <> '') AS ec, unnest(bare) AS s, {_syl("s")} AS sy, list_filter(string_split(s, ''), lambda c: c <> '') AS sc FROM pair) q
+    GROUP BY 1, 2) b ON b.mention = k.mention AND b.entity = k.entity"""
+_PAIR = f"""pair AS (
+  SELECT *, array_to_string(bare, '') AS joined, {_syl("array_to_string(bare, '')")} AS ws, {_syl("target")} AS es FROM (
+    SELECT mention, whole, ml, name AS entity, {_LOCS.format('name')} AS el,
+           CASE WHEN len(ml) > 0 THEN list_transform(segments, lambda s: {_BARE.format('s')}) ELSE segments END AS bare,
+           CASE WHEN len(ml) > 0 THEN {_BARE.format('name')} ELSE name END AS target
+    FROM (SELECT *, array_to_string(segments, '') AS whole, {_LOCS.format("array_to_string(segments, '')")} AS ml FROM saying), term
+    WHERE whole NOT IN (SELECT name FROM term) AND (len(ml) > 0 OR len({_LOCS.format('name')}) = 0)))"""
+_TIERED = f"""{_PAIR}, scored AS ({_SEGS}), tiered AS (
+  SELECT mention, name AS entity, 1.0::DOUBLE AS sim, 1 AS match_type FROM saying JOIN term ON array_to_string(segments, '') = name UNION ALL
+  SELECT mention, entity, sim, match_type FROM (
+    SELECT s.mention, f.entity, f.sim, coalesce(f.best, CASE WHEN len({_LOCS.format("array_to_string(s.segments, '')")}) > 0 THEN 3 ELSE 4 END) AS match_type
+    FROM saying s LEFT JOIN (
+      SELECT * FROM (
+        SELECT *, min(tier) OVER (PARTITION BY mention) AS best FROM (
+          SELECT *, CASE WHEN len(ml) > 0 THEN CASE WHEN sim >= 0.70 OR contains(whole, entity) OR {_SUBSET.format('whole', 'entity')} THEN 3 END
+                         WHEN contains(whole, entity) OR held OR sim >= 0.8 THEN 2 WHEN sim >= 0.62 THEN 4 END AS tier
+          FROM (SELECT *, CASE WHEN len(ml) > 0 THEN {_BLEND} ELSE r END AS sim FROM scored)) WHERE tier IS NOT NULL)
+      WHERE tier = best OR best = 2 AND sim >= 0.68) f ON f.mention = s.mention
+    WHERE array_to_string(s.segments, '') NOT IN (SELECT name FROM term)))"""
 
 
 def tiered(spark, sf):
-    return C.link(mentions(spark, sf), entities(spark, sf))
+    return C.link(sayings(spark, sf), terms(spark, sf), sounds())
 
 
-@_query("tiered_candidates", "SELECT mention, entity, round(sim, 6) AS sim, match_type FROM tiered", f"{_BASE}, {_TIERED}")
+@_query("tiered_candidates", "SELECT mention, entity, round(sim, 6) AS sim, match_type FROM tiered", f"{_SPOKEN}, {_TIERED}")
 def tiered_candidates(spark, sf):
     return tiered(spark, sf).select("mention", "entity", F.round("sim", 6).alias("sim"), "match_type")
 
 
-@_query("segment_candidates")
+def _ascii(x: str) -> str:
+    """One letter for each character: DuckDB's Jaro-Winkler compares bytes."""
+    import string
+
+    return f"translate({x}, '{''.join(SOUNDS)}', '{string.ascii_letters[: len(SOUNDS)]}')"
+
+
+_MENTION_SIM = f"greatest(({_phon('ts', 'es')}), ({_overlap('bare', 'target')}), (({_edit('tc', 'ec', 2.0, 2.0, '1')}) + jaro_winkler_similarity({_ascii('bare')}, {_ascii('target')})) / 2)"
+_PARTS = f"""part_ AS (
+  SELECT mention, n, seg_no, text, seg_no = n AS is_whole, ml, {_NEG.format('text')} AS neg FROM (
+    SELECT mention, len(segments) AS n, unnest(range(len(alls))) AS seg_no, unnest(alls) AS text, {_LOCS.format('text')} AS ml
+    FROM (SELECT *, CASE WHEN len(segments) = 1 THEN segments ELSE list_append(segments, array_to_string(segments, '')) END AS alls FROM saying))),
+hit AS (SELECT mention, seg_no, name AS entity, 1.0::DOUBLE AS sim, is_whole FROM part_ JOIN term ON text = name),
+done AS (SELECT DISTINCT mention FROM hit WHERE is_whole),
+two AS (
+  SELECT *, {_syl('bare')} AS ts, {_syl('target')} AS es, string_split(bare, '') AS tc, string_split(target, '') AS ec FROM (
+    SELECT p.*, located, name AS entity, {_LOCS.format('name')} AS el, CASE WHEN located THEN {_BARE.format('text')} ELSE text END AS bare, CASE WHEN located THEN {_BARE.format('name')} ELSE name END AS target
+    FROM (SELECT *, NOT is_whole AND len(ml) > 0 AS located FROM part_) p, term
+    WHERE neg = {_NEG.format('name')} AND mention NOT IN (FROM done)
+      AND (is_whole OR located OR (len({_LOCS.format('name')}) = 0 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.mention = p.mention AND h.seg_no = p.seg_no))))),
+rated AS (
+  SELECT *, CASE WHEN located THEN {_BLEND} ELSE r END AS sim,
+         CASE WHEN located THEN contains(text, entity) OR {_SUBSET.format('text', 'entity')}
+              ELSE contains(text, entity) OR {_SUBSET.format('text', 'entity')} OR len(list_filter(es, lambda c: NOT list_contains(ts, c))) = 0 END AS inside
+  FROM (SELECT *, CASE WHEN bare = '' OR target = '' THEN NULL ELSE {_MENTION_SIM} END AS r FROM two)),
+matched AS (SELECT mention, seg_no, entity, max(sim) AS sim FROM (
+  SELECT mention, seg_no, entity, sim FROM hit WHERE is_whole OR mention NOT IN (FROM done) UNION ALL
+  SELECT mention, seg_no, entity, sim FROM rated WHERE located AND (sim >= 0.70 OR inside)) GROUP BY 1, 2, 3),
+later AS (
+  SELECT *, bool_or(strong) OVER (PARTITION BY mention, seg_no) AS any_strong FROM (
+    SELECT *, inside AND (sim > 0.3 OR NOT is_whole AND sim >= 0.3) OR sim >= 0.8 AS strong FROM rated r
+    WHERE NOT located AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.mention = r.mention AND m.entity = r.entity))
+  WHERE strong OR sim >= CASE WHEN is_whole THEN 0.70 ELSE 0.65 END)"""
+
+
+@_query("segment_candidates", "SELECT mention, seg_no, entity, round(sim, 6) AS sim FROM (SELECT mention, seg_no, entity, sim FROM matched UNION ALL SELECT mention, seg_no, entity, sim FROM later WHERE strong OR NOT any_strong)", f"{_SPOKEN}, {_PARTS}")
 def segment_candidates(spark, sf):
-    return C.segment_candidates(mentions(spark, sf).select("mention", F.split("mention", " ").alias("segments")), entities(spark, sf)).withColumn("sim", F.round("sim", 6))
+    return C.segment_candidates(sayings(spark, sf), terms(spark, sf), sounds()).withColumn("sim", F.round("sim", 6))
 
 
 @_query("surviving_groups", f"SELECT mention, l3 FROM mention, (SELECT l3, min(name) AS parent FROM entity GROUP BY l3) WHERE {_overlap('parent', 'mention')} > 0.5")
@@ -223,9 +348,16 @@ def surviving_groups(spark, sf):
     return C.surviving_groups(mentions(spark, sf), entities(spark, sf).groupBy("l3").agg(F.min("name").alias("name")), 0.5)
 
 
-@_query("sibling_expand", f"SELECT mention, entity, round(max(sim), 6) AS sim FROM (SELECT * FROM ({_TEXT_CAND}) UNION ALL SELECT c.mention, o.name, {_overlap('c.mention', 'o.name')} FROM ({_TEXT_CAND}) c JOIN entity e ON c.entity = e.name JOIN entity o ON o.l4 = e.l4) WHERE sim >= 0.5 GROUP BY 1, 2")
+_NEAR_TERM = f"SELECT mention, entity, sim FROM (SELECT mention, entity, {_overlap('mention', 'entity')} AS sim FROM ({_SPOKEN_GRID})) WHERE sim >= 0.62"
+_SIB = f"""cand AS ({_NEAR_TERM}), pair AS (
+  SELECT DISTINCT c.mention, o.name AS entity, [c.mention] AS bare, o.name AS target, c.mention AS joined, {_syl('c.mention')} AS ws, {_syl('o.name')} AS es
+  FROM cand c JOIN term e ON c.entity = e.name JOIN term o ON o.l4 = e.l4), scored AS ({_SEGS})"""
+
+
+@_query("sibling_expand", "SELECT mention, entity, round(sim, 6) AS sim FROM cand c WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.mention = c.mention AND s.entity = c.entity AND (r >= 0.70 OR held)) UNION ALL SELECT mention, entity, round(r, 6) FROM scored WHERE r >= 0.70 OR held", f"{_SPOKEN}, {_SIB}")
 def sibling_expand(spark, sf):
-    return C.add_siblings(_text_candidates(spark, sf), entities(spark, sf), 0.5).withColumn("sim", F.round("sim", 6))
+    found = _spoken_grid(spark, sf).withColumn("sim", S.char_overlap(F.col("mention"), F.col("entity"))).where("sim >= 0.62")
+    return C.add_siblings(found, terms(spark, sf), syllables=sounds()).withColumn("sim", F.round("sim", 6))
 
 
 _ALIAS = "SELECT min(name) AS a, max(name) AS b FROM entity GROUP BY l4 HAVING min(name) <> max(name)"
@@ -436,7 +568,7 @@ def size_hist(spark, sf):
     return evaluate.size_histogram(_text_candidates(spark, sf))
 
 
-@_query("match_type_hist", "SELECT match_type, count(DISTINCT mention) AS n FROM tiered GROUP BY 1", f"{_BASE}, {_TIERED}")
+@_query("match_type_hist", "SELECT match_type, count(DISTINCT mention) AS n FROM tiered GROUP BY 1", f"{_SPOKEN}, {_TIERED}")
 def match_type_hist(spark, sf):
     return evaluate.type_histogram(tiered(spark, sf))
 
@@ -446,6 +578,7 @@ def candidate_recall(spark, sf):
     return evaluate.candidate_recall(mentions(spark, sf).withColumnRenamed("truth", "entity"), _text_candidates(spark, sf)).withColumn("recall", F.round("recall", 6))
 
 
-@_query("top_link", "SELECT mention, entity, round(sim, 6) AS sim, match_type FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY round(sim, 9) DESC, entity) AS k FROM tiered) WHERE k = 1", f"{_BASE}, {_TIERED}")
+@_query("top_link", "SELECT mention, entity, round(sim, 6) AS sim, match_type FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY round(sim, 9) DESC, entity) AS k FROM tiered WHERE entity IS NOT NULL) WHERE k = 1", f"{_SPOKEN}, {_TIERED}")
 def top_link(spark, sf):
-    return rank.top_k(tiered(spark, sf).withColumn("sim", F.round("sim", 9)), 1).select("mention", "entity", F.round("sim", 6).alias("sim"), "match_type")
+    return rank.top_k(tiered(spark, sf).where("entity is not null").withColumn("sim", F.round("sim", 9)), 1).select("mention", "entity", F.round("sim", 6).alias("sim"), "match_type")
+
