@@ -68,20 +68,49 @@ def mention_neighbours(items: DataFrame, mentions: DataFrame) -> DataFrame:
     return m.join(items.select("record_id", F.col("name").alias("entity")), "record_id").where("mention != entity").select("mention", "entity").distinct()
 
 
+def neighbours_by_role(items: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``mention, role, entity``: the other names of the records that hold a mention, apart for each role they have there."""
+    m = items.join(mentions.select(F.col("mention").alias("name")).distinct(), "name", "left_semi").select("record_id", F.col("name").alias("mention"))
+    return m.join(items.select("record_id", "role", F.col("name").alias("entity")), "record_id").where("mention != entity").select("mention", "role", "entity").distinct()
+
+
+def mixed_graph(items: DataFrame, best: DataFrame, names: DataFrame, gate: float = 0.857) -> tuple[DataFrame, DataFrame]:
+    """``(vertices(name, type), edges(a, b, n))`` of mentions resolved where they can be; every name of the dictionary is a vertex."""
+    resolved = resolve_mentions(items, best, gate)
+    types = resolved.select("name", "type").unionAll(names.select("name", F.lit(1))).groupBy("name").agg(F.max("type").alias("type"))
+    return types, positional_pairs(resolved)
+
+
 def resolve_mentions(items: DataFrame, best: DataFrame, gate: float = 0.857) -> DataFrame:
     """Mixed vertices: mentions whose best candidate passes the gate become it (type 1), others stay (type 0)."""
     sure = best.where(F.col("sim") > gate).select(F.col("mention").alias("name"), "entity")
     return items.join(sure, "name", "left").withColumn("type", F.col("entity").isNotNull().cast("int")).withColumn("name", F.coalesce("entity", "name")).drop("entity")
 
 
-def log_network(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges ``src, dst, weight = ln(n + 2)`` (every other cell is ln 2) and vertices ``name, popularity = (1 + count) / sum``."""
+def log_network(items: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges ``src, dst, weight = ln(n + 2)`` (every other cell is ln 2) and vertices ``name, popularity = (1 + count) / sum``.
+
+    With ``names(name)``, a closed dictionary, its names without items count as 1 too.
+    """
     edges = positional_pairs(items, ordered=True).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.log(F.col("n") + F.lit(2)).alias("weight"))
-    counts = items.groupBy("name").agg((F.count("*") + 1).alias("c"))
+    said = items.select("name", F.lit(1).alias("c"))
+    if names is not None:
+        said = said.unionAll(names.select("name").distinct().select("name", F.lit(0)))
+    counts = said.groupBy("name").agg((F.sum("c") + 1).alias("c"))
     total = counts.agg(F.sum("c").alias("total"))
     return edges, counts.join(F.broadcast(total)).select("name", (F.col("c") / F.col("total")).alias("popularity"))  # total is one row
 
 
+def fall_back(items: DataFrame, names: DataFrame, known: DataFrame | None, last_slot: int = 10) -> DataFrame:
+    """``items`` in which a name of the first slots that isn't in the dictionary ``names`` is what an earlier round found for it in ``known(name, entity)``."""
+    if known is None:
+        return items
+    own = names.select("name").distinct().withColumn("own", F.lit(True))
+    found = items.join(known.select("name", F.col("entity").alias("found")), "name", "left").join(own, "name", "left")
+    use = (F.col("slot") <= last_slot) & F.col("own").isNull() & F.col("found").isNotNull()
+    return found.select(*(F.when(use, F.col("found")).otherwise(F.col("name")).alias("name") if c == "name" else F.col(c) for c in items.columns))
+
+
 def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     used = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
     return vertices.join(used, "name", "left_anti")

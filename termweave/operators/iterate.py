@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import forget, materialize
+from . import graph
 
 
 def matrix_simrank(edges: DataFrame, c: float = 0.8, steps: int = 100, every: int = 1) -> DataFrame:
@@ -80,122 +81,232 @@ def personalized_pagerank(edges: DataFrame, jump: float = 0.2, steps: int = 20,
     return now
 
 
-DENSE_VERTICES = 2_000
 BATCH_RECORDS = 200
+#: Columns of walks that are held at once, times the vertices of a record.
+WALK_CELLS = 1 << 22
+NETWORK_ROWS = 1_000_000
+COHERENCE = "mention string, entity string, score double, rank int"
 
 
-def _walks(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, jump: float, steps: int) -> np.ndarray:
-    """Row s: the walk that restarts at s, over row-normalised weights."""
-    m = np.zeros((n, n))
-    np.add.at(m, (src, dst), weight)
-    rows = m.sum(1, keepdims=True)
-    m = np.divide(m, rows, out=np.zeros_like(m), where=rows > 0)
-    w = np.eye(n)
-    for _ in range(steps):
-        w = (1 - jump) * w @ m + jump * np.eye(n)
-    return w
-
-
-def _split_by_size(edges: DataFrame) -> DataFrame:
-    """``record_id`` of the records whose graphs are too large for a dense matrix."""
-    sized = edges.groupBy("record_id").agg(F.count_distinct("src").alias("n"))
-    return materialize(sized.where(F.col("n") > DENSE_VERTICES).select("record_id"), "large-records")
-
-
-def _dense_record(vertices: pd.DataFrame, edges: pd.DataFrame, jump: float, steps: int, rounds: int) -> pd.DataFrame:
-    """``personalized_pagerank`` and ``coherence_rank`` of one record."""
-    names = sorted({*vertices["entity"], *edges["src"], *edges["dst"]})
-    at = {x: k for k, x in enumerate(names)}
-    pr = _walks(edges["src"].map(at).to_numpy(int), edges["dst"].map(at).to_numpy(int), edges["weight"].to_numpy(float), len(names), jump, steps)
-    linked = np.zeros(len(names), bool)
-    linked[[at[x] for x in {*edges["src"], *edges["dst"]}]] = True
-    pr[~linked] = 0  # as a vertex without edges has no walk
-    reached = np.maximum((pr > 0).sum(0), 1)
-    mean = pr.sum(0) / reached
-    v = vertices.sort_values(["mention", "entity"])
-    entity, mention, score = v["entity"].map(at).to_numpy(int), pd.factorize(v["mention"])[0], v["score"].to_numpy(float)
-    other = mention[:, None] != mention[None, :]
-    pull = pr[np.ix_(entity, entity)] * score[:, None] * other
-    voters, last = np.ones(len(v), bool), None
-    for _ in range(rounds):
-        total = pull[voters].sum(0) + mean[entity] * score
-        order = np.lexsort((np.arange(len(v)), -total, mention))
-        won = order[np.r_[True, mention[order][1:] != mention[order][:-1]]]
-        if last is not None and (won == last).all():
+def candidate_vertices(candidates: DataFrame, popularity: DataFrame, factor: float = 1.2) -> DataFrame:
+    """``record_id, slot, mention, entity, score, place`` from candidates with ``sim``: popularity and similarity, shares of their mention's sum.
+
+    A mention is a slot of its record, however often its text occurs; ``place`` is the order by similarity.
+    """
+    one = Window.partitionBy("record_id", "slot")
+    raw = factor * F.coalesce("popularity", F.lit(0.0)) + F.col("sim")
+    scored = candidates.join(popularity.withColumnRenamed("name", "entity"), "entity", "left").withColumn("raw", raw)
+    total = F.sum("raw").over(one)
+    place = F.row_number().over(one.orderBy(F.desc("sim"), "entity"))
+    return scored.select("record_id", "slot", "mention", "entity", F.when(total > 0, F.col("raw") / total).otherwise(F.col("raw")).alias("score"), place.alias("place"))
+
+
+class Walks:
+    """Walks on a record's vertices, all of which are linked: by the network's weight of their names, ln 2 where it has none.
+
+    Vertices of one name have the same weights, so a step sums up by name first and needs no matrix of vertices.
+    """
+
+    def __init__(self, name: np.ndarray, weights: np.ndarray, jump: float, steps: int) -> None:
+        self.name, self.weights, self.jump, self.steps = name, weights, jump, steps
+        self.own = weights[name, name]  # a vertex is not linked with itself
+        rows = weights[name] @ np.bincount(name, minlength=len(weights)) - self.own
+        self.share = np.divide(1.0, rows, out=np.zeros(len(name)), where=rows > 0)
+
+    def restarted_at(self, ends: np.ndarray) -> np.ndarray:
+        """Column k: where the walk is that goes back to vertex ``ends[k]``."""
+        back = np.zeros((len(self.name), len(ends)))
+        back[ends, np.arange(len(ends))] = 1.0
+        by_name = (self.name == np.arange(len(self.weights))[:, None]).astype(float)
+        w = back
+        for _ in range(self.steps):
+            sent = w * self.share[:, None]
+            w = (1 - self.jump) * ((self.weights.T @ (by_name @ sent))[self.name] - self.own[:, None] * sent) + self.jump * back
+        return w
+
+
+def rank_record(home: np.ndarray, score: np.ndarray, walks: Walks, rounds: int = 100) -> np.ndarray:
+    """The coherence score of each vertex; ``home`` numbers the mentions, each with its vertices in order.
+
+    A vertex gets from each voter of another mention that voter's score times the presence there of the walk that goes back to
+    the vertex, and its own score times the sum of all such presences over the number of vertices. At first all vertices vote, then the
+    winners of their mentions, until those don't change.
+    """
+    n = len(home)
+    step = max(1, WALK_CELLS // max(1, n))
+    blocks = [np.arange(k, min(n, k + step)) for k in range(0, n, step)]
+    kept = walks.restarted_at(blocks[0]) if len(blocks) == 1 else None
+    first = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+    won, total = first, np.zeros(n)
+    for k in range(rounds):
+        voters = np.arange(n) if k == 0 else won
+        pull, presence = np.zeros(n), 0.0
+        for ends in blocks:
+            w = (walks.restarted_at(ends) if kept is None else kept)[voters] * (home[voters][:, None] != home[ends])
+            pull[ends] = score[voters] @ w
+            presence += w.sum()
+        total = pull + presence / n * score
+        order = np.lexsort((np.arange(n), -np.round(total, 12), home))
+        now = order[first]
+        if (now == won).all():
             break
-        last = won
-        voters = np.zeros(len(v), bool)
-        voters[won] = True
-    best = v.iloc[won]
-    return pd.DataFrame({"record_id": best["record_id"], "mention": best["mention"], "entity": best["entity"], "score": total[won]})
+        won = now
+    return total
 
 
-def collective_rank(vertices: DataFrame, edges: DataFrame, jump: float = 0.2, steps: int = 20, rounds: int = 100) -> DataFrame:
-    """``record_id, mention, entity, score`` of ``candidate_graph``: walks, then coherence to a fixpoint, record by record.
+def collective_rank(vertices: DataFrame, network: DataFrame, jump: float = 0.2, steps: int = 20, rounds: int = 100) -> DataFrame:
+    """``record_id, slot, mention, entity, score, rank``: every vertex of ``candidate_vertices`` with its coherence score, best first in its slot.
 
-    Records of up to ``DENSE_VERTICES`` vertices are solved one by one as small matrices, ``BATCH_RECORDS`` to a task's
-    group; larger ones by the sparse joins.
+    ``network(src, dst, weight)`` is that of a closed dictionary. Under ``NETWORK_ROWS`` rows, which are counted, every worker
+    holds it; beyond, each record gets the weights between its own names by a join. Records are solved ``BATCH_RECORDS`` to a
+    group; a record's walks are held ``WALK_CELLS`` at once.
+    """
+    kinds = {c: vertices.schema[c].dataType.simpleString() for c in ("record_id", "slot")}
+    out = f"record_id {kinds['record_id']}, slot {kinds['slot']}, {COHERENCE}"
+    groups = max(1, vertices.select("record_id").distinct().count() // BATCH_RECORDS)
+    bucket = F.pmod(F.xxhash64("record_id"), F.lit(groups)).alias("bucket")
+
+    def solve(v: pd.DataFrame, weight_of) -> pd.DataFrame:
+        done = []
+        for r, part in v.sort_values(["record_id", "slot", "place"]).groupby("record_id", sort=False):
+            names, name = np.unique(part["entity"].to_numpy(str), return_inverse=True)
+            weights = np.array([[weight_of(r, x, y) for y in names] for x in names])
+            home = pd.factorize(part["slot"])[0]
+            total = np.round(rank_record(home, part["score"].to_numpy(float), Walks(name, weights, jump, steps), rounds), 12)
+            order = np.lexsort((np.arange(len(part)), -total, home))
+            place = np.empty(len(part), np.int32)
+            place[order] = np.arange(len(part)) - np.searchsorted(home, home) + 1
+            done.append(pd.DataFrame({"record_id": part["record_id"], "slot": part["slot"], "mention": part["mention"], "entity": part["entity"], "score": total, "rank": place}))
+        return pd.concat(done)
+
+    default = float(np.log(2.0))
+    dealt = vertices.withColumn("bucket", bucket)
+    if network.limit(NETWORK_ROWS + 1).count() <= NETWORK_ROWS:
+        held = vertices.sparkSession.sparkContext.broadcast({(r["src"], r["dst"]): r["weight"] for r in network.select("src", "dst", "weight").toLocalIterator()})
+        return dealt.groupBy("bucket").applyInPandas(lambda v: solve(v, lambda r, x, y: held.value.get((x, y), default)), out)
+    own = vertices.select(F.col("record_id").alias("r"), F.col("entity").alias("src")).distinct()
+    links = own.join(network.select("src", "dst", "weight"), "src").join(own.toDF("r", "dst"), ["r", "dst"])
+    links = links.withColumn("group", F.pmod(F.xxhash64("r"), F.lit(groups)))
+
+    def with_links(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip(zip(e["r"], e["src"], e["dst"], strict=True), e["weight"], strict=True))
+        return solve(v, lambda r, x, y: known.get((r, x, y), default)) if len(v) else pd.DataFrame({c: [] for c in ("record_id", "slot", "mention", "entity", "score", "rank")})
+
+    return dealt.groupBy("bucket").cogroup(links.groupBy("group")).applyInPandas(with_links, out)
+
+
+def _winners(ranked: DataFrame) -> DataFrame:
+    return ranked.where("rank = 1").select("record_id", "slot", F.col("entity").alias("name"))
+
+
+def train_network(candidates: DataFrame, names: DataFrame, rounds: int = 5, **options) -> tuple[DataFrame, DataFrame]:
+    """``(edges, popularity)`` of the network of winners: those by text first, then ``rounds`` times those of ``collective_rank``.
+
+    ``candidates(record_id, slot, mention, entity, sim)``, ``names(name)`` the dictionary.
     """
-    large = _split_by_size(edges)
-    kind = vertices.schema["record_id"].dataType.simpleString()
-    bucket = F.pmod(F.xxhash64("record_id"), F.lit(max(1, vertices.select("record_id").distinct().count() // BATCH_RECORDS))).alias("bucket")
-
-    def solve(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        by = dict(list(e.groupby("record_id")))
-        none = e.iloc[:0]
-        out = [_dense_record(part, by.get(r, none), jump, steps, rounds) for r, part in v.groupby("record_id")]
-        return pd.concat(out) if out else pd.DataFrame({"record_id": [], "mention": [], "entity": [], "score": []})
-
-    small_v, small_e = (d.join(large, "record_id", "left_anti").withColumn("bucket", bucket) for d in (vertices, edges))
-    dense = small_v.groupBy("bucket").cogroup(small_e.groupBy("bucket")).applyInPandas(solve, f"record_id {kind}, mention string, entity string, score double")
-    if large.isEmpty():
-        return dense
-    v, e = vertices.join(large, "record_id", "left_semi"), edges.join(large, "record_id", "left_semi")
-    return dense.unionByName(coherence_rank(v, personalized_pagerank(e, jump, steps, ("record_id",)), rounds))
-
-
-def candidate_graph(candidates: DataFrame, network: DataFrame, popularity: DataFrame, factor: float = 1.2) -> tuple[DataFrame, DataFrame]:
-    """Of each record: vertices ``record_id, mention, entity, score`` (normalised within a mention) and edges between candidates of different mentions."""
-    scored = candidates.join(popularity.withColumnRenamed("name", "entity"), "entity", "left").withColumn("raw", factor * F.coalesce("popularity", F.lit(0.0)) + F.col("sim"))
-    v = scored.withColumn("score", F.col("raw") / F.sum("raw").over(Window.partitionBy("record_id", "mention"))).select("record_id", "mention", "entity", "score")
-    a, b = v.select("record_id", F.col("mention").alias("m"), F.col("entity").alias("src")), v.select("record_id", F.col("mention").alias("o"), F.col("entity").alias("dst"))
-    e = a.join(b, "record_id").where("m != o").select("record_id", "src", "dst").distinct().join(network, ["src", "dst"], "left")
-    return v, e.select("record_id", "src", "dst", F.coalesce("weight", F.log(F.lit(2.0))).alias("weight"))
-
-
-def coherence_rank(vertices: DataFrame, ppr: DataFrame, rounds: int = 100) -> DataFrame:
-    """``record_id, mention, entity, score``: winners per mention, re-scored against the winners of other mentions until none changes."""
-    v = materialize(vertices, "coherence-v")
-    p = materialize(ppr, "coherence-p")
-    mean = p.groupBy("record_id", F.col("vertex").alias("entity")).agg(F.avg("v").alias("mean"))
-    by = Window.partitionBy("record_id", "mention").orderBy(F.desc("total"), "entity")
-    voters, last = v, None
+    best = Window.partitionBy("record_id", "slot").orderBy(F.desc("sim"), "entity")
+    won = candidates.withColumn("rank", F.row_number().over(best))
+    network = _network(_winners(won), names)
     for _ in range(rounds):
-        s = voters.select("record_id", F.col("mention").alias("other"), F.col("entity").alias("source"), F.col("score").alias("i"))
-        pull = v.join(s, "record_id").where("mention != other").join(p.select("record_id", "source", F.col("vertex").alias("entity"), F.col("v").alias("pr")), ["record_id", "source", "entity"]).groupBy("record_id", "mention", "entity").agg(F.sum(F.col("pr") * F.col("i")).alias("coh"))
-        total = F.coalesce("coh", F.lit(0.0)) + F.coalesce("mean", F.lit(0.0)) * F.col("score")
-        ranked = v.join(pull, ["record_id", "mention", "entity"], "left").join(mean, ["record_id", "entity"], "left").withColumn("total", total).withColumn("n", F.row_number().over(by))
-        won = materialize(ranked.where("n = 1").select("record_id", "mention", "entity", "score", "total"), "coherence")
-        mark = tuple(won.agg(F.count("*"), F.sum(F.xxhash64("record_id", "mention", "entity").cast("decimal(38,0)"))).first())
-        if mark == last:
-            break
-        voters, last = won, mark
-    return won.select("record_id", "mention", "entity", F.col("total").alias("score"))
+        edges, popularity = network
+        ranked = collective_rank(candidate_vertices(candidates, popularity), edges, **options)
+        new = _network(_winners(ranked), names)
+        for old in network:
+            forget(old)
+        network = new
+    return network
+
+
+def _network(items: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    edges, popularity = graph.log_network(materialize(items, "winners"), names)
+    return materialize(edges, "network-edges"), materialize(popularity, "network-names")
 
 
 def neighbour_score(candidate_edges: DataFrame, neighbours: DataFrame, sims: DataFrame) -> DataFrame:
-    """``mention, entity, score``: the mean of non-zero scores between a candidate's and the mention's neighbours."""
-    pairs = candidate_edges.select("mention", "entity", F.col("dst").alias("i")).join(neighbours.select("mention", F.col("entity").alias("j")), "mention")
-    return pairs.join(sims, ["i", "j"]).where("v != 0").groupBy("mention", "entity").agg(F.avg("v").alias("score"))
+    """``mention, entity, score``: the mean of non-zero scores between a candidate's and the mention's neighbours; a name and itself score 1."""
+    pairs = neighbour_pairs(candidate_edges, neighbours, sims)
+    return pairs.groupBy("mention", "entity").agg(F.avg("v").alias("score"))
+
+
+def neighbour_means(candidate_edges: DataFrame, neighbours: DataFrame, sims: DataFrame) -> DataFrame:
+    """``mention, entity, neighbour, score``: the means for each of a candidate's neighbours."""
+    return neighbour_pairs(candidate_edges, neighbours, sims).groupBy("mention", "entity", F.col("i").alias("neighbour")).agg(F.avg("v").alias("score"))
+
+
+def neighbour_pairs(candidate_edges: DataFrame, neighbours: DataFrame, sims: DataFrame) -> DataFrame:
+    """``mention, entity, i, j, v`` over ``candidate_edges(mention, entity, dst)`` and ``neighbours(mention, entity)``."""
+    pairs = candidate_edges.select("mention", "entity", F.col("dst").alias("i")).distinct().join(neighbours.select("mention", F.col("entity").alias("j")).distinct(), "mention")
+    scored = pairs.join(sims.where("i != j").select("i", "j", "v"), ["i", "j"], "left").withColumn("v", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("v")))
+    return scored.where("v > 0").select("mention", "entity", "i", "j", "v")
+
+
+def classify(candidates: DataFrame, edges: DataFrame, neighbours: DataFrame, sims: DataFrame) -> DataFrame:
+    """``mention, entity, score`` of mentions that graph scores can rank; the others have no row.
+
+    Left to their text are mentions with a candidate of similarity 1, without neighbours, or with a candidate that has no score.
+    """
+    open_ = candidates.groupBy("mention").agg(F.max("sim").alias("best"), F.count("*").alias("n")).where("abs(best - 1) > 1e-5")
+    asked = candidates.join(open_, "mention", "left_semi").join(neighbours.select("mention"), "mention", "left_semi")
+    found = neighbour_score(asked.join(edges.select(F.col("src").alias("entity"), "dst"), "entity"), neighbours, sims)
+    whole = found.groupBy("mention").agg(F.count("*").alias("scored")).join(open_, "mention").where("scored = n")
+    return found.join(whole.select("mention"), "mention", "left_semi")
+
+
+def classify_related(candidates: DataFrame, edges: DataFrame, neighbours: DataFrame, related: DataFrame) -> DataFrame:
+    """``mention, entity, score``: a candidate's relatedness to the mention's neighbours, summed, over its degree; none where a candidate is not in the graph."""
+    degree = edges.groupBy(F.col("src").alias("entity")).agg(F.count("*").alias("degree"))
+    known = candidates.select("mention", "entity").join(degree, "entity", "left")
+    whole = known.groupBy("mention").agg(F.min(F.col("degree").isNotNull()).alias("whole")).where("whole").select("mention")
+    near = neighbours.select("mention", F.col("entity").alias("dst")).distinct()
+    total = known.join(near, "mention").join(related.select(F.col("src").alias("entity"), "dst", "wlm"), ["entity", "dst"]).groupBy("mention", "entity").agg(F.sum("wlm").alias("total"))
+    return known.join(whole, "mention", "left_semi").join(total, ["mention", "entity"], "left").select("mention", "entity", (F.coalesce("total", F.lit(0.0)) / F.col("degree")).alias("score"))
+
+
+def triage(candidates: DataFrame, edges: DataFrame, neighbours: DataFrame, gate: float = 0.85, few: int = 3) -> DataFrame:
+    """``mention, route``: ``sure`` by text, ``outside`` with a candidate that is not in the graph, then by the number of neighbours ``few`` or ``many``."""
+    inside = edges.select(F.col("src").alias("entity")).distinct().withColumn("inside", F.lit(True))
+    said = candidates.join(inside, "entity", "left").groupBy("mention").agg(F.max("sim").alias("best"), F.min(F.coalesce("inside", F.lit(False))).alias("inside"))
+    near = neighbours.groupBy("mention").agg(F.count_distinct("entity").alias("near"))
+    route = F.when(F.col("best") >= gate, "sure").when(~F.col("inside"), "outside").when(F.coalesce("near", F.lit(0)) > few, "many").otherwise("few")
+    return said.join(near, "mention", "left").select("mention", route.alias("route"))
 
 
 def blend(before: DataFrame, after: DataFrame, r: float = 0.4) -> DataFrame:
-    """``mention, entity, sim``: text similarity and graph score over its maximum, mixed; text alone where any candidate lacks a score."""
+    """``mention, entity, sim``: text similarity and graph score over its maximum, mixed.
+
+    Text alone where any candidate lacks a score or the maximum is under 1e-5.
+    """
     j = before.join(after, ["mention", "entity"], "left")
     w = Window.partitionBy("mention")
     top, all_scored = F.max("score").over(w), F.min(F.col("score").isNotNull()).over(w)
-    mixed = F.col("sim") * (1 - r) + F.coalesce(F.col("score") / F.nullif(top, F.lit(0.0)), F.lit(0.0)) * r
-    return j.select("mention", "entity", F.when(all_scored, mixed).otherwise(F.col("sim")).alias("sim"))
+    mixed = F.col("sim") * (1 - r) + F.col("score") / top * r
+    return j.select("mention", "entity", F.when(all_scored & (top >= 1e-5), mixed).otherwise(F.col("sim")).alias("sim"))
+
+
+def relink(items: DataFrame, names: DataFrame, candidates: DataFrame, rounds: int = 3, r: float = 0.4, steps: int = 100, last_slot: int = 10) -> DataFrame:
+    """``mention, entity, sim`` by the graph of the last round; each round's winners stand for their mentions in the graph of the next.
+
+    ``items(record_id, slot, role, name)``, of which names of the dictionary ``names(name)`` and procedures are vertices;
+    ``candidates(mention, entity, sim)``.
+    """
+    known: DataFrame | None = None
+    out = candidates.select("mention", "entity", "sim")
+    for _ in range(rounds):
+        now = graph.fall_back(items, names, known, last_slot)
+        vertices = materialize(graph.recognised(now.where(F.col("slot") <= last_slot), names).unionByName(now.where(F.col("slot") > last_slot)), "relink-items")
+        edges = materialize(graph.conditional_edges(graph.clique_pairs(vertices), graph.occurrences(vertices, 1), 1), "relink-edges")
+        sims = materialize(simrank_pairs(matrix_simrank(edges, steps=steps)), "relink-sims")
+        bad = now.where(F.col("slot") <= last_slot).join(names.select("name"), "name", "left_anti").select("record_id", F.col("name").alias("mention"))
+        near = materialize(bad.join(vertices.select("record_id", F.col("name").alias("entity")), "record_id").select("mention", "entity").distinct(), "relink-neighbours")
+        scored = materialize(classify(candidates, edges, near, sims), "relink-scores")
+        mixed = blend(candidates.select("mention", "entity", "sim"), scored, r)
+        out = materialize(mixed, "relinked")
+        best = Window.partitionBy("mention").orderBy(F.desc("sim"), "entity")
+        won = out.join(scored.select("mention"), "mention", "left_semi").withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("mention").alias("name"), "entity")
+        known = materialize(won if known is None else won.unionByName(known.join(won.select("name"), "name", "left_anti")), "relink-winners")
+        for done in (vertices, edges, sims, near, scored):
+            forget(done)
+    return out
 
 
 def relatedness(edges: DataFrame) -> DataFrame:

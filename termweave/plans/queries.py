@@ -524,13 +524,26 @@ def idf_neighbour_cosine(spark, sf):
     return iterate.idf_cosine(mine, cand.select("mention", "entity").join(nb, "entity").select("mention", "entity", "element")).withColumn("sim", F.round("sim", 6))
 
 
+def _record_candidates(spark, sf):
+    """Candidates of the names of each order; three of four names are said in another form, told by the place."""
+    n = F.col("name")
+    form = F.when(F.col("slot") % 4 == 1, F.expr("substring(name, 2)")).when(F.col("slot") % 4 == 2, F.concat(n, F.lit("x"))).when(F.col("slot") % 4 == 3, F.concat_ws(" ", F.substring_index(n, " ", -1), F.substring_index(n, " ", 1))).otherwise(n)
+    said = _names(spark, sf).select("record_id", "slot", form.alias("mention"))
+    return said.join(_text_candidates(spark, sf), "mention").select("record_id", "slot", "mention", "entity", "sim")
+
+
 @_query("coherence_rank")
 def coherence_rank(spark, sf):
-    names = _names(spark, sf).select("record_id", F.col("name").alias("mention")).distinct()
-    cand = materialize(names.join(_text_candidates(spark, sf), "mention").select("record_id", "mention", "entity", "sim"), "query-candidates")
-    edges, pop = graph.log_network(_names(spark, sf))
-    v, e = iterate.candidate_graph(cand, edges, pop)
-    return iterate.collective_rank(materialize(v, "query-vertices"), materialize(e, "query-pairs")).withColumn("score", F.round("score", 6))
+    cand = _record_candidates(spark, sf)
+    edges, pop = graph.log_network(_names(spark, sf), entities(spark, sf))
+    return iterate.collective_rank(materialize(iterate.candidate_vertices(cand, pop), "query-vertices"), materialize(edges, "query-network")).withColumn("score", F.round("score", 6))
+
+
+@_query("train_network")
+def train_network(spark, sf):
+    """Five rounds, as the operator's default."""
+    edges, pop = iterate.train_network(materialize(_record_candidates(spark, sf), "query-candidates"), entities(spark, sf))
+    return edges.join(pop.withColumnRenamed("name", "src"), "src").select("src", "dst", F.round("weight", 6).alias("weight"), F.round("popularity", 9).alias("popularity"))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------

@@ -76,38 +76,105 @@ def test_conditional_weights(spark):
     assert graph.network_size(items.select("name").distinct(), graph.both_directions(pairs)).first()["edges"] == 6
 
 
-def brute_coherence(vertices, ppr, rounds=100):
-    mean, n = {}, {}
-    for (s, e), v in ppr.items():
-        mean[e], n[e] = mean.get(e, 0) + v, n.get(e, 0) + 1
-    mean = {e: v / n[e] for e, v in mean.items()}
-    voters, last = dict(vertices), None
-    for _ in range(rounds):
-        won = {}
-        for (m, e), i in vertices.items():
-            total = sum(ppr.get((s, e), 0) * x for (o, s), x in voters.items() if o != m) + mean.get(e, 0) * i
-            if m not in won or (-total, e) < (-won[m][1], won[m][0]):
-                won[m] = (e, total)
-        voters = {(m, e): vertices[m, e] for m, (e, _) in won.items()}
-        if {m: e for m, (e, _) in won.items()} == last:
+def brute_coherence(record, weight, rounds=100, jump=0.2, steps=20):
+    """``record``: for each mention its (name, score) in order. Every score of every candidate, by plain loops."""
+    vertices = [(home, name, score) for home, group in enumerate(record) for name, score in group]
+    n = len(vertices)
+    m = np.array([[0.0 if i == j else weight(a[1], b[1]) for j, b in enumerate(vertices)] for i, a in enumerate(vertices)])
+    m = np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=m.sum(1, keepdims=True) > 0)
+    walks = {}
+    for e in range(n):
+        back = np.eye(n)[e]
+        w = back
+        for _ in range(steps):
+            w = (1 - jump) * m.T @ w + jump * back
+        walks[e] = w
+    groups = [[i for i, v in enumerate(vertices) if v[0] == home] for home in range(len(record))]
+    won = [g[0] for g in groups]
+    for k in range(rounds):
+        voters = range(n) if k == 0 else won
+        pairs = [(s, e) for s in voters for e in range(n) if vertices[s][0] != vertices[e][0]]
+        average = sum(walks[e][s] for s, e in pairs) / n
+        total = [average * v[2] for v in vertices]
+        for s, e in pairs:
+            total[e] += walks[e][s] * vertices[s][2]
+        now = [max(g, key=lambda e: (round(total[e], 12), -e)) for g in groups]  # noqa: B023
+        if now == won:
             break
-        last = {m: e for m, (e, _) in won.items()}
-    return won
+        won = now
+    return [sorted(((vertices[e][1], total[e]) for e in g), key=lambda x: -round(x[1], 12)) for g in groups]
 
 
 def test_coherence(spark, monkeypatch):
-    vertices = {("m", "a"): 0.6, ("m", "b"): 0.4, ("n", "c"): 0.5, ("n", "d"): 0.5, ("o", "e"): 1.0}
-    edges = [(0, x, y, 5.0 if {x, y} <= {"b", "d", "e"} else 1.0) for (m, x) in vertices for (o, y) in vertices if m != o]
-    v = spark.createDataFrame([(k, m, e, s) for k in (0, 1) for (m, e), s in vertices.items()] + [(2, "m", "a", 1.0)], "record_id long, mention string, entity string, score double")
-    e = spark.createDataFrame([(k, *x[1:]) for k in (0, 1) for x in edges], "record_id long, src string, dst string, weight double")
-    walks = iterate.personalized_pagerank(e, keys=("record_id",))
-    want = brute_coherence(vertices, scores(walks.where("record_id = 0"), "source", "vertex"))
-    assert {m: x for m, (x, _) in want.items()} == {"m": "b", "n": "d", "o": "e"}
-    sparse = iterate.coherence_rank(v, walks)
-    dense = iterate.collective_rank(v, e)
-    monkeypatch.setattr(iterate, "DENSE_VERTICES", 1)
-    for got in (sparse, dense, iterate.collective_rank(v, e)):
-        rows = {(r["record_id"], r["mention"]): (r["entity"], r["score"]) for r in got.collect()}
-        assert len(rows) == 7 and rows[2, "m"] == ("a", 0.0)
-        for (k, m), (x, score) in rows.items():
-            assert k == 2 or x == want[m][0] and score == pytest.approx(want[m][1])
+    import random
+
+    rnd = random.Random(4)
+    names = [f"n{k}" for k in range(9)]
+    weights = {(a, b): rnd.choice([1.0, 2.0, 5.0, 9.0]) for a in names for b in names if rnd.random() < 0.5}
+    rows, want = [], {}
+    for r in range(12):
+        record = []
+        for slot in range(rnd.randrange(1, 6)):
+            group = [(x, rnd.random()) for x in rnd.sample(names, rnd.randrange(1, 5))]
+            sims = sorted((s for _, s in group), reverse=True)
+            total = sum(sims)
+            record.append([(x, s / total) for (x, _), s in zip(group, sims, strict=True)])
+            rows += [(r, slot, "m", x, s / total, k + 1) for k, ((x, _), s) in enumerate(zip(group, sims, strict=True))]
+        for slot, ranked in enumerate(brute_coherence(record, lambda a, b: weights.get((a, b), math.log(2)))):
+            want[r, slot] = ranked
+    v = spark.createDataFrame(rows, "record_id long, slot int, mention string, entity string, score double, place int")
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "src string, dst string, weight double")
+    monkeypatch.setattr(iterate, "BATCH_RECORDS", 3)
+    for held in (iterate.NETWORK_ROWS, 0):
+        monkeypatch.setattr(iterate, "NETWORK_ROWS", held)
+        for cells in (1 << 22, 8):
+            monkeypatch.setattr(iterate, "WALK_CELLS", cells)
+            got = {}
+            for x in iterate.collective_rank(v, e).orderBy("record_id", "slot", "rank").collect():
+                got.setdefault((x["record_id"], x["slot"]), []).append((x["entity"], x["score"]))
+            assert got.keys() == want.keys()
+            for k, ranked in want.items():
+                assert [x for x, _ in got[k]] == [x for x, _ in ranked]
+                assert [s for _, s in got[k]] == pytest.approx([s for _, s in ranked])
+
+
+def test_vertices_and_training(spark):
+    cand = spark.createDataFrame([(1, 0, "m", "a", 0.6), (1, 0, "m", "b", 0.6), (1, 1, "m", "a", 1.0), (2, 0, "k", "c", 0.0)], "record_id long, slot int, mention string, entity string, sim double")
+    names = spark.createDataFrame([(x,) for x in "abcd"], "name string")
+    edges, pop = graph.log_network(spark.createDataFrame([(1, 0, "a"), (1, 1, "a"), (1, 2, "b")], "record_id long, slot int, name string"), names)
+    p = {r["name"]: r["popularity"] for r in pop.collect()}
+    assert p == pytest.approx({"a": 3 / 7, "b": 2 / 7, "c": 1 / 7, "d": 1 / 7})
+    assert scores(edges, "src", "dst", value="weight") == pytest.approx({("a", "a"): math.log(4), ("a", "b"): math.log(4), ("b", "a"): math.log(4)})
+    v = {(r["record_id"], r["slot"], r["entity"]): (r["score"], r["place"]) for r in iterate.candidate_vertices(cand, pop).collect()}
+    a, b = 1.2 * 3 / 7 + 0.6, 1.2 * 2 / 7 + 0.6
+    assert v[1, 0, "a"] == (pytest.approx(a / (a + b)), 1) and v[1, 0, "b"] == (pytest.approx(b / (a + b)), 2) and v[1, 1, "a"] == (1.0, 1) and v[2, 0, "c"][0] == 1.0
+    edges, pop = iterate.train_network(cand, names, rounds=2)
+    assert scores(edges, "src", "dst", value="weight") == pytest.approx({("a", "a"): math.log(4)})
+    assert {r["name"]: r["popularity"] for r in pop.collect()} == pytest.approx({"a": 3 / 7, "b": 1 / 7, "c": 2 / 7, "d": 1 / 7})
+
+
+def test_classify_relate_and_triage(spark, toy):
+    cand = spark.createDataFrame([("m", "A", 0.5), ("m", "B", 0.4), ("k", "A", 0.9), ("k", "Z", 0.2), ("s", "A", 1.0)], "mention string, entity string, sim double")
+    near = spark.createDataFrame([("m", "C"), ("k", "C"), ("s", "C")], "mention string, entity string")
+    sims = spark.createDataFrame([("M", "C", 0.5), ("C", "M", 0.5), ("C", "C", 0.9)], "i string, j string, v double")
+    got = scores(iterate.classify(cand, toy, near, sims), "mention", "entity", value="score")
+    assert got == pytest.approx({("m", "A"): 0.75, ("m", "B"): 0.5})  # A has the neighbours M and C; C and itself score 1
+    mean = scores(iterate.neighbour_means(cand.join(toy.withColumnRenamed("src", "entity"), "entity").where("mention = 'm'"), near, sims), "entity", "neighbour", value="score")
+    assert mean == {("A", "M"): 0.5, ("A", "C"): 1.0, ("B", "M"): 0.5}
+    related = iterate.relatedness(toy)
+    w = scores(related, "src", "dst", value="wlm")
+    assert scores(iterate.classify_related(cand, toy, near, related), "mention", "entity", value="score") == pytest.approx({("m", "A"): w["A", "C"] / 2, ("m", "B"): 0.0, ("s", "A"): w["A", "C"] / 2})
+    assert {r["mention"]: r["route"] for r in iterate.triage(cand, toy, near).collect()} == {"m": "few", "k": "sure", "s": "sure"}
+    low = spark.createDataFrame([("m", "A", 1e-7), ("m", "B", 0.0)], "mention string, entity string, score double")
+    assert scores(iterate.blend(cand.where("mention = 'm'"), low), "entity", value="sim") == {("A",): 0.5, ("B",): 0.4}
+
+
+def test_relinking_uses_the_last_winners(spark):
+    items = [(r, 0, "main", "A") for r in range(3)] + [(r, 1, "vice", "C") for r in range(3)] + [(9, 0, "main", "x"), (9, 1, "vice", "C"), (10, 0, "main", "B"), (10, 1, "vice", "D"), (11, 0, "main", "x"), (11, 100, "surg", "P")]
+    items = spark.createDataFrame(items, "record_id long, slot int, role string, name string")
+    names = spark.createDataFrame([(x,) for x in "ABCD"], "name string")
+    cand = spark.createDataFrame([("x", "A", 0.5), ("x", "B", 0.5)], "mention string, entity string, sim double")
+    got = scores(iterate.relink(items, names, cand, rounds=2, steps=5), "mention", "entity", value="sim")
+    assert set(got) == {("x", "A"), ("x", "B")} and got["x", "A"] >= got["x", "B"]
+    known = spark.createDataFrame([("x", "A"), ("A", "B")], "name string, entity string")
+    assert sorted(r["name"] for r in graph.fall_back(items, names, known).where("record_id in (9, 11)").collect()) == ["A", "A", "C", "P"]
