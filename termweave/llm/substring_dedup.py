@@ -51,6 +51,8 @@ BLOCK_BANDS, BLOCK_ROWS = 3, 2
 RADIUS = 5
 MIN_RUN = 20
 MARGIN = 32
+#: Words on both sides of a seed that its block can reach.
+DEEP = WINDOW - SHINGLE
 PIECE = 1 << 20
 
 _RNG = np.random.default_rng(20)
@@ -503,43 +505,67 @@ def _similar_lines(docs: DataFrame, buckets: DataFrame, classes: DataFrame, min_
     return reached
 
 
-def _exact(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int]:
-    """The maximal run (i, j, n) of equal words through x[i] and y[j]."""
-    back, ahead = min(i, j), min(len(x) - i, len(y) - j)
-    left = np.flatnonzero((x[i - back : i] != y[j - back : j])[::-1])
-    right = np.flatnonzero(x[i : i + ahead] != y[j : j + ahead])
-    a, b = int(left[0]) if len(left) else back, int(right[0]) if len(right) else ahead
-    return i - a, j - a, a + b
-
-
-def _next_run(x: np.ndarray, y: np.ndarray, i: int, j: int, reach: int) -> tuple[int, int] | None:
-    """The nearest places from (i, j) on, ``reach`` words at most, with a shingle in common."""
-    u, v = x[i : i + reach + SHINGLE], y[j : j + reach + SHINGLE]
-    if min(len(u), len(v)) < SHINGLE:
-        return None
-    at: dict[int, int] = {}
-    for k, g in enumerate(gram_hashes(v, SHINGLE).tolist()):
-        at.setdefault(g, k)
-    found = [(k + at[g], k, at[g]) for k, g in enumerate(gram_hashes(u, SHINGLE).tolist()) if g in at]
-    return (i + min(found)[1], j + min(found)[2]) if found else None
-
-
-def _onward(x: np.ndarray, y: np.ndarray, run: tuple[int, int, int]) -> tuple[list[tuple[int, int, int]], bool]:
-    """Runs to the right of ``run`` across edits, and whether the search met the end of a slice."""
-    out, (i, j, n) = [], run
-    span = n
-    while True:
-        i, j = i + n, j + n
-        reach = max(8, span // 9)  # a gap of g words leaves a span of n words similar to 0.8 if g + 4 <= n / 9
-        near = i + reach + SHINGLE > len(x) or j + reach + SHINGLE > len(y)
-        found = _next_run(x, y, i, j, reach)
-        if found is None:
-            return out, near
-        a, b = found
-        n = int(np.append(np.flatnonzero(x[a : a + min(len(x) - a, len(y) - b)] != y[b : b + min(len(x) - a, len(y) - b)]), min(len(x) - a, len(y) - b))[0])
-        span += n + a - i
-        i, j = a, b
-        out.append((i, j, n))
+class Aligned:
+    """Two word sequences, as 32 bits of each word's hash, and the hashes of their shingles."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x, self.y = x, y
+        self.gx, self.gy = (gram_hashes(z, SHINGLE).tolist() if len(z) >= SHINGLE else [] for z in (x, y))
+
+    def ahead(self, i: int, j: int) -> int:
+        """How many words are equal from x[i] and y[j] on."""
+        n = min(len(self.x) - i, len(self.y) - j)
+        differ = self.x[i : i + n] != self.y[j : j + n]
+        return int(differ.argmax()) if differ.any() else n
+
+    def behind(self, i: int, j: int) -> int:
+        """How many words are equal before x[i] and y[j]."""
+        n = min(i, j)
+        differ = (self.x[i - n : i] != self.y[j - n : j])[::-1]
+        return int(differ.argmax()) if differ.any() else n
+
+    def _nearest(self, u: list[int], v: list[int]) -> tuple[int, int] | None:
+        at: dict[int, int] = {}
+        for k, g in enumerate(v):
+            at.setdefault(g, k)
+        best = None
+        for k, g in enumerate(u):
+            if best is not None and k >= sum(best):
+                break
+            if g in at and (best is None or k + at[g] < sum(best)):
+                best = k, at[g]
+        return best
+
+    def rightward(self, run: tuple[int, int, int]) -> tuple[list[tuple[int, int, int]], bool]:
+        """Runs after ``run`` across edits, and whether the search met an end of x or y."""
+        out, (i, j, n) = [], run
+        span = n
+        while True:
+            i, j = i + n, j + n
+            reach = max(8, span // 9)  # a gap of g words leaves a span of n words similar to 0.8 if g + 4 <= n / 9
+            found = self._nearest(self.gx[i : i + reach + 1], self.gy[j : j + reach + 1])
+            if found is None:
+                return out, i + reach + SHINGLE > len(self.x) or j + reach + SHINGLE > len(self.y)
+            a, b = i + found[0], j + found[1]
+            n = self.ahead(a, b)
+            span += n + a - i
+            i, j = a, b
+            out.append((i, j, n))
+
+    def leftward(self, run: tuple[int, int, int]) -> tuple[list[tuple[int, int, int]], bool]:
+        out, (i, j, n) = [], run
+        span = n
+        while True:
+            reach = max(8, span // 9)
+            p, q = i - SHINGLE, j - SHINGLE
+            found = self._nearest(self.gx[max(0, p - reach) : p + 1][::-1], self.gy[max(0, q - reach) : q + 1][::-1]) if min(p, q) >= 0 else None
+            if found is None:
+                return out, p - reach < 0 or q - reach < 0
+            a, b = p - found[0] + SHINGLE, q - found[1] + SHINGLE
+            n = self.behind(a, b)
+            span += n + i - a
+            i, j = a - n, b - n
+            out.append((i, j, n))
 
 
 def align(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> tuple[list[tuple[int, int]], bool, bool]:
@@ -551,58 +577,80 @@ def align(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], thres
     out: list[tuple[int, int]] = []
     done: list[tuple[int, int]] = []
     low = high = False
+    both = Aligned(x, y)
     for i, j, n in sorted(seeds):
-        if min(i, j) < 0 or i + n > len(x) or j + n > len(y) or (x[i : i + n] != y[j : j + n]).any() or any(a <= i and i + n <= b for a, b in done):
+        if min(i, j) < 0 or i + n > len(x) or j + n > len(y) or any(a <= i and i + n <= b for a, b in done) or both.ahead(i, j) < n:
             continue
-        run = _exact(x, y, i, j)
-        right, near_end = _onward(x, y, run)
-        back, near_start = _onward(x[::-1], y[::-1], (len(x) - run[0] - run[2], len(y) - run[1] - run[2], run[2]))
-        runs = [(len(x) - a - k, len(y) - b - k, k) for a, b, k in reversed(back)] + [run] + right
+        back = both.behind(i, j)
+        run = (i - back, j - back, back + both.ahead(i, j))
+        right, near_end = both.rightward(run)
+        left, near_start = both.leftward(run)
+        runs = left[::-1] + [run] + right
         low, high = low or near_start, high or near_end
         done += [(a, a + k) for a, _, k in runs]
         out += [(a, a + k) for a, _, k in runs if k >= MIN_RUN]
-        start, other, size = (np.array(c) for c in zip(*runs, strict=True))
-        both = np.concatenate([[0], np.cumsum(np.maximum(size - SHINGLE + 1, 0))])
-        for p in range(len(runs)):
-            common = both[p + 1 :] - both[p]
-            wide = start[p:] + size[p:] - start[p]
-            sets = wide + other[p:] + size[p:] - other[p] - 2 * (SHINGLE - 1)
-            good = np.flatnonzero((wide >= MIN_RUN) & (common >= threshold * (sets - common) - 1e-9))
-            if len(good):
-                out.append((int(start[p]), int(start[p] + wide[good[-1]])))
+        if len(runs) > 1:
+            start, other, size = (np.array(c) for c in zip(*runs, strict=True))
+            equal = np.concatenate([[0], np.cumsum(np.maximum(size - SHINGLE + 1, 0))])
+            for p in range(len(runs)):
+                common = equal[p + 1 :] - equal[p]
+                wide = start[p:] + size[p:] - start[p]
+                sets = wide + other[p:] + size[p:] - other[p] - 2 * (SHINGLE - 1)
+                good = np.flatnonzero((wide >= MIN_RUN) & (common >= threshold * (sets - common) - 1e-9))
+                if len(good):
+                    out.append((int(start[p]), int(start[p] + wide[good[-1]])))
     return _union(sorted(out)), low, high
 
 
-_JOB = "doc_id long, first long, at long, stop long, first_at long, first_stop long, seeds array<struct<at: bigint, first_at: bigint>>"
+_JOB = "doc_id long, first long, at long, stop long, first_at long, first_stop long, places array<int>, first_places array<int>"
 _ENDS = ("doc_id", "first", "at", "stop", "first_at", "first_stop")
 
 
-def _pairs(*names: str) -> pa.DataType:
-    return pa.list_(pa.struct([(c, pa.int64()) for c in names]))
+def _jobs(hits: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Seeds of a document in an earlier one, those close to each other together: ``_JOB``. A seed is a shingle.
 
-
-def _jobs(hits: DataFrame) -> DataFrame:
-    """Seeds of a document in an earlier one, those close to each other together: ``_JOB``. A seed is a shingle."""
-    grouped = hits.groupBy("doc_id", "first").agg(F.sort_array(F.collect_set(F.struct("at", "first_at"))).alias("seeds"))
+    Seeds deep inside lines of ``cuts(doc_id, at, n)``, which go anyway, are left out.
+    """
+    both = hits.select("doc_id", F.col("first").alias("x"), "at", F.col("first_at").alias("y")).unionByName(cuts.select("doc_id", F.lit(None).cast("long").alias("x"), "at", F.col("n").alias("y")))
+    grouped = both.groupBy("doc_id").agg(F.collect_list(F.struct("x", "at", "y")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, first, seeds in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                open_: list[dict] = []
-                for s in seeds:
-                    open_ = [o for o in open_ if s["at"] <= o["stop"] + MARGIN]
-                    job = next((o for o in open_ if o["first_at"] - MARGIN <= s["first_at"] <= o["first_stop"] + MARGIN), None)
+        for b in pieces(batches):
+            ends, places, sources = [], [], []
+            found = b.column(1)
+            x, at, y = (found.values.field(c) for c in ("x", "at", "y"))
+            is_cut, x, at, y = x.is_null().to_numpy(zero_copy_only=False), x.fill_null(0).to_numpy(), at.to_numpy(), y.to_numpy()
+            marks = found.offsets.to_numpy()
+            for i, lo, hi in zip(b.column(0).to_pylist(), marks[:-1], marks[1:], strict=True):
+                cut, first, place, source = is_cut[lo:hi], x[lo:hi], at[lo:hi], y[lo:hi]
+                gone = _union(sorted(zip(place[cut].tolist(), (place[cut] + source[cut]).tolist(), strict=True)))
+                first, place, source = first[~cut], place[~cut], source[~cut]
+                if gone:
+                    begin, end = np.array(gone).T
+                    k = np.searchsorted(begin, np.maximum(place - DEEP, 0), "right") - 1
+                    open_ = (k < 0) | (place + SHINGLE + DEEP > end[np.maximum(k, 0)])
+                    first, place, source = first[open_], place[open_], source[open_]
+                order = np.lexsort((source, place, first))
+                first, place, source = first[order], place[order], source[order]
+                # a job goes on while its document, and roughly its diagonal, stay
+                jobs: list[list[int]] = []
+                for k, (f, p, s) in enumerate(zip(first.tolist(), place.tolist(), source.tolist(), strict=True)):
+                    jobs = [j for j in jobs if j[0] == f and p <= j[1] + MARGIN]
+                    job = next((j for j in jobs if j[3] - MARGIN <= s <= j[2] + MARGIN), None)
                     if job is None:
-                        job = {"doc_id": i, "first": first, "at": s["at"], "stop": 0, "first_at": s["first_at"], "first_stop": 0, "seeds": []}
-                        open_.insert(0, job)
-                        out.append(job)
-                    job["stop"], job["first_at"] = max(job["stop"], s["at"] + SHINGLE), min(job["first_at"], s["first_at"])
-                    job["first_stop"] = max(job["first_stop"], s["first_at"] + SHINGLE)
-                    job["seeds"].append(s)
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    schema = pa.schema([*((c, pa.int64()) for c in _ENDS), ("seeds", _pairs("at", "first_at"))])
+                        job = [f, 0, 0, s, len(ends)]
+                        jobs.insert(0, job)
+                        ends.append([i, f, p, 0, s, 0])
+                        places.append([])
+                        sources.append([])
+                    own = ends[job[4]]
+                    job[1], job[2], job[3] = max(job[1], p + SHINGLE), max(job[2], s + SHINGLE), min(job[3], s)
+                    own[3], own[4], own[5] = job[1], job[3], job[2]
+                    places[job[4]].append(p)
+                    sources[job[4]].append(s)
+            columns = np.array(ends, np.int64).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(places, pa.list_(pa.int32())), pa.array(sources, pa.list_(pa.int32()))], [*_ENDS, "places", "first_places"])
+
     return materialize(grouped.mapInArrow(run, _JOB), "passage-jobs")
 
 
@@ -626,24 +674,29 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
-def _aligned(docs: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+def _aligned(docs: DataFrame, hits: DataFrame, cuts: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, at, n) of the spans that alignments from the seeds in ``hits(doc_id, at, first, first_at)`` give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            out = []
-            for r in b.to_pylist():
-                x, y = (np.array(r[c], np.int32).view(np.uint32).astype(np.uint64) for c in ("x", "y"))
-                found, low, high = align(x, y, [(s["at"] - r["low"], s["first_at"] - r["first_low"], SHINGLE) for s in r["seeds"]], threshold)
-                again = low and (r["low"] > 0 or r["first_low"] > 0) or high and (r["low"] + len(x) < r["total"] or r["first_low"] + len(y) < r["first_total"])
-                out.append({c: r[c] for c in (*_ENDS, "seeds")} | {"spans": [{"at": s + r["low"], "n": e - s} for s, e in found], "again": bool(again)})
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    schema = pa.schema([*((c, pa.int64()) for c in _ENDS), ("seeds", _pairs("at", "first_at")), ("spans", _pairs("at", "n")), ("again", pa.bool_())])
-    jobs, margin, found = _jobs(hits), MARGIN, None
+            col = {c: b.column(c).to_numpy() for c in (*_ENDS, "low", "first_low", "total", "first_total")}
+            lists = {c: (b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy(zero_copy_only=False)) for c in ("x", "y", "places", "first_places")}
+            again, spans = np.zeros(b.num_rows, bool), []
+            for r in range(b.num_rows):
+                x, y, places, sources = (values[marks[r] : marks[r + 1]] for marks, values in lists.values())
+                x, y = (z.view(np.uint32).astype(np.uint64) for z in (x, y))
+                low, first_low = int(col["low"][r]), int(col["first_low"][r])
+                found, near_low, near_high = align(x, y, [(p, q, SHINGLE) for p, q in zip((places - low).tolist(), (sources - first_low).tolist(), strict=True)], threshold)
+                again[r] = near_low and (low > 0 or first_low > 0) or near_high and (low + len(x) < col["total"][r] or first_low + len(y) < col["first_total"][r])
+                spans.append([{"at": s + low, "n": e - s} for s, e in found])
+            kept = [b.column(c) for c in (*_ENDS, "places", "first_places")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))), pa.array(again)], [*_ENDS, "places", "first_places", "spans", "again"])
+
+    jobs, wider, found = _jobs(hits, cuts), 1, None
     while found is None or not jobs.isEmpty():
-        # slices begin and end at multiples of the margin, so that jobs share them
-        down, up = (lambda c: F.greatest(F.floor((F.col(c) - margin) / margin) * margin, F.lit(0)).cast("long")), (lambda c: (F.ceil((F.col(c) + margin) / margin) * margin).cast("long"))  # noqa: B023
+        # an alignment searches a ninth of its length beyond its ends; slices begin and end at multiples of the margin, so that jobs share them
+        around = (F.lit(MARGIN) + F.floor((F.col("stop") - F.col("at")) / 8)) * F.lit(wider)
+        down, up = (lambda c: (F.floor(F.greatest(F.col(c) - around, F.lit(0)) / MARGIN) * MARGIN).cast("long")), (lambda c: (F.ceil((F.col(c) + around) / MARGIN) * MARGIN).cast("long"))  # noqa: B023
         cut = materialize(jobs.withColumns({"low": down("at"), "high": up("stop"), "first_low": down("first_at"), "first_high": up("first_stop")}), "passage-cut-jobs")
         both_ends = cut.select("doc_id", "low", "high").unionAll(cut.select("first", "first_low", "first_high")).distinct()
         slices = _slices(docs, both_ends)
@@ -654,7 +707,7 @@ def _aligned(docs: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
         for done in (cut, slices, *([jobs] if found is None else [])):
             forget(done)
         found = spans if found is None else found.unionAll(spans)
-        jobs, margin = step.where("again").drop("spans", "again").dropDuplicates(["doc_id", "first", "at", "first_at"]), margin * 16
+        jobs, wider = step.where("again").drop("spans", "again").dropDuplicates(["doc_id", "first", "at", "first_at"]), wider * 16
     return found
 
 
@@ -678,8 +731,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         later = later | (F.col("at") > F.col("first.at"))
     cut_lines = linked.join(first, "component").where(later).select("doc_id", F.explode(F.concat(F.array("at"), F.col("places").cast("array<bigint>"))).alias("at"), "n")
 
-    aligned = _aligned(docs, of(HIT, "a as doc_id", "b as at", "k as first", "c as first_at"), threshold)
-    cuts = cut_lines.unionAll(of(CUT, "a", "b", "n")).unionAll(aligned).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("cuts"))
+    cut_lines = materialize(cut_lines.unionAll(of(CUT, "a", "b", "n")).distinct(), "passage-lines")
+    aligned = _aligned(docs, of(HIT, "a as doc_id", "b as at", "k as first", "c as first_at"), cut_lines, threshold)
+    cuts = cut_lines.unionAll(aligned).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("cuts"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -690,7 +744,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = of(WORDS, "a as doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n_words"))
     none = F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)")
     out = materialize(whole.join(spans, "doc_id", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans")), "passage-spans")
-    for done in (met, reached, linked):
+    for done in (met, reached, linked, cut_lines):
         forget(done)
     return out
 
