@@ -148,8 +148,17 @@ c AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN r ON d.doc_id = r.doc_id),
-v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+m AS (
+  SELECT doc_id, max(times) AS most, count(*) AS n_distinct, sum(CASE WHEN regexp_matches(word, '\p{{L}}') THEN 0 ELSE times END) AS letterless, max(length(word)) AS longest
+  FROM (SELECT doc_id, word, count(*) AS times FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY ALL) GROUP BY doc_id),
+b AS (
+  SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^[\x20\x09-\x0D]*[-*+•‣●◦]')) AS bullets, count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS ellipses
+  FROM l GROUP BY doc_id),
+v AS (
+  SELECT c.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, most, n_distinct, letterless, longest, bullets, ellipses
+  FROM c LEFT JOIN m ON m.doc_id = c.doc_id LEFT JOIN b ON b.doc_id = c.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_dup_lines > n_lines
+            OR 10 * most > 4 * n_words OR 50 * n_distinct < n_words OR 2 * letterless > n_words OR longest > 1000 OR 10 * bullets > 9 * n_lines OR 10 * ellipses > 3 * n_lines) AS kept
 FROM v""",
 }
