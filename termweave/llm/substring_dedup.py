@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +52,11 @@ BLOCK_BANDS, BLOCK_ROWS = 3, 2
 RADIUS = 5
 MIN_RUN = 20
 MARGIN = 32
+#: Seeds of two documents so many words apart, in both, are one alignment's.
+JOIN = 128
 #: Words on both sides of a seed that its block can reach.
 DEEP = WINDOW - SHINGLE
+LAST = 2**62
 PIECE = 1 << 20
 
 _RNG = np.random.default_rng(20)
@@ -230,6 +234,7 @@ def _scan(docs: DataFrame, min_words: int, bands: int, rows: int, within: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
+            b = b.take(pc.sort_indices(b.column(0)))
             ids = b.column(0).to_pylist()
             texts = [Lines(x or "") for x in b.column(1).to_pylist()]
             i = np.array(ids, np.int64)
@@ -256,7 +261,7 @@ def _block_band(band: int, key: np.ndarray, doc: np.ndarray, place: np.ndarray,
     Equal blocks meet in every band, so only the first band reports them.
     """
     key = key & ~np.int64(3) | np.int64(band)
-    order = np.lexsort((place, doc, tag, key))
+    order = np.argsort(mix(key.view(np.uint64) + tag.view(np.uint64)), kind="stable")  # rows come by document and place
     key, doc, place, tag = key[order], doc[order], place[order], tag[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
@@ -308,6 +313,8 @@ def _classes_met(key, a, b, c, info) -> Iterator[pa.RecordBatch]:
 
 def _bands_met(key, a) -> Iterator[pa.RecordBatch]:
     """(k: band key, a: the line found most often, b: another line) of the buckets that hold several lines."""
+    if not len(key):
+        return
     run, _ = _groups(key, a)
     times = np.diff(np.append(run, len(key)))
     key, a = key[run], a[run]
@@ -326,14 +333,10 @@ def _blocks_met(key, a, b, c) -> Iterator[pa.RecordBatch]:
 
     Equal blocks against the first of them; of unequal ones the first of each kind against the first of all and of the most frequent kind.
     """
-    order = np.lexsort((b, a, c, key))
-    key, doc, place, tag = key[order], a[order], b[order], c[order]
-    start, _ = _groups(key)
-    size = np.diff(np.append(start, len(key)))
-    some = np.repeat(size > 1, size)
-    key, doc, place, tag = key[some], doc[some], place[some], tag[some]
     if not len(key):
         return
+    order = np.lexsort((b, a, c, key))
+    key, doc, place, tag = key[order], a[order], b[order], c[order]
     begin, kind = _groups(key, tag)
     late = np.flatnonzero((doc > doc[begin][kind]) & (key & 3 == 0))
     hits = [(late, begin[kind[late]])]
@@ -361,6 +364,11 @@ def _collide(sent: DataFrame) -> DataFrame:
             at = np.flatnonzero(col["kind"] == kind)
             if not len(at):
                 continue
+            if kind in (BAND, BLOCKS):  # most keys are of one row
+                begin, group = _groups(col["key"][at])
+                at = at[(np.diff(np.append(begin, len(at))) > 1)[group]]
+            if kind != WORDS:
+                at = at[np.lexsort([col[c][at] for c in ("b", "a", "key")])]
             key, a, b, c = (col[x][at] for x in ("key", "a", "b", "c"))
             if kind == CLASS:
                 yield from _classes_met(key, a, b, c, t.column("info").take(pa.array(at)).to_pylist())
@@ -377,13 +385,14 @@ def _collide(sent: DataFrame) -> DataFrame:
 
     def heads(t: pa.Table) -> pa.Table:
         """Of a group that goes on in the next piece, the rows that the rest is compared with."""
-        kind, key, a, c = (t.column(x).to_numpy() for x in ("kind", "key", "a", "c"))
-        if kind[0] == BLOCKS:
-            return t.take(pa.array(np.unique(c, return_index=True)[1]))
+        kind, a, c = (t.column(x).to_numpy() for x in ("kind", "a", "c"))
         if kind[0] == BAND:
-            begin, _ = _groups(a)
-            return t.take(pa.array([int(begin[np.diff(np.append(begin, len(a))).argmax()])]))
-        return t.slice(0, 1)
+            ids, first, times = np.unique(a, return_index=True, return_counts=True)
+            return t.take(pa.array([int(first[times.argmax()])]))
+        order = np.lexsort((t.column("b").to_numpy(), a))
+        if kind[0] == BLOCKS:
+            return t.take(pa.array(order[np.unique(c[order], return_index=True)[1]]))
+        return t.take(pa.array(order[:1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -394,8 +403,7 @@ def _collide(sent: DataFrame) -> DataFrame:
             if size < PIECE // 8:
                 continue
             t = pa.concat_tables(held).combine_chunks()
-            kind, key = t.column("kind").to_numpy(), t.column("key").to_numpy()
-            begin, _ = _groups(kind, key)
+            begin, _ = _groups(t.column("key").to_numpy())
             last = int(begin[-1])
             if last:
                 yield from finish(t.slice(0, last))
@@ -407,7 +415,7 @@ def _collide(sent: DataFrame) -> DataFrame:
         if held:
             yield from finish(pa.concat_tables(held).combine_chunks())
 
-    return sent.repartition("key").sortWithinPartitions("key", "kind", "a", "b").mapInArrow(run, _MET)
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(run, _MET)
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -602,14 +610,15 @@ def align(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], thres
     return _union(sorted(out)), low, high
 
 
-_JOB = "doc_id long, first long, at long, stop long, first_at long, first_stop long, places array<int>, first_places array<int>"
-_ENDS = ("doc_id", "first", "at", "stop", "first_at", "first_stop")
+_JOB = "doc_id long, first long, at long, stop long, first_at long, first_stop long, floor long, ceiling long, places array<int>, first_places array<int>"
+_ENDS = ("doc_id", "first", "at", "stop", "first_at", "first_stop", "floor", "ceiling")
 
 
 def _jobs(hits: DataFrame, cuts: DataFrame) -> DataFrame:
     """Seeds of a document in an earlier one, those close to each other together: ``_JOB``. A seed is a shingle.
 
-    Seeds deep inside lines of ``cuts(doc_id, at, n)``, which go anyway, are left out.
+    Seeds deep inside lines of ``cuts(doc_id, at, n)``, which go anyway, are left out, and alignments go no further into such
+    lines than ``MARGIN`` words: from ``floor`` to ``ceiling``.
     """
     both = hits.select("doc_id", F.col("first").alias("x"), "at", F.col("first_at").alias("y")).unionByName(cuts.select("doc_id", F.lit(None).cast("long").alias("x"), "at", F.col("n").alias("y")))
     grouped = both.groupBy("doc_id").agg(F.collect_list(F.struct("x", "at", "y")).alias("found"))
@@ -634,13 +643,14 @@ def _jobs(hits: DataFrame, cuts: DataFrame) -> DataFrame:
                 first, place, source = first[order], place[order], source[order]
                 # a job goes on while its document, and roughly its diagonal, stay
                 jobs: list[list[int]] = []
-                for k, (f, p, s) in enumerate(zip(first.tolist(), place.tolist(), source.tolist(), strict=True)):
-                    jobs = [j for j in jobs if j[0] == f and p <= j[1] + MARGIN]
-                    job = next((j for j in jobs if j[3] - MARGIN <= s <= j[2] + MARGIN), None)
+                before = len(ends)
+                for f, p, s in zip(first.tolist(), place.tolist(), source.tolist(), strict=True):
+                    jobs = [j for j in jobs if j[0] == f and p <= j[1] + JOIN]
+                    job = next((j for j in jobs if j[3] - JOIN <= s <= j[2] + JOIN), None)
                     if job is None:
                         job = [f, 0, 0, s, len(ends)]
                         jobs.insert(0, job)
-                        ends.append([i, f, p, 0, s, 0])
+                        ends.append([i, f, p, 0, s, 0, 0, LAST])
                         places.append([])
                         sources.append([])
                     own = ends[job[4]]
@@ -648,7 +658,16 @@ def _jobs(hits: DataFrame, cuts: DataFrame) -> DataFrame:
                     own[3], own[4], own[5] = job[1], job[3], job[2]
                     places[job[4]].append(p)
                     sources[job[4]].append(s)
-            columns = np.array(ends, np.int64).reshape(-1, 6).T
+                if gone:
+                    mine = ends[before:]
+                    left = np.searchsorted(begin, [e[2] for e in mine], "left") - 1  # the last line that goes and begins before the job
+                    right = np.searchsorted(end, [e[3] for e in mine], "right")  # the first that ends after it
+                    for e, k, m in zip(mine, left.tolist(), right.tolist(), strict=True):
+                        if k >= 0:
+                            e[6] = max(0, min(e[2], int(end[k])) - MARGIN)
+                        if m < len(begin):
+                            e[7] = max(e[3], int(begin[m])) + MARGIN
+            columns = np.array(ends, np.int64).reshape(-1, 8).T
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(places, pa.list_(pa.int32())), pa.array(sources, pa.list_(pa.int32()))], [*_ENDS, "places", "first_places"])
 
     return materialize(grouped.mapInArrow(run, _JOB), "passage-jobs")
@@ -687,7 +706,8 @@ def _aligned(docs: DataFrame, hits: DataFrame, cuts: DataFrame, threshold: float
                 x, y = (z.view(np.uint32).astype(np.uint64) for z in (x, y))
                 low, first_low = int(col["low"][r]), int(col["first_low"][r])
                 found, near_low, near_high = align(x, y, [(p, q, SHINGLE) for p, q in zip((places - low).tolist(), (sources - first_low).tolist(), strict=True)], threshold)
-                again[r] = near_low and (low > 0 or first_low > 0) or near_high and (low + len(x) < col["total"][r] or first_low + len(y) < col["first_total"][r])
+                high, last = low + len(x), min(col["total"][r], col["ceiling"][r])
+                again[r] = near_low and (low > col["floor"][r] or low == 0 < first_low) or near_high and (high < last or high == col["total"][r] and first_low + len(y) < col["first_total"][r])
                 spans.append([{"at": s + low, "n": e - s} for s, e in found])
             kept = [b.column(c) for c in (*_ENDS, "places", "first_places")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))), pa.array(again)], [*_ENDS, "places", "first_places", "spans", "again"])
@@ -695,9 +715,10 @@ def _aligned(docs: DataFrame, hits: DataFrame, cuts: DataFrame, threshold: float
     jobs, wider, found = _jobs(hits, cuts), 1, None
     while found is None or not jobs.isEmpty():
         # an alignment searches a ninth of its length beyond its ends; slices begin and end at multiples of the margin, so that jobs share them
-        around = (F.lit(MARGIN) + F.floor((F.col("stop") - F.col("at")) / 8)) * F.lit(wider)
+        around = (F.lit(2 * MARGIN) + F.floor((F.col("stop") - F.col("at")) / 8)) * F.lit(wider)
         down, up = (lambda c: (F.floor(F.greatest(F.col(c) - around, F.lit(0)) / MARGIN) * MARGIN).cast("long")), (lambda c: (F.ceil((F.col(c) + around) / MARGIN) * MARGIN).cast("long"))  # noqa: B023
-        cut = materialize(jobs.withColumns({"low": down("at"), "high": up("stop"), "first_low": down("first_at"), "first_high": up("first_stop")}), "passage-cut-jobs")
+        cut = jobs.withColumns({"low": F.greatest(down("at"), F.col("floor")), "high": F.least(up("stop"), F.col("ceiling")), "first_low": down("first_at"), "first_high": up("first_stop")})
+        cut = materialize(cut, "passage-cut-jobs")
         both_ends = cut.select("doc_id", "low", "high").unionAll(cut.select("first", "first_low", "first_high")).distinct()
         slices = _slices(docs, both_ends)
         theirs = slices.toDF("first", "first_low", "first_high", "y", "first_total")
