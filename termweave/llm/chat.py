@@ -14,8 +14,9 @@ one before it is emitted already, and the rest is its chunk. So every shared tur
 of linear size, and equal conversations are one path after a grouping. Paths are dealt by ranges; a range's first path
 shares turns with the last one before it, which the driver settles from two paths for each range. A node carries the
 position id of its first token (its ancestors' lengths) and the intervals of its ancestors in the emission, those side by
-side joined, to which its tokens attend besides the earlier ones of its own. Tokens are code points, or the ids
-of a tokenizers file.
+side joined, to which its tokens attend besides the earlier ones of its own. Tokens are code points, or the ids of a tokenizers
+file for a turn's head, its escaped text and its end each by itself, so that the loss mask, the intervals of the assistants' texts, falls
+on whole tokens. ``read_back`` works from ids and mask alone.
 
 Defined cases: null roles and texts are empty; equal turn numbers are ordered by role and text, null turns come first;
 rows without conv_id belong to no conversation and are left out; equal conversations share all nodes; extra
@@ -29,12 +30,13 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows, materialize
+from ..runtime import forget, materialize, pieces
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 DIGEST = 16
@@ -61,14 +63,33 @@ def parse_turn(unit: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
-def _counter(tokenizer: str | None):
-    if tokenizer is None:
-        return len
-    from tokenizers import Tokenizer
+class Coder:
+    """Ids of texts and texts of ids: code points, or by a tokenizers file."""
 
-    library = Tokenizer.from_file(tokenizer)
-    library.encode_special_tokens = True
-    return lambda unit: len(library.encode(unit, add_special_tokens=False).ids)
+    def __init__(self, tokenizer: str | None) -> None:
+        self.library = None
+        if tokenizer is not None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(tokenizer)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.library is None:
+            return np.frombuffer(text.encode("utf-32-le"), "<i4")
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        if self.library is None:
+            return ids.astype("<i4").tobytes().decode("utf-32-le")
+        return self.library.decode(ids.tolist(), skip_special_tokens=False)
+
+    def unit(self, unit: str) -> tuple[np.ndarray, int, int]:
+        """A unit's ids, and where those of a text under the loss mask begin and end."""
+        head, text = unit[: -len(END)].split(TEXT)
+        said = [self.encode(x) for x in (head + TEXT, text, END)]
+        first, n = len(said[0]), len(said[1])
+        masked = unescape(head[len(TURN) :]) == LOSS_ROLE
+        return np.concatenate(said), first if masked else 0, first + n if masked else 0
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -101,17 +122,17 @@ _SPANS = "array<struct<start: bigint, stop: bigint>>"
 def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(chunks, leaves, conversations)``, all tables in the shared folder.
 
-    chunks: ``chunk`` (its offset in the depth-first emission), ``units`` and their ``tokens``, ``depth`` and
-    ``position`` of the first unit, and ``attends``, the intervals of the ancestors of that unit. leaves: ``leaf``
-    and ``parts``, the (chunk, first unit, units) that make up its path in order. conversations: ``conv_id, leaf``.
+    chunks: ``chunk`` (its offset in the depth-first emission), ``units``, their token ``ids`` and how many ``tokens`` each has,
+    ``loss``, the intervals of the emission under the loss mask, ``depth`` and ``position`` of the first unit, and ``attends``, the
+    intervals of the ancestors of that unit. leaves: ``leaf`` and ``parts``, the (chunk, first unit, units) that make up its path in
+    order. conversations: ``conv_id, leaf``.
     """
     spark = turns.sparkSession
-    arrow_rows(spark, 256)
     rows = turns.where(F.col(conv_id).isNotNull()).select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("t"))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 256):
             units = [[format_turn(t["role"], t["text"]) for t in conv] for conv in b.column(1).to_pylist()]
             found = [b"".join(hashlib.blake2b(u.encode(), digest_size=DIGEST).digest() for u in x) for x in units]
             leaf = [hashlib.blake2b(x, digest_size=DIGEST).digest() for x in found]
@@ -122,39 +143,43 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     different = formatted.groupBy("path").agg(F.first("leaf").alias("leaf"), F.first("units").alias("units"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each path against the one before it in its range; offsets count from the range's beginning."""
-        part, count = TaskContext.get().partitionId(), _counter(tokenizer)
+        """Each path against the one before it in its range, with the ids of what is new; offsets count from the range's beginning."""
+        part, coder = TaskContext.get().partitionId(), Coder(tokenizer)
         last, seq, offset, least = b"", 0, 0, 0
         starts: list[int] = []
         owners: list[int] = []
-        for b in batches:
+        tokens: list[int] = []
+        for b in pieces(batches, 256):
             out = []
             for path, leaf, units in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 same = _shared(last, path) if seq else 0
                 least = min(least, same) if seq else len(units)
-                tokens = [count(u) for u in units]
+                coded = [coder.unit(u) for u in units[same:]]
+                tokens = tokens[:same] + [len(x) for x, _, _ in coded]
                 starts = starts[:same] + _ends(tokens[same:], offset)
                 owners = owners[:same] + [offset] * (len(units) - same)
-                out.append({"part": part, "seq": seq, "path": path, "leaf": leaf, "units": units, "tokens": tokens, "same": same, "least": least, "starts": starts, "owners": owners})
+                out.append({"part": part, "seq": seq, "path": path, "leaf": leaf, "units": units[same:], "ids": np.concatenate([x for x, _, _ in coded] or [np.zeros(0, np.int32)]), "marks": [m for _, *m in coded], "tokens": tokens, "same": same, "least": least, "starts": starts, "owners": owners})
                 offset += sum(tokens[same:])
                 last, seq = path, seq + 1
             if out:
                 yield pa.RecordBatch.from_pylist(out, emitted_schema)
 
     ints = pa.list_(pa.int64())
-    emitted_schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.binary()), ("leaf", pa.binary()), ("units", pa.list_(pa.string())), ("tokens", ints), ("same", pa.int64()), ("least", pa.int64()), ("starts", ints), ("owners", ints)])
-    ordered = different.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(emit, "part long, seq long, path binary, leaf binary, units array<string>, tokens array<long>, same long, least long, starts array<long>, owners array<long>")
+    new = [("units", pa.list_(pa.string())), ("ids", pa.list_(pa.int32())), ("tokens", ints)]
+    emitted_schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.binary()), ("leaf", pa.binary()), *new, ("marks", pa.list_(ints)), ("same", pa.int64()), ("least", pa.int64()), ("starts", ints), ("owners", ints)])
+    emitted_kind = "part long, seq long, path binary, leaf binary, units array<string>, ids array<int>, tokens array<long>, marks array<array<long>>, same long, least long, starts array<long>, owners array<long>"
+    ordered = different.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(emit, emitted_kind)
     emitted = materialize(ordered, "chat-emitted")
-    inherited = _settle(emitted)
+    inherited = spark.sparkContext.broadcast(_settle(emitted))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Global offsets, and the first paths of ranges without what they inherit."""
-        for b in batches:
+        for b in pieces(batches, 256):
             out = []
             for r in b.to_pylist():
-                above = inherited[r["part"]]
+                above = inherited.value[r["part"]]
                 same, starts, owners = above.apply(r)
-                tokens, units = r["tokens"], r["units"]
+                tokens, skip = r["tokens"], same - r["same"]
                 parts: list[dict[str, int]] = []
                 for k, owner in enumerate(owners):
                     if parts and parts[-1]["chunk"] == owner:
@@ -162,14 +187,20 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
                     else:
                         # a chunk's units are consecutive depths; its first is where this path meets it
                         parts.append({"chunk": owner, "at": starts[k], "n": 1})
-                out.append({"leaf": r["leaf"], "chunk": starts[same], "units": units[same:], "tokens": tokens[same:], "depth": same + 1, "position": sum(tokens[:same]), "attends": joined(starts[:same], tokens[:same]), "parts": parts})
+                loss = [{"start": s + first, "stop": s + stop} for s, (first, stop) in zip(starts[same:], r["marks"][skip:], strict=True) if stop]
+                out.append({
+                    "leaf": r["leaf"], "chunk": starts[same], "units": r["units"][skip:], "ids": r["ids"][sum(tokens[r["same"] : same]) :], "tokens": tokens[same:], "loss": loss,
+                    "depth": same + 1, "position": sum(tokens[:same]), "attends": joined(starts[:same], tokens[:same]), "parts": parts,
+                })
             if out:
                 yield pa.RecordBatch.from_pylist(out, placed_schema)
 
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     parts_kind = pa.list_(pa.struct([("chunk", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))
-    placed_schema = pa.schema([("leaf", pa.binary()), ("chunk", pa.int64()), ("units", pa.list_(pa.string())), ("tokens", ints), ("depth", pa.int64()), ("position", pa.int64()), ("attends", spans), ("parts", parts_kind)])
-    placed = materialize(emitted.select("part", "seq", "leaf", "units", "tokens", "same", "least", "starts", "owners").mapInArrow(place, f"leaf binary, chunk long, units array<string>, tokens array<long>, depth long, position long, attends {_SPANS}, parts array<struct<chunk: bigint, at: bigint, n: bigint>>"), "chat-tree")
+    placed_schema = pa.schema([("leaf", pa.binary()), ("chunk", pa.int64()), *new, ("loss", spans), ("depth", pa.int64()), ("position", pa.int64()), ("attends", spans), ("parts", parts_kind)])
+    placed_kind = f"leaf binary, chunk long, units array<string>, ids array<int>, tokens array<long>, loss {_SPANS}, depth long, position long, attends {_SPANS}, parts array<struct<chunk: bigint, at: bigint, n: bigint>>"
+    placed = materialize(emitted.drop("path").mapInArrow(place, placed_kind), "chat-tree")
+    forget(emitted)
     return placed.drop("leaf", "parts"), placed.select("leaf", "parts"), formatted.select("conv_id", "leaf")
 
 
@@ -221,36 +252,48 @@ def list_nodes(chunks: DataFrame) -> DataFrame:
     return nodes.select((F.col("chunk") + F.col("before")).alias("start"), F.expr("tokens[k]").alias("n_tokens"), (F.col("depth") + F.col("k")).alias("depth"), (F.col("position") + F.col("before")).alias("position"), attends.alias("attends"), "unit")
 
 
-def read_back(chunks: DataFrame, leaves: DataFrame, conversations: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, from the emitted chunks alone.
+def read_back(chunks: DataFrame, leaves: DataFrame, conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, from the ids and the loss mask of the emission alone.
 
-    A path is read once, for however many conversations end in it, and of a chunk only the units on the path.
+    A path is read once, for however many conversations end in it, and of a chunk only the tokens on the path. A chunk that
+    very many paths share is one row on its side of the join, so Spark can split the other side.
     """
     wanted = materialize(leaves.select("leaf", F.posexplode("parts").alias("p", "part")).select("leaf", "p", "part.chunk", "part.at", "part.n"), "chat-wanted")
-    texts = materialize(chunks.select("chunk", "units", "tokens"), "chat-chunks")
+    held = chunks.select("chunk", "ids", "tokens", "loss")
     begins = F.expr("transform(sequence(0, size(tokens) - 1), k -> chunk + aggregate(slice(tokens, 1, k), 0L, (a, x) -> a + x))")
-    whole = (F.col("at") == F.col("chunk"))
-    first = F.when(whole, F.lit(1)).otherwise(F.array_position(begins, F.col("at")).cast("int"))
-    read = wanted.join(texts, "chunk").select("leaf", "p", F.slice("units", first, F.col("n").cast("int")).alias("units"))
-    paths = read.groupBy("leaf").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("p", "units"))), lambda x: x["units"])).alias("units"))
+    first = F.when(F.col("at") == F.col("chunk"), F.lit(1)).otherwise(F.array_position(begins, F.col("at")).cast("int"))
+    count = F.aggregate(F.slice("tokens", first, F.col("n").cast("int")), F.lit(0).cast("long"), lambda a, x: a + x)
+    cut = wanted.join(held, "chunk").withColumn("count", count)
+    own = F.expr("transform(filter(loss, x -> x.start >= at and x.stop <= at + count), x -> named_struct('start', x.start - at, 'stop', x.stop - at))")
+    read = cut.select("leaf", F.struct("p", F.slice("ids", (F.col("at") - F.col("chunk") + 1).cast("int"), F.col("count").cast("int")).alias("ids"), own.alias("loss")).alias("part"))
+    paths = read.groupBy("leaf").agg(F.sort_array(F.collect_list("part")).alias("parts"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        coder = Coder(tokenizer)
+        for b in pieces(batches, 256):
             rows = []
-            for leaf, units in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                turns = [parse_turn(u) for u in units]
-                loss = "".join(t for r, t in turns if r == LOSS_ROLE)
+            parts = b.column(1)
+            ids, masks = parts.values.field("ids"), parts.values.field("loss")
+            flat, id_at = ids.values.to_numpy(), ids.offsets.to_numpy()
+            begin, end, mask_at = masks.values.field("start").to_numpy(), masks.values.field("stop").to_numpy(), masks.offsets.to_numpy()
+            marks = parts.offsets.to_numpy()
+            for leaf, lo, hi in zip(b.column(0).to_pylist(), marks[:-1], marks[1:], strict=True):
+                text = coder.decode(np.concatenate([flat[id_at[k] : id_at[k + 1]] for k in range(lo, hi)]))
+                turns = [parse_turn(u + END) for u in text.split(END)[:-1]]
+                masked = [flat[id_at[k] + begin[m] : id_at[k] + end[m]] for k in range(lo, hi) for m in range(mask_at[k], mask_at[k + 1])]
+                loss = "".join(unescape(coder.decode(x)) for x in masked)
                 rows.append({
                     "leaf": leaf, "n_turns": len(turns), "turns_sha256": hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
-                    "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(), "formatted_chars": sum(map(len, units)),
+                    "loss_chars": len(loss), "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(), "formatted_chars": len(text),
                 })
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
     columns = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     read = materialize(paths.mapInArrow(digest, f"leaf binary, {columns}"), "chat-read")
+    forget(wanted)
     return conversations.join(read, "leaf").select("conv_id", *(c.split()[0] for c in columns.split(", ")))
 
 
 def format_conversations(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return read_back(*build_tree(turns, tokenizer=tokenizer))
+    return read_back(*build_tree(turns, tokenizer=tokenizer), tokenizer)

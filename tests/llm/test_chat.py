@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
 from hypothesis import given
 from hypothesis import strategies as st
@@ -96,3 +97,23 @@ def test_one_tree_over_many_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_ids_and_loss_mask(spark):
+    """The ids give the text back, the mask the assistants' texts; also by a vocabulary with ids of several bytes."""
+    turns = spark.createDataFrame([*ROWS, (6, 0, "assistant", "é 中 <|endoftext|> 😀"), (6, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
+    for tokenizer in (None, P.path("byte_bpe_50k.json")):
+        coder = chat.Coder(tokenizer)
+        chunks, leaves, convs = chat.build_tree(turns, tokenizer=tokenizer)
+        at = 0
+        for r in chunks.orderBy("chunk").collect():
+            assert r["chunk"] == at and len(r["ids"]) == sum(r["tokens"])
+            ids, k, loss = np.array(r["ids"], np.int32), 0, []
+            for unit, n in zip(r["units"], r["tokens"], strict=True):
+                assert coder.decode(ids[k : k + n]) == unit
+                k += n
+                loss += [t for role, t in [chat.parse_turn(unit)] if role == "assistant"]
+            assert [chat.unescape(coder.decode(ids[x["start"] - at : x["stop"] - at])) for x in r["loss"]] == loss
+            at += k
+        rows = sorted(map(tuple, chat.read_back(chunks, leaves, convs, tokenizer).collect()))
+        assert rows == brute([tuple(r) for r in turns.collect()])
