@@ -1,61 +1,5 @@
-"""A corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing, byte-level BPE.
+"""The corpus pipeline's stages, their run and its SQL, from the corpus operators."""
 
-``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
-"""
+from termweave.llm.pipeline import ORACLE_SQL, STAGES, encode_stage, line_stage, materialize, mix_stage, near_duplicate_stage, quality_stage, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from termweave.llm import bpe, line_dedup, mixing, quality, simhash
-from termweave.runtime import materialize
-
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-PATTERN = public_tokenizers.PATTERN
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
-    return quality.filter_documents(docs)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go; ``n_chars`` follows the text."""
-    return line_dedup.drop_shared_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.drop_near_duplicates(docs)
-
-
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it, from never to twice."""
-    return mixing.mix_documents(docs)
-
-
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and digests of the ids and of the bytes they decode to."""
-    return bpe.digest_tokens(docs, VOCABULARY, PATTERN)
-
-
-STAGES = [
-    ("quality_rules", quality_stage),
-    ("line_dedup", line_stage),
-    ("simhash_near_dedup", near_duplicate_stage),
-    ("source_mix", mix_stage),
-    ("byte_bpe", encode_stage),
-]
-
-#: XXH64 fingerprints and BPE merges have no SQL form; tests hold the rows against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "encode_stage", "line_stage", "materialize", "mix_stage", "near_duplicate_stage", "quality_stage", "run"]

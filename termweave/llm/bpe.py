@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import arrow_rows
+from ..runtime import pieces
+
+#: Bits of an id in the key of a pair.
+PAIR = 32
 
 WIDTHS = (2, 4, 8, 16, 32, 64)
 NONE = np.int64(1) << 40
@@ -53,7 +56,7 @@ class SegmentTreeBpe:
             for k in range(1, len(t)):
                 a, b = self.ranks.get(t[:k]), self.ranks.get(t[k:])
                 if a is not None and b is not None:
-                    pairs[a << 20 | b] = r
+                    pairs[a << PAIR | b] = r
         self.pair_rank = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_values = np.array([pairs[k] for k in sorted(pairs)], np.int64)
@@ -63,7 +66,7 @@ class SegmentTreeBpe:
 
     def _leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         """Leaf values of the pairs (a, b) at their positions; NONE where there is no merge."""
-        key = a << 20 | b
+        key = a << PAIR | b
         k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[k] == key) & (a >= 0) & (b >= 0), self.pair_values[k] * width + at, NONE)
 
@@ -116,7 +119,7 @@ class SegmentTreeBpe:
         none, rank_of = int(NONE) * width, self.pair_rank.get
 
         def leaf(i: int, j: int) -> int:
-            r = rank_of(ids[i] << 20 | ids[j])
+            r = rank_of(ids[i] << PAIR | ids[j])
             return none if r is None else r * width + i
 
         tree = [none] * (2 * width)
@@ -211,46 +214,46 @@ def coder(path: str, pattern: str) -> SegmentTreeBpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the array ``ids`` in place of ``text``."""
-    arrow_rows(docs.sparkSession, 1024)
+    """``docs`` with the array ``ids`` in place of ``text``, and of a column of that name."""
     at = docs.columns.index(text)
-    schema = T.StructType([*(f for f in docs.schema if f.name != text), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    keep = [k for k, c in enumerate(docs.columns) if c not in (text, ids)]
+    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for b in batches:
+        for b in pieces(batches, 1024):
             found = bpe.encode(b.column(at).to_pylist())
             flat = np.concatenate([*found, np.zeros(0, np.uint32)]).view(np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``docs`` with the decoded ``text`` in place of the array ``ids``; bytes that aren't UTF-8 become U+FFFD."""
+    """``docs`` with the decoded ``text`` in place of the array ``ids``, and of a column of that name; bytes that aren't UTF-8 become U+FFFD."""
     at = docs.columns.index(ids)
-    schema = T.StructType([*(f for f in docs.schema if f.name != ids), T.StructField(text, T.StringType())])
+    keep = [k for k, c in enumerate(docs.columns) if c not in (text, ids)]
+    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for b in batches:
+        for b in pieces(batches, 1024):
             texts = [None if x is None else bpe.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != at), pa.array(texts, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(texts, pa.string())], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def digest_tokens(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``; the last of the decoded ids' bytes."""
-    arrow_rows(docs.sparkSession, 1024)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([docs.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         decimal = list(map(str, range(len(bpe.token))))
-        for b in batches:
+        for b in pieces(batches, 1024):
             found = bpe.encode(b.column(1).to_pylist())
             said = [hashlib.sha256(" ".join(map(decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in found]
             back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in found]

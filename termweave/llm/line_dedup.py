@@ -3,15 +3,16 @@
 1. Each document gives the 128-bit hashes of its distinct line keys; one grouped count (combined before the
    shuffle, so a line in every document is a few rows) leaves the hashes found in ``min_docs`` documents.
 2. Those distinct hashes are split into shards of bounded size. A task builds a shard's minimal perfect hash
-   (levels of bit arrays with ranks), the fingerprint array (64 other bits) and the count array.
-3. Documents probe the arrays; no line is joined. While the whole index is under ``index_bytes`` each worker
+   (levels of bit arrays with ranks), the fingerprint array (64 other bits) and the count array. Hashes under the threshold are
+   not built in, as a probe would refuse them.
+3. Documents probe the arrays, and a line goes if its count reaches the threshold; no line is joined. While the whole index is under ``index_bytes`` each worker
    holds it. Beyond that, line hashes are sent to their shard (split into ``SALTS`` parts, as a hot line may be
    a third of all), where the arrays come first in the sorted stream and the lines after them probe them; only
    hits return to their documents.
 
 Defined cases: a null or empty text is one empty line; the empty key has fewer than ``min_chars`` code points
-and always stays; repeated rows count as documents of their own; extra columns pass through; an empty table
-gives an empty table.
+and always stays; rows that repeat a doc_id are one document to the count, rows without one are documents of their own;
+without a column ``doc_id`` each row is a document; extra columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import arrow_rows, materialize
+from ..runtime import materialize, pieces
 
 STRIP = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 18
@@ -117,18 +118,25 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 # --- the operator -------------------------------------------------------------------------------------------
 
 
-def shared_line_index(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> tuple[DataFrame, int]:
+def shared_line_index(docs: DataFrame, text: str, min_docs: int, min_chars: int, doc_id: str | None = None) -> tuple[DataFrame, int]:
     """The shards (a table in the shared folder) over the hashes of keys in ``min_docs`` documents, and their number."""
+    repeated = doc_id is not None and not docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id)).count().where("count > 1").isEmpty()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             found: list[bytes] = []
-            for x in b.column(0).to_pylist():
-                found += {k for k in map(line_key, (x or "").split("\n")) if len(k) >= min_chars and (min_chars < 2 or len(k.decode()) >= min_chars)}
+            owners: list[str] = []
+            for i, x in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
+                own = {k for k in map(line_key, (x or "").split("\n")) if len(k) >= min_chars and (min_chars < 2 or len(k.decode()) >= min_chars)}
+                found += own
+                owners += [i] * len(own)
             h = hash_keys(found).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1])], ["h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(owners, pa.string())], ["h1", "h2", "doc"])
 
-    shared = materialize(docs.select(F.col(text).alias("text")).mapInArrow(keys, "h1 long, h2 long").groupBy("h1", "h2").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs), "shared-lines")
+    owner = F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.concat(F.lit("r"), F.monotonically_increasing_id())) if repeated else F.lit(None).cast("string")
+    lines = docs.select(F.col(text).alias("text"), owner.alias("doc")).mapInArrow(keys, "h1 long, h2 long, doc string")
+    lines = lines.distinct() if repeated else lines.select("h1", "h2")
+    shared = materialize(lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs), "shared-lines")
     shards = max(1, -(-shared.count() // SHARD_KEYS))
     index = shared.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, INDEX)
     return materialize(index, "line-index"), shards
@@ -141,13 +149,13 @@ def _rebuild(text: str | None, shared) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(rest), "\n".join(rest)
 
 
-def _probe_held(docs: DataFrame, shards: int, index: DataFrame, at: int, finish, schema: T.StructType) -> DataFrame:
+def _probe_held(docs: DataFrame, shards: int, index: DataFrame, at: int, least: int, finish, schema: T.StructType) -> DataFrame:
     """Documents probe an index that every worker holds."""
     held = docs.sparkSession.sparkContext.broadcast({r["shard"]: (list(r["sizes"]), bytes(r["bits"]), bytes(r["prints"]), bytes(r["counts"])) for r in index.collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = {k: Shard(*v) for k, v in held.value.items()}
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(at).to_pylist()
             split = [(x or "").split("\n") for x in texts]
             keys = [line_key(x) for lines in split for x in lines]
@@ -156,7 +164,7 @@ def _probe_held(docs: DataFrame, shards: int, index: DataFrame, at: int, finish,
             shared = np.zeros(len(h), bool)
             for k, s in arrays.items():
                 own = np.flatnonzero(shard == k)
-                shared[own] = s.count(h[own]) > 0
+                shared[own] = s.count(h[own]) >= least
             flags, first, out = shared.tolist(), 0, []
             for x, lines in zip(texts, split, strict=True):
                 out.append(_rebuild(x, flags[first : first + len(lines)]))
@@ -166,13 +174,13 @@ def _probe_held(docs: DataFrame, shards: int, index: DataFrame, at: int, finish,
     return docs.mapInArrow(run, schema)
 
 
-def _probe_routed(docs: DataFrame, shards: int, index: DataFrame, at: int, finish, schema: T.StructType) -> DataFrame:
+def _probe_routed(docs: DataFrame, shards: int, index: DataFrame, at: int, least: int, finish, schema: T.StructType) -> DataFrame:
     """Line hashes travel to their shard; only hits come back. For an index of any size."""
     row, text = "_row_of_line_dedup", docs.columns[at]
     docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = hash_keys([line_key(y) for y in (x or "").split("\n")])
                 for a in range(0, len(h), 65536):
@@ -194,14 +202,14 @@ def _probe_routed(docs: DataFrame, shards: int, index: DataFrame, at: int, finis
             col = {c: rest.column(c).to_numpy() for c in rest.schema.names}
             for key, s in held.items():
                 own = np.flatnonzero((col["shard"] == key[0]) & (col["salt"] == key[1]))
-                hit = own[s.count(np.column_stack([col["h1"][own], col["h2"][own]]).view(np.uint64)) > 0]
+                hit = own[s.count(np.column_stack([col["h1"][own], col["h2"][own]]).view(np.uint64)) >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(col[row][hit]), pa.array(col["line"][hit])], [row, "line"])
 
     hits = stream.mapInArrow(probe, f"{row} long, line long").groupBy(row).agg(F.collect_list("line").alias("_hits_of_line_dedup"))
     joined = docs.join(hits, row, "left").select(*docs.columns, "_hits_of_line_dedup").drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for x, hit in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 gone = np.zeros((x or "").count("\n") + 1, bool)
@@ -212,22 +220,21 @@ def _probe_routed(docs: DataFrame, shards: int, index: DataFrame, at: int, finis
     return joined.mapInArrow(run, schema)
 
 
-def _dedup(docs: DataFrame, text: str, min_docs: int, min_chars: int, index_bytes: int, finish, schema: T.StructType) -> DataFrame:
-    arrow_rows(docs.sparkSession)
-    index, shards = shared_line_index(docs, text, min_docs, min_chars)
+def _dedup(docs: DataFrame, text: str, doc_id: str | None, min_docs: int, min_chars: int, index_bytes: int, finish, schema: T.StructType) -> DataFrame:
+    index, shards = shared_line_index(docs, text, min_docs, min_chars, doc_id)
     size = index.agg(F.sum(F.length("bits") + F.length("prints") + F.length("counts"))).first()[0] or 0
     probe = _probe_held if size <= index_bytes else _probe_routed
-    return probe(docs, shards, index, docs.columns.index(text), finish, schema)
+    return probe(docs, shards, index, docs.columns.index(text), min_docs, finish, schema)
 
 
-def drop_shared_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, index_bytes: int = 32 << 20) -> DataFrame:
+def drop_shared_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, index_bytes: int = 32 << 20, doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with shared lines gone from ``text``; all other columns as they were. A null text becomes empty."""
     at = docs.columns.index(text)
 
     def finish(b: pa.RecordBatch, out: list[tuple[int, int, str]]) -> pa.RecordBatch:
         return b.set_column(at, text, pa.array([x[2] for x in out], pa.string()))
 
-    return _dedup(docs, text, min_docs, min_chars, index_bytes, finish, docs.schema)
+    return _dedup(docs, text, doc_id if doc_id in docs.columns else None, min_docs, min_chars, index_bytes, finish, docs.schema)
 
 
 def digest_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, index_bytes: int = 32 << 20) -> DataFrame:
@@ -238,4 +245,4 @@ def digest_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     def finish(b: pa.RecordBatch, out: list[tuple[int, int, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in out], pa.string())], schema.names)
 
-    return _dedup(docs, "text", min_docs, min_chars, index_bytes, finish, schema)
+    return _dedup(docs, "text", "doc_id", min_docs, min_chars, index_bytes, finish, schema)

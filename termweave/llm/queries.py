@@ -5,9 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import bpe, chat, embedding_dedup, html_text, line_dedup, mixing, quality, simhash, substring_dedup, token_files
+from . import bpe, chat, embedding_dedup, html_text, line_dedup, mixing, pipeline, quality, simhash, substring_dedup, token_files
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,7 +70,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_text": op10_html_text,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows, materialize
+from ..runtime import materialize, pieces
 from .components import connected_components
 
 SEED = 42
@@ -98,14 +98,14 @@ def _segments(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, 2048):
         fp = b.column(0).to_numpy().view(np.uint64)
         for base, word in _segments(fp):
             yield pa.RecordBatch.from_arrays([pa.array(base | codeword_index(word)), b.column(0)], ["key", "a"])
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, 2048):
         fp = b.column(0).to_numpy().view(np.uint64)
         for base, word in _segments(fp):
             near = nearby_indices(word)
@@ -124,11 +124,10 @@ def fuzzy_links(classes: DataFrame, bits: int = 3) -> DataFrame:
 
 def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id`` (smallest doc_id reached by links)."""
-    arrow_rows(docs.sparkSession, 2048)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2048):
             fp = np.array([fingerprint(x, width) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

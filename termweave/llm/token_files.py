@@ -8,11 +8,11 @@ columns. A table of block offsets gives random access: any range of ids reads th
     block offsets u64[blocks] | doc ids i64[documents] | doc id is null u8[documents] | starts u64[documents + 1] | payload
 
 Documents are dealt to tasks by ranges of doc_id; a task encodes its range in order and closes a file at
-``FILE_IDS`` ids. A file gets a name that no other attempt uses, and only the names that successful tasks report
+``file_ids`` ids. A file gets a name that no other attempt uses, and only the names that successful tasks report
 enter the manifest, so a lost executor leaves at most an orphan. Starts of files come from the manifest's sums.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come first; rows that repeat a doc_id
-follow one another; a text over ``FILE_IDS`` ids has a file of its own; extra columns are left out; an empty
+follow one another; a text over ``file_ids`` ids has a file of its own; extra columns are left out; an empty
 table makes no file and gives an empty table.
 """
 
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_rows, materialize, new_path
+from ..runtime import materialize, new_path, pieces
 
 MAGIC = b"TWPACK01"
 BLOCK = 4096
@@ -152,7 +152,8 @@ class LibraryEncoder:
     At a space or line end that no white space follows, this vocabulary's pre-tokenizer begins a piece, whatever stands
     before it. So a text is its words, each with the space or the line end before it, and each has ids of its own. New words go to the library as one text; its ids part where a token begins with a space,
     or is the line end, as no word holds either elsewhere. A full stop or comma after a letter is a piece of its own, so
-    such a word is asked for without it. Texts with any other space or line end go whole. Words met are kept in two
+    such a word is asked for without it. Texts with any other space or line end go whole, and so do those with an added token, which the
+    library's call turns into its id. Words met are kept in two
     generations of at most ``KEPT`` together.
     """
 
@@ -161,7 +162,8 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Tokens that the library looks for in texts before anything else.
+        self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.begins = np.zeros(self.library.get_vocab_size(), bool)
         for token, k in self.library.get_vocab().items():
             self.begins[k] = token.startswith("\u0120")  # how byte-level vocabularies write a space
@@ -205,7 +207,7 @@ class LibraryEncoder:
         whole, split, found = [], [], []
         for x in texts:
             x = x or ""
-            rest = [x] if MEETING[0].search(x) or MEETING[1].search(x) else x.replace("\n", " \n").split(" ")
+            rest = [x] if MEETING[0].search(x) or MEETING[1].search(x) or any(m in x for m in self.marks) else x.replace("\n", " \n").split(" ")
             whole.append(rest.pop(0))
             split.append(rest)
             found.append(list(map(words.__getitem__, rest)))
@@ -236,10 +238,9 @@ def encoder(path: str) -> LibraryEncoder:
 # --- the operator -------------------------------------------------------------------------------------------
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int | None = None, doc_id: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files; the manifest ``(file, part, seq, n_docs, n_ids, start)`` is a table in the shared folder."""
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
     if vocabulary is None:
         vocabulary = encoder(tokenizer).library.get_vocab_size()
     bits, folder = bits_for(max(vocabulary, end_id + 1)), new_path(spark, "token-files")
@@ -259,10 +260,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabula
             write_file(path, keys, [len(x) // 4 for x in held], np.frombuffer(b"".join(held), np.uint32), bits)
             return pa.RecordBatch.from_pylist([{"file": path, "part": part, "seq": seq, "n_docs": len(keys), "n_ids": size}])
 
-        for b in batches:
+        for b in pieces(batches):
             for key, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist()), strict=True):
                 n = len(ids) // 4 + 1
-                if keys and size + n > FILE_IDS:
+                if keys and size + n > file_ids:
                     yield close()
                     keys, held, size, seq = [], [], 0, seq + 1
                 keys.append(key)

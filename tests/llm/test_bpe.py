@@ -50,3 +50,11 @@ def test_frames(spark, odd_docs, no_docs):
     back = bpe.decode_documents(bpe.encode_documents(odd_docs, PATH, P.PATTERN), PATH, P.PATTERN).select(odd_docs.columns).collect()
     assert sorted(map(str, back)) == sorted(str(r) for r in odd_docs.fillna("", ["text"]).collect())
     assert bpe.digest_tokens(no_docs, PATH, P.PATTERN).count() == bpe.encode_documents(no_docs, PATH, P.PATTERN).count() == 0
+
+
+def test_a_column_that_is_called_like_the_result(spark):
+    docs = spark.createDataFrame([(1, "two words", "x")], "doc_id long, text string, ids string")
+    coded = bpe.encode_documents(docs, PATH, P.PATTERN)
+    assert coded.columns == ["doc_id", "ids"] and coded.select("ids").first()["ids"] == library().encode_ordinary("two words")
+    back = bpe.decode_documents(coded.selectExpr("*", "1 as text"), PATH, P.PATTERN)
+    assert back.columns == ["doc_id", "text"] and back.first()["text"] == "two words"

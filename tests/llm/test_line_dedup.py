@@ -41,3 +41,19 @@ def test_texts_and_other_columns(spark, odd_docs, no_docs):
         assert kept.columns == odd_docs.columns
         assert {r["text"] for r in kept.where("doc_id in (10, 11)").collect()} == {""}
         assert line_dedup.drop_shared_lines(no_docs, index_bytes=held).count() == 0
+
+
+def test_rows_that_repeat_a_document_count_once(spark):
+    rows = [(1, "a\nx")] * 5 + [(2, "a\ny"), (None, "b"), (None, "b"), (3, "c"), (3, "c\nd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = {(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.digest_lines(docs, min_docs=2).collect()}
+    assert dropped == {(1, 2, 1), (2, 2, 1), (None, 1, 1), (3, 1, 0), (3, 2, 0)}
+    assert {r["text"] for r in line_dedup.drop_shared_lines(docs, min_docs=2).collect()} == {"x", "y", "", "c", "c\nd"}
+
+
+def test_very_long_texts_in_pieces(spark):
+    """More lines than a batch of the routed probe holds."""
+    docs = spark.createDataFrame([(k, "\n".join(["same", *(f"{k}-{n}" for n in range(70_000))] + ["same"])) for k in range(2)], "doc_id long, text string")
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 2)
+    for held in (1 << 25, -1):
+        assert sorted(map(tuple, line_dedup.digest_lines(docs, min_docs=2, index_bytes=held).collect()), key=str) == want

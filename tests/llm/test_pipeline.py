@@ -31,3 +31,20 @@ def test_stages(spark, sf_dir):
     ids = [(r["doc_id"], other.encode_ordinary(r["text"]), r["text"]) for r in mixed]
     want = sorted((i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, x, t in ids)
     assert sorted(map(tuple, cp.run(spark, sf_dir).collect())) == want
+
+
+def test_odd_and_empty_tables(spark, odd_docs, no_docs):
+    """Every stage on null and empty texts, repeated rows and columns of its own names."""
+    names = {n for n, _ in cp.STAGES}
+    assert len(names) == 5
+    good = "The quick brown fox jumps over the lazy dog while seven small birds sing near an old stone bridge at dawn today."
+    more = spark.createDataFrame([(50, good, "a", 1, "x"), (50, good, "a", 1, "x"), (51, good, None, None, None)], odd_docs.schema)
+    odd = odd_docs.unionByName(more).selectExpr("*", "cast(length(text) as int) as n_chars")
+    for docs in (odd, odd.limit(0)):
+        for _, stage in cp.STAGES[:-1]:
+            docs = cp.materialize(stage(spark, docs, ""), "odd")
+            assert docs.columns == odd.columns
+        left = cp.STAGES[-1][1](spark, docs, "").collect()
+        assert {r["doc_id"] for r in left} <= {50, 51}
+    for _, stage in cp.STAGES:  # each on what another did not clean
+        stage(spark, odd, "").count()

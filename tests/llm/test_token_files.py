@@ -13,7 +13,6 @@ PATH = P.path("byte_bpe_50k.json")
 
 def brute(rows):
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     out, start = [], 0
     for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*library.encode(x or "", add_special_tokens=False).ids, 2]
@@ -48,9 +47,8 @@ def test_file_gives_any_document(tmp_path):
 def test_encoder_equals_the_library():
     rnd = random.Random(3)
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     texts = ["".join(rnd.choice("ab  \n\t\r\x0b\x1c\x85\xa0　é中1٣²ⅷ!?'sStT're ll​\U0001f600́<|endoftext|>") for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
-    texts += ["", None, "x" * 3000, "w " * 2000, "<|endoftext|> <|endoftext|>", " a b", "a\r b c\r", "foo.\nBar baz\r\n q"]
+    texts += ["", None, "x" * 3000, "w " * 2000, "<|endoftext|> <|endoftext|>", " a b", "a\r b c\r", "foo.\nBar baz\r\n q", "x <|endoftext|> y", "x<|endoftext|>y z.", "a\n<|endoftext|>\nb", "<|endoftext|", "w <|endoftext|>"]
     coder = tf.LibraryEncoder(PATH)
     for _ in range(2):
         for x, ids in zip(texts, coder.encode(texts), strict=True):
@@ -67,3 +65,14 @@ def test_read_back_equals_brute_force(spark, odd_docs, no_docs, sf_dir, monkeypa
     assert tf.pack_and_read_back(no_docs, PATH).count() == 0
     manifest = tf.write_token_files(docs, PATH).collect()
     assert sum(r["n_docs"] for r in manifest) == docs.count()
+
+
+def test_files_of_bounded_size(spark):
+    """A task closes a file at the bound, and a longer text has one of its own."""
+    docs = spark.createDataFrame([(i, f"word{i} " * (2000 if i == 7 else 40)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    manifest = tf.write_token_files(docs, PATH, file_ids=1000)
+    written = manifest.orderBy("start").collect()
+    assert len(written) > 10 and all(r["n_ids"] <= 1000 or r["n_docs"] == 1 for r in written)
+    assert [r["start"] for r in written] == [sum(x["n_ids"] for x in written[:k]) for k in range(len(written))]
+    rows = sorted(map(tuple, tf.read_token_files(spark, manifest).collect()))
+    assert rows == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
