@@ -72,7 +72,7 @@ def test_files_of_bounded_size(spark):
     docs = spark.createDataFrame([(i, f"word{i} " * (2000 if i == 7 else 40)) for i in range(40)], "doc_id long, text string").coalesce(1)
     manifest = tf.write_token_files(docs, PATH, file_ids=1000)
     written = manifest.orderBy("start").collect()
-    assert len(written) > 10 and all(r["n_ids"] <= 1000 or r["n_docs"] == 1 for r in written)
+    assert len(written) >= 5 and any(r["seq"] for r in written) and all(r["n_ids"] <= 1000 or r["n_docs"] == 1 for r in written)
     assert [r["start"] for r in written] == [sum(x["n_ids"] for x in written[:k]) for k in range(len(written))]
     rows = sorted(map(tuple, tf.read_token_files(spark, manifest).collect()))
     assert rows == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
