@@ -126,8 +126,15 @@ class Lines:
         return self.grams[first : first + n - SHINGLE + 1]
 
 
+def paragraph_ids(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One 64-bit id for each run of shingles, in order; the runs begin at ``starts`` and follow one another."""
+    sizes = np.diff(np.append(starts, len(grams)))
+    place = (np.arange(len(grams)) - np.repeat(starts, sizes)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(grams + place * _ODD[200]), starts) + sizes.astype(np.uint64) * _ODD[201])
+
+
 def paragraph_id(shingles_in_order: np.ndarray) -> int:
-    return int(np.frombuffer(xxhash.xxh64_digest(shingles_in_order.tobytes()), ">i8")[0])
+    return int(paragraph_ids(shingles_in_order, np.zeros(1, np.int64)).view(np.int64)[0])
 
 
 SKETCH = 4
@@ -152,107 +159,150 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     for b in range(bands):
         for r in range(rows):
             k = b * rows + r
-            low = np.minimum.reduceat((flat ^ _ADD[k]) * _ODD[k + 200], starts)
+            low = np.minimum.reduceat((flat ^ _ADD[k]) * _ODD[k], starts)
             keys[:, b] = mix(keys[:, b] * np.uint64(31) + low + np.uint64(b + 1))
     return keys
 
 
+#: What a row is about, in the low bits of its key. Blocks have 0, 1 and 2, for their bands.
+BAND, CLASS, WORDS, CUT, HIT = range(3, 8)
+KIND = 7
+_NAMES = ["key", "a", "b", "info"]
+
+
+def _sent(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, info: list[bytes] | None = None) -> pa.RecordBatch:
+    columns = [key & ~np.int64(KIND) | np.int64(kind), a, np.zeros(len(key), np.int64) if b is None else b]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(info, pa.binary()) if info else pa.nulls(len(key), pa.binary())], _NAMES)
+
+
+def _own(doc: np.ndarray) -> np.ndarray:
+    """A key for rows that only have to get to some task."""
+    return mix(doc.astype(np.uint64)).view(np.int64)
+
+
+class Texts:
+    """The words of several texts, hashed at once. Between two texts there are ``RADIUS`` places that belong to none."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        split = [[x.split() for x in (t or "").encode().split(b"\n")] for t in texts]
+        self.counts = np.array([sum(map(len, x)) for x in split], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts + RADIUS)])[: len(split)]
+        size = int((self.counts + RADIUS).sum())
+        inside = np.zeros(size + 1, np.int64)
+        np.add.at(inside, self.starts, 1)
+        np.add.at(inside, self.starts + self.counts, -1)
+        self.inside = np.cumsum(inside)[:size].astype(bool)
+        self.hashes = np.zeros(size, np.uint64)
+        self.hashes[self.inside] = word_hashes([w for x in split for line in x for w in line])
+        self.owner = np.repeat(np.arange(len(split)), self.counts + RADIUS)
+        self.grams = np.concatenate([gram_hashes(self.hashes, SHINGLE), np.zeros(SHINGLE - 1, np.uint64)]) if size >= SHINGLE else np.zeros(size, np.uint64)
+        self.lines = [[len(line) for line in x] for x in split]
+
+    def paragraphs(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first place, words) of the lines that are long enough, over all texts."""
+        n = np.array([k for x in self.lines for k in x], np.int64)
+        owner = np.repeat(np.arange(len(self.lines)), [len(x) for x in self.lines])
+        first = np.cumsum(n) - n + owner * RADIUS
+        some = n >= max(SHINGLE, least)
+        return first[some], n[some]
+
+    def blocks(self) -> np.ndarray:
+        """The places at which blocks begin, over all texts: ``anchors`` that leave room for one."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        g = np.full(len(self.hashes), np.iinfo(np.uint64).max, np.uint64)
+        pair = self.inside[:-1] & self.inside[1:]
+        g[:-1][pair] = gram_hashes(self.hashes, 2, 100)[pair]
+        top = np.full(RADIUS, np.iinfo(np.uint64).max, np.uint64)
+        around = np.lib.stride_tricks.sliding_window_view(np.concatenate([top, g, top]), 2 * RADIUS + 1)
+        left = np.repeat(self.starts + self.counts, self.counts + RADIUS) - np.arange(len(g))
+        return np.flatnonzero((g <= around.min(1)) & self.inside & (left >= WINDOW) & (np.repeat(self.counts, self.counts + RADIUS) >= 2))
+
+
 def _scan(docs: DataFrame, min_words: int, bands: int, rows: int, within: bool) -> DataFrame:
-    """(kind, key, a, b, c, info): what one pass over the texts sends on, dealt out by ``key`` afterwards.
+    """(key, a, b, info): what one pass over the texts sends on, dealt out by ``key`` afterwards, whose low bits tell the kind.
 
-    CLASS: key a line's id, its document a and first place b there, c words; info: size, sketch, further places
-    there. BAND: a line's id a under a band key. BLOCK: document a, place b of the shingle that collides, tag c of the whole block.
-    WORDS: document a of c words. CUT: document a, place b, c words that go. HIT: document a, place b, and an earlier document c with
-    its place in info. Of equal lines or blocks in a batch only those of the first document are sent as CLASS or BLOCK.
+    CLASS: under a line's id its document a and first place b there; info: id, words, size, sketch, further places
+    there. BAND: a line's id a under a band key. Blocks: document a, and in b the place of the shingle that collides and a tag of the
+    whole block. WORDS: document a of b words. CUT: document a, place b; info: words that go. HIT: document a, place b; info: an
+    earlier document and its place. Of equal lines or blocks in a batch only those of the first document are sent as CLASS or blocks.
     """
 
     def cut_rows(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         if found:
             i, at, n = (np.array(x, np.int64) for x in zip(*found, strict=True))
-            yield _sent(CUT, mix(i.astype(np.uint64)).view(np.int64), i, at, n)
-
-    def line_rows(ids: list[int], texts: list[Lines]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, dict[int, list[int]]] = {}  # the places of a line by document
-        words: dict[int, int] = {}
-        sets: dict[int, np.ndarray] = {}
-        for i, x in zip(ids, texts, strict=True):
-            here: dict[int, list[int]] = {}
-            for a, n in x.paragraphs(min_words):
-                grams = x.shingles(a, n)
-                h = paragraph_id(grams)
-                here.setdefault(h, []).append(a)
-                if h not in sets:
-                    sets[h], words[h] = np.unique(grams), n
-            for h, places in here.items():
-                known = found.setdefault(h, {}).setdefault(i, [])
-                known[:] = sorted({*known, *places})  # rows that repeat a doc_id may differ in their texts
-        if not sets:
+            yield _sent(CUT, _own(i), i, at, [x.tobytes() for x in n.astype("<i8")])
+
+    def line_rows(ids: np.ndarray, texts: Texts) -> Iterator[pa.RecordBatch]:
+        first, n = texts.paragraphs(min_words)
+        if not len(first):
             return
-        order = list(found)
-        some = [sets[h] for h in order]
-        sketch, keys, own, cuts = parity_sketch(some), band_keys(some, bands, rows).view(np.int64), np.array(order, np.int64), []
+        sizes = n - SHINGLE + 1
+        begin = np.cumsum(sizes) - sizes
+        flat = texts.grams[np.repeat(first - begin, sizes) + np.arange(int(sizes.sum()))]
+        h, owner = paragraph_ids(flat, begin).view(np.int64), texts.owner[first]
+        place, doc = first - texts.starts[owner], ids[owner]
+        order = np.lexsort((place, doc, h))
+        starts, group = _groups(h[order])
+        head = order[starts]  # of each line its first place in its first document
+        sets = []
+        for a, k in zip(begin[head].tolist(), sizes[head].tolist(), strict=True):
+            grams = flat[a : a + k]
+            sets.append(grams if len(set(grams.tolist())) == k else np.unique(grams))
+        sketch, keys = parity_sketch(sets), band_keys(sets, bands, rows).view(np.int64)
         for k in range(bands):
-            yield _sent(BAND, keys[:, k], own)
-        first = [min(found[h]) for h in order]
-        info = [np.array([len(s)], "<i4").tobytes() + sketch[k].astype("<u8").tobytes() + np.array(found[h][first[k]][1:], "<i4").tobytes() for k, (h, s) in enumerate(zip(order, some, strict=True))]
-        yield _sent(CLASS, own, np.array(first, np.int64), np.array([found[h][i][0] for h, i in zip(order, first, strict=True)], np.int64), np.array([words[h] for h in order], np.int64), info)
-        for h, i in zip(order, first, strict=True):
-            cuts += [(j, a, words[h]) for j, places in found[h].items() if j > i or within for a in places[(j == i) :]]
-        yield from cut_rows(cuts)
-
-    def block_rows(ids: list[int], texts: list[Lines]) -> Iterator[pa.RecordBatch]:
-        wide = WINDOW - SHINGLE + 1
-        own, grams, begins, tags, cuts = [], [], [], [], []
-        at = 0
-        for i, x in zip(ids, texts, strict=True):
-            if len(x.words) < WINDOW:
-                continue
-            places = anchors(x.hashes)
-            places = places[places <= len(x.words) - WINDOW]
-            h = gram_hashes(x.hashes, WINDOW, 300)[places]
-            own.append(np.column_stack([np.full(len(places), i), places]))
-            grams.append(x.grams)
-            begins.append(places + at)
-            tags.append(h & np.uint64(0xFFFF))
-            at += len(x.grams)
-            if within:
-                again = np.ones(len(h), bool)
-                again[np.unique(h, return_index=True)[1]] = False
-                cuts += [(i, a, b - a) for a, b in _union([(p, p + WINDOW) for p in places[again].tolist()]) if b - a >= MIN_RUN]
-        if own:
-            own, g, begin, tag = np.concatenate(own), np.concatenate(grams), np.concatenate(begins), np.concatenate(tags).astype(np.int64)
-            around = begin[:, None] + np.arange(wide)
-            for band in range(BLOCK_BANDS):
-                low, key = [], np.full(len(begin), band + 1, np.uint64)
-                for r in range(BLOCK_ROWS):
-                    k = 400 + band * BLOCK_ROWS + r
-                    v = (g ^ _ADD[k]) * _ODD[k]
-                    low.append(v[around].argmin(1))
-                    key = mix(key * np.uint64(31) + v[begin + low[-1]])
-                yield from _block_band(band, key.view(np.int64), own[:, 0], own[:, 1] + low[0], tag)
-        yield from cut_rows(cuts)
+            yield _sent(BAND, keys[:, k], h[head])
+        same = doc[order] == doc[head][group]
+        more = same.copy()
+        more[starts] = False
+        places: dict[int, list[int]] = {}
+        for g, p in zip(group[more].tolist(), place[order][more].tolist(), strict=True):
+            places.setdefault(g, []).append(p)
+        fixed = np.column_stack([h[head].view(np.uint64), (n[head] | np.array(list(map(len, sets)), np.int64) << 32).view(np.uint64), sketch]).astype("<u8")
+        info = [x.tobytes() + (np.array(places[g], "<i4").tobytes() if g in places else b"") for g, x in enumerate(fixed)]
+        yield _sent(CLASS, h[head], doc[head], place[head], info)
+        gone = ~same | (more if within else np.zeros(len(order), bool))
+        yield from cut_rows(list(zip(doc[order][gone].tolist(), place[order][gone].tolist(), n[order][gone].tolist(), strict=True)))
+
+    def block_rows(ids: np.ndarray, texts: Texts) -> Iterator[pa.RecordBatch]:
+        begin, g = texts.blocks(), texts.grams
+        if not len(begin):
+            return
+        owner = texts.owner[begin]
+        doc, place = ids[owner], begin - texts.starts[owner]
+        # four shingles side by side are the whole block
+        h = mix(sum(g[begin + k * SHINGLE] * _ODD[300 + k] for k in range(WINDOW // SHINGLE)))
+        tag = (h & np.uint64(0xFFFF)).astype(np.int64)
+        around = begin[:, None] + np.arange(WINDOW - SHINGLE + 1)
+        for band in range(BLOCK_BANDS):
+            low, key = [], np.full(len(begin), band + 1, np.uint64)
+            for r in range(BLOCK_ROWS):
+                k = 400 + band * BLOCK_ROWS + r
+                v = (g ^ _ADD[k]) * _ODD[k]
+                low.append(v[around].argmin(1))
+                key = mix(key * np.uint64(31) + v[begin + low[-1]])
+            yield from _block_band(band, key.view(np.int64), doc, place + low[0], tag)
+        if within:
+            cuts, order = [], np.lexsort((place, h, doc))
+            starts, _ = _groups(doc[order], h[order])
+            again = np.ones(len(order), bool)
+            again[starts] = False
+            by: dict[int, list[int]] = {}
+            for i, p in zip(doc[order][again].tolist(), place[order][again].tolist(), strict=True):
+                by.setdefault(i, []).append(p)
+            for i, found in by.items():
+                cuts += [(i, a, b - a) for a, b in _union(sorted((p, p + WINDOW) for p in found)) if b - a >= MIN_RUN]
+            yield from cut_rows(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             b = b.take(pc.sort_indices(b.column(0)))
-            ids = b.column(0).to_pylist()
-            texts = [Lines(x or "") for x in b.column(1).to_pylist()]
-            i = np.array(ids, np.int64)
-            yield _sent(WORDS, mix(i.astype(np.uint64)).view(np.int64), i, None, np.array([len(x.words) for x in texts], np.int64))
+            ids, texts = b.column(0).to_numpy(), Texts(b.column(1).to_pylist())
+            yield _sent(WORDS, _own(ids), ids, texts.counts)
             yield from line_rows(ids, texts)
             yield from block_rows(ids, texts)
 
-    return docs.mapInArrow(run, "kind int, key long, a long, b long, c long, info binary")
-
-
-CLASS, BAND, BLOCKS, WORDS, CUT, HIT = range(6)
-_NAMES = ["kind", "key", "a", "b", "c", "info"]
-
-
-def _sent(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray | None = None, c: np.ndarray | None = None, info: list[bytes] | None = None) -> pa.RecordBatch:
-    none = np.zeros(len(key), np.int64)
-    columns = [np.full(len(key), kind, np.int32), key, a, none if b is None else b, none if c is None else c]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(info, pa.binary()) if info else pa.nulls(len(key), pa.binary())], _NAMES)
+    return docs.mapInArrow(run, "key long, a long, b long, info binary")
 
 
 def _block_band(band: int, key: np.ndarray, doc: np.ndarray, place: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -260,20 +310,19 @@ def _block_band(band: int, key: np.ndarray, doc: np.ndarray, place: np.ndarray,
 
     Equal blocks meet in every band, so only the first band reports them.
     """
-    key = key & ~np.int64(3) | np.int64(band)
     order = np.argsort(mix(key.view(np.uint64) + tag.view(np.uint64)), kind="stable")  # rows come by document and place
     key, doc, place, tag = key[order], doc[order], place[order], tag[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
-    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    starts, group = _groups(key, tag)
+    begin = starts[group]
     twice = np.zeros(len(key), bool)
-    twice[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+    twice[1:] = (group[1:] == group[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
     late = doc > doc[begin]
     own = ~late & ~twice
-    yield _sent(BLOCKS, key[own], doc[own], place[own], tag[own])
+    yield _sent(band, key[own], doc[own], place[own] << 16 | tag[own])
     late &= ~twice
     if band == 0 and late.any():
-        yield _sent(HIT, mix(doc[late].astype(np.uint64)).view(np.int64), doc[late], place[late], doc[begin][late], [x.tobytes() for x in place[begin][late].astype("<i8")])
+        source = np.column_stack([doc[begin][late], place[begin][late]]).astype("<i8")
+        yield _sent(HIT, _own(doc[late]), doc[late], place[late], [x.tobytes() for x in source])
 
 
 _MET = "kind int, k long, a long, b long, c long, n long, size int, sketch array<long>, places array<int>"
@@ -295,20 +344,26 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _classes_met(key, a, b, c, info) -> Iterator[pa.RecordBatch]:
+FIXED = 8 * (2 + SKETCH)
+
+
+def _classes_met(key, a, b, info) -> Iterator[pa.RecordBatch]:
     """The first place of each line, and what repeats it in later documents."""
-    begin, group = _groups(key)
+    blobs = [info[i] for i in range(len(info))]
+    fixed = np.frombuffer(b"".join(x[:FIXED] for x in blobs), "<i8").reshape(-1, 2 + SKETCH)
+    order = np.lexsort((b, a, fixed[:, 0]))
+    ids, a, b, n, size = fixed[order, 0], a[order], b[order], fixed[order, 1] & 0xFFFFFFFF, (fixed[order, 1] >> 32).astype(np.int32)
+    begin, group = _groups(ids)
+    places = lambda i: np.frombuffer(blobs[order[i]], "<i4", offset=FIXED)
+    flat = np.ascontiguousarray(fixed[order[begin], 2:]).reshape(-1)
+    sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(begin) + 1) * SKETCH, pa.int32()), pa.array(flat))
+    yield _met(CLASS, ids[begin], a[begin], b[begin], None, n[begin], size[begin], sketch, [places(i) for i in begin.tolist()])
     late = np.flatnonzero(a > a[begin][group])
-    blobs = [info[i] for i in begin.tolist()]
-    yield _met(
-        CLASS, key[begin], a[begin], b[begin], None, c[begin], np.array([int.from_bytes(x[:4], "little") for x in blobs], np.int32),
-        [np.frombuffer(x[4 : 4 + 8 * SKETCH], "<i8") for x in blobs], [np.frombuffer(x[4 + 8 * SKETCH :], "<i4") for x in blobs],
-    )
     if len(late):
-        more = [np.frombuffer(info[i][4 + 8 * SKETCH :], "<i4") for i in late.tolist()]
+        more = [places(i) for i in late.tolist()]
         times = np.array([1 + len(x) for x in more])
-        places = np.concatenate([np.concatenate([[p], x]) for p, x in zip(b[late], more, strict=True)])
-        yield _met(CUT, None, np.repeat(a[late], times), places.astype(np.int64), None, np.repeat(c[late], times))
+        all_ = np.concatenate([np.concatenate([[p], x]) for p, x in zip(b[late], more, strict=True)])
+        yield _met(CUT, None, np.repeat(a[late], times), all_.astype(np.int64), None, np.repeat(n[late], times))
 
 
 def _bands_met(key, a) -> Iterator[pa.RecordBatch]:
@@ -328,17 +383,18 @@ def _bands_met(key, a) -> Iterator[pa.RecordBatch]:
         yield _met(BAND, key[other], centre[other], a[other])
 
 
-def _blocks_met(key, a, b, c) -> Iterator[pa.RecordBatch]:
+def _blocks_met(key, a, b) -> Iterator[pa.RecordBatch]:
     """Hits (a: document, b: place, k: an earlier document, c: its place) of blocks that collide.
 
     Equal blocks against the first of them; of unequal ones the first of each kind against the first of all and of the most frequent kind.
     """
     if not len(key):
         return
-    order = np.lexsort((b, a, c, key))
-    key, doc, place, tag = key[order], a[order], b[order], c[order]
+    place, tag = b >> 16, b & 0xFFFF
+    order = np.lexsort((place, a, tag, key))
+    key, doc, place, tag = key[order], a[order], place[order], tag[order]
     begin, kind = _groups(key, tag)
-    late = np.flatnonzero((doc > doc[begin][kind]) & (key & 3 == 0))
+    late = np.flatnonzero((doc > doc[begin][kind]) & (key & KIND == 0))
     hits = [(late, begin[kind[late]])]
     start, of = _groups(key[begin])
     times = np.diff(np.append(begin, len(key)))
@@ -359,39 +415,39 @@ def _collide(sent: DataFrame) -> DataFrame:
     """What meets under the keys of ``_scan``, by kind (``_MET``)."""
 
     def finish(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = {c: t.column(c).to_numpy() for c in _NAMES[:-1]}
-        for kind in range(6):
-            at = np.flatnonzero(col["kind"] == kind)
-            if not len(at):
-                continue
-            if kind in (BAND, BLOCKS):  # most keys are of one row
-                begin, group = _groups(col["key"][at])
-                at = at[(np.diff(np.append(begin, len(at))) > 1)[group]]
-            if kind != WORDS:
-                at = at[np.lexsort([col[c][at] for c in ("b", "a", "key")])]
-            key, a, b, c = (col[x][at] for x in ("key", "a", "b", "c"))
-            if kind == CLASS:
-                yield from _classes_met(key, a, b, c, t.column("info").take(pa.array(at)).to_pylist())
-            elif kind == BAND:
-                yield from _bands_met(key, a)
-            elif kind == BLOCKS:
-                yield from _blocks_met(key, a, b, c)
-            elif kind == WORDS:
-                yield _met(WORDS, None, a, None, None, c)
-            elif kind == CUT:
-                yield _met(CUT, None, a, b, None, c)
-            else:
-                yield _met(HIT, c, a, b, np.frombuffer(b"".join(t.column("info").take(pa.array(at)).to_pylist()), "<i8"))
+        key, a, b = (t.column(c).to_numpy() for c in _NAMES[:-1])
+        begin, group = _groups(key)
+        alone = (np.diff(np.append(begin, len(key))) == 1)[group]
+        kind = key & KIND
+        at = np.flatnonzero((kind < BAND) & ~alone)  # most keys are of one row
+        yield from _blocks_met(key[at], a[at], b[at])
+        at = np.flatnonzero((kind == BAND) & ~alone)
+        at = at[np.lexsort((a[at], key[at]))]
+        yield from _bands_met(key[at], a[at])
+        at = np.flatnonzero(kind == WORDS)
+        if len(at):
+            yield _met(WORDS, None, a[at], None, None, b[at])
+        held = lambda at: t.column("info").take(pa.array(at)).to_pylist()
+        at = np.flatnonzero(kind == CLASS)
+        if len(at):
+            yield from _classes_met(key[at], a[at], b[at], held(at))
+        at = np.flatnonzero(kind == CUT)
+        if len(at):
+            yield _met(CUT, None, a[at], b[at], None, np.frombuffer(b"".join(held(at)), "<i8"))
+        at = np.flatnonzero(kind == HIT)
+        if len(at):
+            first = np.frombuffer(b"".join(held(at)), "<i8").reshape(-1, 2)
+            yield _met(HIT, first[:, 0], a[at], b[at], first[:, 1])
 
     def heads(t: pa.Table) -> pa.Table:
         """Of a group that goes on in the next piece, the rows that the rest is compared with."""
-        kind, a, c = (t.column(x).to_numpy() for x in ("kind", "a", "c"))
-        if kind[0] == BAND:
-            ids, first, times = np.unique(a, return_index=True, return_counts=True)
+        key, a, b = (t.column(c).to_numpy() for c in _NAMES[:-1])
+        if key[0] & KIND == BAND:
+            _, first, times = np.unique(a, return_index=True, return_counts=True)
             return t.take(pa.array([int(first[times.argmax()])]))
-        order = np.lexsort((t.column("b").to_numpy(), a))
-        if kind[0] == BLOCKS:
-            return t.take(pa.array(order[np.unique(c[order], return_index=True)[1]]))
+        order = np.lexsort((b, a))
+        if key[0] & KIND < BAND:
+            return t.take(pa.array(order[np.unique(b[order] & 0xFFFF, return_index=True)[1]]))
         return t.take(pa.array(order[:1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,9 +572,9 @@ def _similar_lines(docs: DataFrame, buckets: DataFrame, classes: DataFrame, min_
 class Aligned:
     """Two word sequences, as 32 bits of each word's hash, and the hashes of their shingles."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, gx: np.ndarray | None = None, gy: np.ndarray | None = None) -> None:
         self.x, self.y = x, y
-        self.gx, self.gy = (gram_hashes(z, SHINGLE).tolist() if len(z) >= SHINGLE else [] for z in (x, y))
+        self.gx, self.gy = (gram_hashes(z, SHINGLE) if g is None and len(z) >= SHINGLE else z[:0] if g is None else g for z, g in ((x, gx), (y, gy)))
 
     def ahead(self, i: int, j: int) -> int:
         """How many words are equal from x[i] and y[j] on."""
@@ -532,8 +588,9 @@ class Aligned:
         differ = (self.x[i - n : i] != self.y[j - n : j])[::-1]
         return int(differ.argmax()) if differ.any() else n
 
-    def _nearest(self, u: list[int], v: list[int]) -> tuple[int, int] | None:
+    def _nearest(self, u: np.ndarray, v: np.ndarray) -> tuple[int, int] | None:
         at: dict[int, int] = {}
+        u, v = u.tolist(), v.tolist()
         for k, g in enumerate(v):
             at.setdefault(g, k)
         best = None
@@ -576,16 +633,16 @@ class Aligned:
             out.append((i, j, n))
 
 
-def align(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> tuple[list[tuple[int, int]], bool, bool]:
+def align(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int, int]], threshold: float = THRESHOLD, grams: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[tuple[int, int]], bool, bool]:
     """Ranges of x that repeat y, and whether an alignment met the first or the last words of either.
 
-    ``seeds`` are (place in x, place in y, words). A range is a run of ``MIN_RUN`` equal words, or runs with edits between
+    ``seeds`` are (place in x, place in y, words), ``grams`` the hashes of the shingles of x and y. A range is a run of ``MIN_RUN`` equal words, or runs with edits between
     them whose shingles have at least the threshold in common with those of their counterpart.
     """
     out: list[tuple[int, int]] = []
     done: list[tuple[int, int]] = []
     low = high = False
-    both = Aligned(x, y)
+    both = Aligned(x, y, *(grams or (None, None)))
     for i, j, n in sorted(seeds):
         if min(i, j) < 0 or i + n > len(x) or j + n > len(y) or any(a <= i and i + n <= b for a, b in done) or both.ahead(i, j) < n:
             continue
@@ -679,14 +736,17 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
+            ids, ends, totals, words = [], [], [], []
             for i, text, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                h = word_hashes((text or "").encode().split()).astype(np.uint32).view(np.int32)
-                for k in range(0, len(places), 256):
-                    some = places[k : k + 256]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([i] * len(some), pa.int64()), pa.array([r["low"] for r in some], pa.int64()), pa.array([r["high"] for r in some], pa.int64()),
-                        pa.array([h[r["low"] : r["high"]] for r in some], pa.list_(pa.int32())), pa.array([len(h)] * len(some), pa.int64()),
-                    ], ["doc_id", "low", "high", "words", "total"])
+                said = (text or "").encode().split()
+                ids += [i] * len(places)
+                totals += [len(said)] * len(places)
+                ends += [(r["low"], r["high"]) for r in places]
+                words += [said[r["low"] : r["high"]] for r in places]
+            flat = word_hashes([w for x in words for w in x]).astype(np.uint32).view(np.int32)
+            cut = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
+            low, high = np.array(ends, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(low), pa.array(high), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(totals, pa.int64())], ["doc_id", "low", "high", "words", "total"])
 
     out = materialize(_texts(docs, places).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, low long, high long, words array<int>, total long"), "passage-slices")
     forget(places)
@@ -701,11 +761,16 @@ def _aligned(docs: DataFrame, hits: DataFrame, cuts: DataFrame, threshold: float
             col = {c: b.column(c).to_numpy() for c in (*_ENDS, "low", "first_low", "total", "first_total")}
             lists = {c: (b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy(zero_copy_only=False)) for c in ("x", "y", "places", "first_places")}
             again, spans = np.zeros(b.num_rows, bool), []
+            for c in ("x", "y"):  # shingles over the end of a list are cut off below
+                marks, values = lists[c]
+                values = values.view(np.uint32).astype(np.uint64)
+                lists[c] = marks, values
+                lists[f"g{c}"] = marks, gram_hashes(np.append(values, np.zeros(SHINGLE, np.uint64)), SHINGLE)
             for r in range(b.num_rows):
-                x, y, places, sources = (values[marks[r] : marks[r + 1]] for marks, values in lists.values())
-                x, y = (z.view(np.uint32).astype(np.uint64) for z in (x, y))
+                x, y, places, sources, gx, gy = (values[marks[r] : marks[r + 1]] for marks, values in lists.values())
+                gx, gy = gx[: max(0, len(x) - SHINGLE + 1)], gy[: max(0, len(y) - SHINGLE + 1)]
                 low, first_low = int(col["low"][r]), int(col["first_low"][r])
-                found, near_low, near_high = align(x, y, [(p, q, SHINGLE) for p, q in zip((places - low).tolist(), (sources - first_low).tolist(), strict=True)], threshold)
+                found, near_low, near_high = align(x, y, [(p, q, SHINGLE) for p, q in zip((places - low).tolist(), (sources - first_low).tolist(), strict=True)], threshold, (gx, gy))
                 high, last = low + len(x), min(col["total"][r], col["ceiling"][r])
                 again[r] = near_low and (low > col["floor"][r] or low == 0 < first_low) or near_high and (high < last or high == col["total"][r] and first_low + len(y) < col["first_total"][r])
                 spans.append([{"at": s + low, "n": e - s} for s, e in found])
