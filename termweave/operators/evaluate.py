@@ -53,3 +53,10 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     j = before.select("mention", F.col("correct").alias("b")).join(after.select("mention", F.col("correct").alias("a")), "mention")
     count = lambda c: F.coalesce(F.sum(F.expr(c).cast("long")), F.lit(0))
     return j.agg(count("b").alias("n_before"), count("a").alias("n_after"), count("a and not b").alias("gained"), count("b and not a").alias("lost"))
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``mention, entity_before, entity_after, change``: what was gained and lost between two tables ``(mention, entity, correct)``."""
+    j = before.select("mention", F.col("entity").alias("entity_before"), F.col("correct").alias("b")).join(after.select("mention", F.col("entity").alias("entity_after"), F.col("correct").alias("a")), "mention")
+    change = F.when(F.col("a") & ~F.col("b"), "gained").when(F.col("b") & ~F.col("a"), "lost")
+    return j.withColumn("change", change).where("change is not null").select("mention", "entity_before", "entity_after", "change")

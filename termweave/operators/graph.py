@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = {"main": "_main", "vice": "_vice", "surg": "_surg"}
@@ -117,8 +117,10 @@ def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def records_with(items: DataFrame, names: DataFrame, last_slot: int = 10) -> DataFrame:
-    """Records of which one of the first slots holds a name of the list."""
-    return items.join(items.where(F.col("slot") <= last_slot).join(names.select("name"), "name", "left_semi").select("record_id").distinct(), "record_id", "left_semi")
+    """Records of which one of the first slots holds a name of the list. ``items`` is read once."""
+    listed = items.join(names.select("name").distinct().withColumn("_listed", F.lit(True)), "name", "left")
+    hit = F.max(F.coalesce(F.col("_listed") & (F.col("slot") <= last_slot), F.lit(False))).over(Window.partitionBy("record_id"))
+    return listed.withColumn("_hit", hit).where("_hit").select(*items.columns)
 
 
 def network_size(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -193,12 +193,6 @@ def norm_segments(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_segments"), F.md5(F.concat_ws("|", "s")).alias("digest"))
 
 
-@_query("short_segment_merge")
-def short_segment_merge(spark, sf):
-    s = X.merge_short(F.split("mention", " "))
-    return mentions(spark, sf).select("mention", s.alias("s")).select("mention", F.size("s").cast("long").alias("n"), F.concat_ws("|", "s").alias("merged"))
-
-
 @_query("char_set_sim", f"SELECT mention, entity, round({_overlap('mention', 'entity')}, 6) AS sim FROM ({_GRID})")
 def char_set_sim(spark, sf):
     return _grid(spark, sf).select("mention", "entity", F.round(S.char_overlap(F.col("mention"), F.col("entity")), 6).alias("sim"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import csv
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,22 +57,41 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.trim("line").alias("name")).where("name != ''")
 
 
-def redecode(encoding: str):
-    """A column of ISO-8859-1 text, which keeps every byte, decoded as ``encoding``. Spark reads few encodings by itself."""
+def read_mentions(spark: SparkSession, path: str, encoding: str = "GB2312", columns: str = "mention string, entity string, code string") -> DataFrame:
+    """``columns`` of a CSV file in an encoding whose wide characters hold no comma, up to its first blank line."""
+    rows = _in_order(spark, path) if encoding == "UTF-8" else _in_order_bytes(spark, path, encoding)
+    schema = T._parse_datatype_string(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, over = None, False
+        for b in batches:
+            found = []
+            for name, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != file:
+                    file, over = name, False
+                over = over or not line.strip()
+                if not over:
+                    fields = [x.strip() or None for x in next(csv.reader([line]))]
+                    found.append(dict(zip(names, [*fields, *[None] * len(names)], strict=False)))
+            yield pa.RecordBatch.from_pylist(found, pa.schema([(c, pa.string()) for c in names]))
+
+    names = schema.names
+    return rows.mapInArrow(run, schema).where(F.col(names[0]).isNotNull())
 
-    @F.pandas_udf(T.StringType())
-    def column(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else v.encode("iso-8859-1").decode(encoding, "replace"))
 
-    return column
+def _in_order_bytes(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """``_in_order`` of files in another encoding. Spark's text reader takes UTF-8 alone, so each file is read as bytes, whole in one task."""
+    blobs = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines = content.decode(encoding, "replace").splitlines()
+                for k in range(0, len(lines), 10_000):
+                    some = lines[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some, pa.string())], ["file", "line"])
 
-def read_mentions(spark: SparkSession, path: str, encoding: str = "GB2312") -> DataFrame:
-    """``mention, entity, code`` of a CSV file in an encoding whose wide characters hold no comma; rows without a mention go."""
-    rows = spark.read.option("encoding", "ISO-8859-1").csv(path, schema="mention string, entity string, code string")
-    decode = redecode(encoding)
-    rows = rows.select(*(F.trim(decode(c)).alias(c) for c in rows.columns))
-    return rows.where(F.coalesce("mention", F.lit("")) != "")
+    return blobs.mapInArrow(run, "file string, line string")
 
 
 def split_records(lines: DataFrame, sep: str = "\t", mark: str = "##") -> DataFrame:
@@ -119,26 +141,60 @@ def read_entity_tokens(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).where(F.size(p) >= 3).select(p[0].alias("code"), F.filter(F.split(p[1], " "), lambda x: x != "").alias("tokens"), p[2].alias("name"))
 
 
-def _blocks(lines: DataFrame, heads: Column) -> DataFrame:
-    """Number the blocks of a small text file, each of which begins with a head line. The file is one partition, as its format is a sequence."""
-    return lines.withColumn("is_head", heads).withColumn("block", F.sum(F.col("is_head").cast("int")).over(Window.orderBy("line_no")))
+def _in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line`` of text files whose lines tell by their order what they are: each file's in order, in one partition.
+
+    Such a format is a sequence, so a file is one task's, which streams through it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    return lines.repartition("file").sortWithinPartitions("file", "block", "n").select("file", "line")
+
+
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """``src, dst, weight`` from the text form: a count of nodes, then for each ``node degree`` and as many lines ``neighbour weight``.
 
+    Names hold no white space. Lines that tell of no degree where a node is due are left out.
+    """
 
-def read_adjacency(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """``src, dst, weight`` from the text form: a count, then ``node degree`` lines each followed by ``neighbour weight`` lines, which are indented by a tab."""
-    rows = _blocks(_lines(spark, path).where("trim(line) != ''"), ~F.col("line").startswith("\t"))
-    name = F.regexp_extract(F.trim(F.regexp_replace("line", "\t", "")), rf"^(.*){sep}([^{sep}]+)$", 1)
-    value = F.regexp_extract(F.trim(F.regexp_replace("line", "\t", "")), rf"^(.*){sep}([^{sep}]+)$", 2)
-    rows = rows.select("block", "is_head", name.alias("name"), value.alias("value"))
-    head = rows.where("is_head and name != ''").select("block", F.col("name").alias("src"))
-    return rows.where("not is_head").join(head, "block").select("src", F.col("name").alias("dst"), F.col("value").cast("double").alias("weight"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, src, left = None, None, 0
+        for b in batches:
+            rows = []
+            for name, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != file:
+                    file, left = name, 0
+                words = line.split()
+                if left and len(words) >= 2:
+                    rows.append((src, words[0], float(words[1])))
+                    left -= 1
+                elif not left and len(words) == 2 and words[1].isdigit():
+                    src, left = words[0], int(words[1])
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+    schema = pa.schema([("src", pa.string()), ("dst", pa.string()), ("weight", pa.float64())])
+    return _in_order(spark, path).mapInArrow(run, "src string, dst string, weight double")
 
 
 def read_name_sets(spark: SparkSession, path: str) -> DataFrame:
-    """``mention, entity`` from blocks of a ``name | count`` line and its names, parted by blank lines."""
-    rows = _blocks(_lines(spark, path).where("trim(line) != ''"), F.col("line").rlike(r" \| \d+$"))
-    head = rows.where("is_head").select("block", F.regexp_replace("line", r" \| \d+$", "").alias("mention"))
-    return rows.where("not is_head").join(head, "block").select("mention", F.col("line").alias("entity"))
+    """``mention, entity`` from blocks of a ``name | count`` line, as many names and a blank line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, mention, left = None, None, 0
+        for b in batches:
+            rows = []
+            for name, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != file:
+                    file, left = name, 0
+                head, mark, count = line.rpartition(" | ")
+                if left:
+                    rows.append({"mention": mention, "entity": line})
+                    left -= 1
+                elif mark and count.strip().isdigit():
+                    mention, left = head, int(count)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = pa.schema([("mention", pa.string()), ("entity", pa.string())])
+    return _in_order(spark, path).mapInArrow(run, "mention string, entity string")
 
 
 def unpivot_records(wide: DataFrame, record_id: str, main: str, others: list[str], procedures: list[str]) -> DataFrame:
@@ -158,3 +214,8 @@ def union_years(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t)
     return out
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """``mention, answer, main, other``: labelled cases with their neighbours by role, as JSON lines."""
+    return spark.read.schema(schemas.CASE).json(path)

@@ -24,3 +24,4 @@ ITEM = _struct("record_id long, slot int, role string, name string")
 EDGE = _struct("src string, dst string, weight double")
 WIDE_RECORD = _struct(", ".join([*(f"d{k} string" for k in range(1, 12)), *(f"p{k} string" for k in range(1, 11))]))
 WIDE_RECORD_ID = T.StructType([T.StructField("id", T.StringType()), *WIDE_RECORD.fields])
+CASE = T.StructType([T.StructField("mention", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("main", T.ArrayType(T.StringType())), T.StructField("other", T.ArrayType(T.StringType()))])

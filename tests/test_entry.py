@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from termweave.plans import queries as linker
+from termweave.plans import details as linker
 
 SF = "/root/testdata/sf0.001"
 
