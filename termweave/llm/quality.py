@@ -173,13 +173,15 @@ def order_rules(texts: list[str | None], rules: tuple[Rule, ...] = RULES, first:
 
 
 def plan_cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 400, sample_chars: int = 20_000, seed: int = 9, **given) -> list[str]:
-    """The order of ``rules`` for ``docs``, estimated on ``sample_rows`` rows drawn by ``seed`` from all partitions.
+    """The order of ``rules`` for ``docs``, estimated on about ``sample_rows`` rows drawn by ``seed`` from all partitions.
 
-    ``sample_chars`` bounds what the driver sees of a text; the estimate decides the order alone, and every verdict is on
-    whole texts. ``given`` goes to ``order_rules``.
+    The rows are counted, and each is drawn with the same chance, so the driver sees ``sample_rows`` of them give or take a few
+    times the root. ``sample_chars`` bounds what it sees of a text; the estimate decides the order alone, and every verdict is on whole
+    texts. ``given`` goes to ``order_rules``.
     """
-    drawn = docs.select(F.substring(F.col(text), 1, sample_chars).alias("text"), F.rand(seed).alias("draw"))
-    return order_rules([r["text"] for r in drawn.orderBy("draw").limit(sample_rows).collect()], rules, **given)[0]
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    drawn = docs.select(F.substring(F.col(text), 1, sample_chars).alias("text")).sample(False, share, seed)
+    return order_rules([r["text"] for r in drawn.collect()], rules, **given)[0]
 
 
 def _cascade(rules: tuple[Rule, ...], order: list[str]) -> list[Rule]:
