@@ -92,6 +92,13 @@ class Coder:
         return np.concatenate(said), first if masked else 0, first + n if masked else 0
 
 
+def _with_ids(b: pa.RecordBatch, ids: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """The batch with a column of ids, which stay out of Python's own lists."""
+    flat = np.concatenate([x for row in ids for x in row] or [np.zeros(0, np.int32)])
+    ends = np.cumsum([0, *(sum(map(len, row)) for row in ids)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], [*b.schema.names, "ids"])
+
+
 def _shared(a: bytes, b: bytes) -> int:
     """How many digests two paths have in common at their beginning."""
     k, n = 0, min(len(a), len(b)) // DIGEST
@@ -150,7 +157,7 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
         owners: list[int] = []
         tokens: list[int] = []
         for b in pieces(batches, 256):
-            out = []
+            out, ids = [], []
             for path, leaf, units in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 same = _shared(last, path) if seq else 0
                 least = min(least, same) if seq else len(units)
@@ -158,16 +165,17 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
                 tokens = tokens[:same] + [len(x) for x, _, _ in coded]
                 starts = starts[:same] + _ends(tokens[same:], offset)
                 owners = owners[:same] + [offset] * (len(units) - same)
-                out.append({"part": part, "seq": seq, "path": path, "leaf": leaf, "units": units[same:], "ids": np.concatenate([x for x, _, _ in coded] or [np.zeros(0, np.int32)]), "marks": [m for _, *m in coded], "tokens": tokens, "same": same, "least": least, "starts": starts, "owners": owners})
+                ids.append([x for x, _, _ in coded])
+                out.append({"part": part, "seq": seq, "path": path, "leaf": leaf, "units": units[same:], "tokens": tokens, "marks": [m for _, *m in coded], "same": same, "least": least, "starts": starts, "owners": owners})
                 offset += sum(tokens[same:])
                 last, seq = path, seq + 1
             if out:
-                yield pa.RecordBatch.from_pylist(out, emitted_schema)
+                yield _with_ids(pa.RecordBatch.from_pylist(out, emitted_schema), ids)
 
     ints = pa.list_(pa.int64())
-    new = [("units", pa.list_(pa.string())), ("ids", pa.list_(pa.int32())), ("tokens", ints)]
+    new = [("units", pa.list_(pa.string())), ("tokens", ints)]
     emitted_schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.binary()), ("leaf", pa.binary()), *new, ("marks", pa.list_(ints)), ("same", pa.int64()), ("least", pa.int64()), ("starts", ints), ("owners", ints)])
-    emitted_kind = "part long, seq long, path binary, leaf binary, units array<string>, ids array<int>, tokens array<long>, marks array<array<long>>, same long, least long, starts array<long>, owners array<long>"
+    emitted_kind = "part long, seq long, path binary, leaf binary, units array<string>, tokens array<long>, marks array<array<long>>, same long, least long, starts array<long>, owners array<long>, ids array<int>"
     ordered = different.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(emit, emitted_kind)
     emitted = materialize(ordered, "chat-emitted")
     inherited = spark.sparkContext.broadcast(_settle(emitted))
@@ -175,30 +183,32 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Global offsets, and the first paths of ranges without what they inherit."""
         for b in pieces(batches, 256):
-            out = []
-            for r in b.to_pylist():
+            out, ids = [], []
+            flat, marks = b.column("ids").values.to_numpy(), b.column("ids").offsets.to_numpy()
+            for k, r in enumerate(b.drop_columns(["ids"]).to_pylist()):
                 above = inherited.value[r["part"]]
                 same, starts, owners = above.apply(r)
                 tokens, skip = r["tokens"], same - r["same"]
                 parts: list[dict[str, int]] = []
-                for k, owner in enumerate(owners):
+                for start, owner in zip(starts, owners, strict=True):
                     if parts and parts[-1]["chunk"] == owner:
                         parts[-1]["n"] += 1
                     else:
                         # a chunk's units are consecutive depths; its first is where this path meets it
-                        parts.append({"chunk": owner, "at": starts[k], "n": 1})
+                        parts.append({"chunk": owner, "at": start, "n": 1})
+                ids.append([flat[marks[k] + sum(tokens[r["same"] : same]) : marks[k + 1]]])
                 loss = [{"start": s + first, "stop": s + stop} for s, (first, stop) in zip(starts[same:], r["marks"][skip:], strict=True) if stop]
                 out.append({
-                    "leaf": r["leaf"], "chunk": starts[same], "units": r["units"][skip:], "ids": r["ids"][sum(tokens[r["same"] : same]) :], "tokens": tokens[same:], "loss": loss,
+                    "leaf": r["leaf"], "chunk": starts[same], "units": r["units"][skip:], "tokens": tokens[same:], "loss": loss,
                     "depth": same + 1, "position": sum(tokens[:same]), "attends": joined(starts[:same], tokens[:same]), "parts": parts,
                 })
             if out:
-                yield pa.RecordBatch.from_pylist(out, placed_schema)
+                yield _with_ids(pa.RecordBatch.from_pylist(out, placed_schema), ids)
 
     spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     parts_kind = pa.list_(pa.struct([("chunk", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))
     placed_schema = pa.schema([("leaf", pa.binary()), ("chunk", pa.int64()), *new, ("loss", spans), ("depth", pa.int64()), ("position", pa.int64()), ("attends", spans), ("parts", parts_kind)])
-    placed_kind = f"leaf binary, chunk long, units array<string>, ids array<int>, tokens array<long>, loss {_SPANS}, depth long, position long, attends {_SPANS}, parts array<struct<chunk: bigint, at: bigint, n: bigint>>"
+    placed_kind = f"leaf binary, chunk long, units array<string>, tokens array<long>, loss {_SPANS}, depth long, position long, attends {_SPANS}, parts array<struct<chunk: bigint, at: bigint, n: bigint>>, ids array<int>"
     placed = materialize(emitted.drop("path").mapInArrow(place, placed_kind), "chat-tree")
     forget(emitted)
     return placed.drop("leaf", "parts"), placed.select("leaf", "parts"), formatted.select("conv_id", "leaf")
