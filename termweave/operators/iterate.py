@@ -11,8 +11,57 @@ from ..runtime import forget, materialize
 from . import graph
 
 
+#: Graphs of up to so many vertices are one small matrix in one task; larger ones are sparse tables. Both give the same scores.
+DENSE_VERTICES = 1_500
+
+
+def _is_small(*ends: DataFrame) -> bool:
+    """Whether the vertices in these columns, one a frame, are few enough for a dense matrix."""
+    all_ = ends[0].toDF("x")
+    for d in ends[1:]:
+        all_ = all_.union(d.toDF("x"))
+    return all_.distinct().limit(DENSE_VERTICES + 1).count() <= DENSE_VERTICES
+
+
+def _one_group(df: DataFrame, column: str):
+    """All rows of a small table; Spark doesn't group functions by a literal."""
+    return df.withColumn("one", F.pmod(F.xxhash64(column), F.lit(1))).groupBy("one")
+
+
+def _matrix(names: list, src, dst, value) -> np.ndarray:
+    at = {x: k for k, x in enumerate(names)}
+    out = np.zeros((len(names), len(names)))
+    np.add.at(out, ([at[x] for x in src], [at[x] for x in dst]), np.asarray(value, float))
+    return out
+
+
+def _cells(names: list, m: np.ndarray, *columns: str) -> pd.DataFrame:
+    """The cells that aren't zero."""
+    i, j = np.nonzero(m)
+    all_ = np.array(names, object)
+    return pd.DataFrame(dict(zip(columns, (all_[i], all_[j], m[i, j]), strict=True)))
+
+
+def _over(x: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    return np.divide(x, sums, out=np.zeros_like(x), where=sums > 0)
+
+
 def matrix_simrank(edges: DataFrame, c: float = 0.8, steps: int = 100, every: int = 1) -> DataFrame:
     """``i, j, v``: S <- c T' S T + (1 - c) I from S = (1 - c) I, with T the in-weights of each vertex over their sum."""
+    edges = materialize(edges.select("src", "dst", "weight"), "simrank-edges")
+    if _is_small(edges.select("src"), edges.select("dst")):
+
+        def solve(e: pd.DataFrame) -> pd.DataFrame:
+            names = sorted({*e["src"], *e["dst"]})
+            t = _matrix(names, e["src"], e["dst"], e["weight"])
+            t, unit = _over(t, t.sum(0, keepdims=True)), (1 - c) * np.eye(len(names))
+            now = unit
+            for _ in range(steps):
+                now = c * t.T @ now @ t + unit
+            return _cells(names, now, "i", "j", "v")
+
+        kind = edges.schema["src"].dataType.simpleString()
+        return _one_group(edges, "src").applyInPandas(solve, f"i {kind}, j {kind}, v double")
     t = materialize(edges.withColumn("w", F.col("weight") / F.sum("weight").over(Window.partitionBy("dst"))).select("src", "dst", "w"), "simrank-t")
     vertices = materialize(edges.select(F.col("src").alias("i")).union(edges.select("dst")).distinct(), "simrank-v")
     unit = vertices.select("i", F.col("i").alias("j"), F.lit(1 - c).alias("v"))
@@ -45,6 +94,25 @@ def seeded_simrank(edges: DataFrame, seeds: DataFrame, c: float = 0.8, damp: flo
     ``edges`` has each undirected edge in both directions, ``seeds(i, j, v)`` each pair once. Pairs with a vertex
     without neighbours keep their value.
     """
+    edges, seeds = materialize(edges.select("src", "dst", "weight"), "seeded-edges"), materialize(seeds.select("i", "j", "v"), "seeded-seeds")
+    if _is_small(edges.select("src"), edges.select("dst"), seeds.select("i"), seeds.select("j")):
+
+        def solve(e: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+            names = sorted({*e["src"], *e["dst"], *first["i"], *first["j"]})
+            p = _matrix(names, e["src"], e["dst"], e["weight"])
+            out = p.sum(1, keepdims=True)
+            p, linked = _over(p, out), out[:, 0] > 0
+            now, at = np.eye(len(names)), {x: k for k, x in enumerate(names)}
+            for i, j, v in zip(first["i"], first["j"], first["v"], strict=True):
+                if i != j:
+                    now[at[i], at[j]] = now[at[j], at[i]] = max(now[at[i], at[j]], v)
+            both = np.outer(linked, linked)
+            for _ in range(steps):
+                now = np.where(both, damp * c * p @ now @ p.T + (1 - damp) * now, now)
+            return _cells(names, now, "i", "j", "v")
+
+        kind = edges.schema["src"].dataType.simpleString()
+        return _one_group(edges, "src").cogroup(_one_group(seeds, "i")).applyInPandas(solve, f"i {kind}, j {kind}, v double")
     w = materialize(edges.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "p"), "seeded-w")
     linked = w.select(F.col("src").alias("i")).distinct()
     vertices = linked.union(seeds.select("i")).union(seeds.select("j")).distinct()
@@ -70,6 +138,20 @@ def best_entity(sims: DataFrame, candidates: DataFrame, least: float = 1e-6) ->
 
 def personalized_pagerank(edges: DataFrame, jump: float = 0.2, steps: int = 20, keys: tuple[str, ...] = (), every: int = 5) -> DataFrame:
     """``(keys), source, vertex, v``: one walk per vertex, for every group of ``keys`` by itself. Weights of a row add up to 1."""
+    edges = materialize(edges.select(*keys, "src", "dst", "weight"), "ppr-edges")
+    if not keys and _is_small(edges.select("src"), edges.select("dst")):
+
+        def solve(e: pd.DataFrame) -> pd.DataFrame:
+            names = sorted({*e["src"], *e["dst"]})
+            p = _matrix(names, e["src"], e["dst"], e["weight"])
+            p, unit = _over(p, p.sum(1, keepdims=True)), np.eye(len(names))
+            now = unit
+            for _ in range(steps):
+                now = (1 - jump) * now @ p + jump * unit
+            return _cells(names, now, "source", "vertex", "v")
+
+        kind = edges.schema["src"].dataType.simpleString()
+        return _one_group(edges, "src").applyInPandas(solve, f"source {kind}, vertex {kind}, v double")
     w = materialize(edges.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys, "src"))).select(*keys, "src", "dst", "p"), "ppr-w")
     vertices = materialize(w.select(*keys, F.col("src").alias("vertex")).union(w.select(*keys, "dst")).distinct(), "ppr-v")
     start = vertices.select(*keys, F.col("vertex").alias("source"), "vertex", F.lit(1.0).alias("v"))

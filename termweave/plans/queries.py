@@ -440,7 +440,7 @@ def rollup_graph(spark, sf):
     return graph.star_pairs(graph.roll_up(_names(spark, sf), e, e.groupBy("l4").agg(F.min("name").alias("name"))))
 
 
-@_query("record_semi_filter", "SELECT record_id, slot, role, name FROM item WHERE record_id IN (SELECT record_id FROM item WHERE slot <= 10 AND name = (SELECT min(name) FROM entity))")
+@_query("record_semi_filter", "SELECT i.record_id, i.slot, i.role, i.name FROM item i JOIN (SELECT DISTINCT x.record_id FROM item x JOIN (SELECT min(name) AS name FROM entity) n ON x.name = n.name WHERE x.slot <= 10) r ON r.record_id = i.record_id")
 def record_semi_filter(spark, sf):
     return graph.records_with(items(spark, sf), entities(spark, sf).agg(F.min("name").alias("name")))
 
@@ -501,6 +501,24 @@ def ppr_3(spark, sf):
     return iterate.personalized_pagerank(_small_edges(spark, sf), steps=3).withColumn("v", F.round("v", 6))
 
 
+# the same with the operators' default steps, which SQL would have to unroll too often
+
+
+@_query("simrank")
+def simrank(spark, sf):
+    return iterate.simrank_pairs(iterate.matrix_simrank(_small_edges(spark, sf)))
+
+
+@_query("seeded_simrank")
+def seeded_simrank(spark, sf):
+    return iterate.seeded_simrank(_small_edges(spark, sf), _seeds(spark, sf)).withColumn("v", F.round("v", 6))
+
+
+@_query("ppr")
+def ppr(spark, sf):
+    return iterate.personalized_pagerank(_small_edges(spark, sf)).withColumn("v", F.round("v", 6))
+
+
 @_query("wlm_relatedness", "SELECT e.src, e.dst, round(coalesce(dot, 0) / (a.norm * b.norm), 6) AS wlm FROM edge e JOIN n a ON a.src = e.src JOIN n b ON b.src = e.dst LEFT JOIN (SELECT x.src AS s, y.src AS d, sum(x.weight * y.weight) AS dot FROM edge x JOIN edge y ON x.dst = y.dst GROUP BY 1, 2) ON s = e.src AND d = e.dst", f"{_SYMC}, n AS (SELECT src, sqrt(sum(weight * weight)) AS norm FROM edge GROUP BY src)")
 def wlm_relatedness(spark, sf):
     return iterate.relatedness(_small_edges(spark, sf)).withColumn("wlm", F.round("wlm", 6))

@@ -65,3 +65,88 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     same = spark.createDataFrame([(7, "one two three", "a")] * 9 + [(1, "x", None)], "doc_id long, text string, source string")
     taken = [r["taken"] for r in mixing.measure_mix(same, amount=0.5).collect() if r["doc_id"] == 7]
     assert len(set(taken)) == 1
+
+
+def brute_flow(patterns, quotas, repeats):
+    """Words in all, and how many of them are fresh, by single words along any path."""
+    flow, room, need, upto = [dict.fromkeys(s, 0) for s, _ in patterns], [0] * len(patterns), list(quotas), []
+    for _ in range(repeats):
+        room = [r + size for r, (_, size) in zip(room, patterns, strict=True)]
+        while True:
+            come = {("p", p): None for p in range(len(patterns)) if room[p]}
+            open_, end = list(come), None
+            while open_ and end is None:
+                kind, i = open_.pop()
+                if kind == "p":
+                    for s in patterns[i][0]:
+                        if ("s", s) not in come:
+                            come["s", s] = kind, i
+                            open_.append(("s", s))
+                            end = ("s", s) if need[s] else end
+                else:
+                    for q in range(len(patterns)):
+                        if flow[q].get(i) and ("p", q) not in come:
+                            come["p", q] = kind, i
+                            open_.append(("p", q))
+            if end is None:
+                break
+            need[end[1]] -= 1
+            while come[end] is not None:
+                before = come[end]
+                if end[0] == "s":
+                    flow[before[1]][end[1]] += 1
+                else:
+                    flow[end[1]][before[1]] -= 1
+                end = before
+            room[end[1]] -= 1
+        upto.append(sum(sum(x.values()) for x in flow))
+    return upto
+
+
+def test_flows_equal_single_words():
+    rnd = random.Random(8)
+    for _ in range(200):
+        m = rnd.randint(1, 5)
+        patterns = [(sorted(rnd.sample(range(m), rnd.randint(1, m))), rnd.randint(0, 6)) for _ in range(rnd.randint(1, 7))]
+        quotas = [rnd.randint(0, 15) for _ in range(m)]
+        flows = mixing.route_words(patterns, quotas)
+        taken = [sum(x.values()) for x in flows]
+        assert all(sum(x.get(s, 0) for x in flows) <= quotas[s] for s in range(m)) and all(v > 0 for x in flows for v in x.values())
+        assert all(t <= 2 * size for t, (_, size) in zip(taken, patterns, strict=True))
+        assert [sum(min(t, size) for t, (_, size) in zip(taken, patterns, strict=True)), sum(taken)] == brute_flow(patterns, quotas, 2)
+
+
+def test_parts_of_a_network_by_themselves(spark):
+    """Many patterns over many sources, in several connected parts and single sources, in one plan."""
+    rnd = random.Random(9)
+    names = [f"s{k:02d}" for k in range(40)]
+    docs = []
+    for i in range(600):
+        group = rnd.randrange(8) * 5
+        docs.append((i, "w " * rnd.randint(0, 30), rnd.sample(names[group : group + (4 if group < 25 else 1)], rnd.randint(1, 3 if group < 25 else 1))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source array<string>")
+    plan, measured = mixing.plan_mix(frame, weights=(1, 2), amount=0.6)
+    got = {}
+    for x in plan.flows:
+        for s, v in x.items():
+            got[s] = got.get(s, 0) + v
+    words_of = {}
+    for _, text, source in docs:
+        words_of[tuple(sorted(set(source)))] = words_of.get(tuple(sorted(set(source))), 0) + len(text.split())
+    order = [n for n, _, _ in plan.sources]
+    at = {n: k for k, n in enumerate(order)}
+    patterns = [([at[s] for s in p], n) for p, n in sorted(words_of.items())]
+    quotas = [int(t + 0.5) for _, _, t in plan.sources]
+    assert sum(got.values()) == brute_flow(patterns, quotas, 2)[1]
+    taken = {r["pattern"]: r["taken"] for r in mixing._taken(measured, plan).groupBy("pattern").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()}
+    by_pattern = {r["pattern"]: r["words"] for r in plan.flow_table.groupBy("pattern").sum("words").withColumnRenamed("sum(words)", "words").collect()}
+    assert {p: t for p, t in taken.items() if t} == {p: w for p, w in by_pattern.items() if w}
+
+
+def test_table_targets_equal_the_function(spark):
+    rnd = random.Random(10)
+    for _ in range(3):
+        sizes = [rnd.choice([0, rnd.randint(1, 1000)]) for _ in range(rnd.randint(1, 12))]
+        members = spark.createDataFrame([(f'["s{k:02d}"]', n) for k, n in enumerate(sizes)], "key string, size long")
+        rows = mixing._sources(members, (3, 1, 2), 1.5, 2).orderBy("k").collect()
+        assert [r["target"] for r in rows] == pytest.approx(mixing.share_targets(sizes, [(3, 1, 2)[k % 3] for k in range(len(sizes))]))

@@ -216,3 +216,67 @@ def test_alignments_follow_long_passages_and_stop_at_changes():
     assert sd.align(x[:600], y[:600], [(300, 300, 10)])[1:] == (False, True)
     y[1000:1800] = 3  # a gap too wide to be a near copy
     assert sd.align(x, y, [(500, 500, 10), (2000, 2000, 10)])[0] == [(100, 1000), (1800, 2900)]
+
+
+def brute_runs(docs, least):
+    """For each document the words that stand in a run of ``least`` equal words or more with an earlier document."""
+    out = {i: set() for i, _ in docs}
+    split = [(i, t.split()) for i, t in docs]
+    for i, x in split:
+        for j, y in split:
+            if j < i:
+                where = {}
+                for b in range(len(y) - 4):
+                    where.setdefault(tuple(y[b : b + 5]), []).append(b)
+                for a in range(len(x) - 4):
+                    for b in where.get(tuple(x[a : a + 5]), []):
+                        n = 0
+                        while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n]:
+                            n += 1
+                        if n >= least and (a == 0 or b == 0 or x[a - 1] != y[b - 1]):
+                            out[i] |= set(range(a, a + n))
+    return out
+
+
+def test_spans_equal_brute_force_on_exact_passages(spark):
+    """Passages of one line, over line ends, nested, side by side and from several sources, at any place of short and long documents."""
+    rnd = random.Random(31)
+    passages = [words(rnd, rnd.randint(51, 160)) for _ in range(25)]
+    docs = []
+    for k in range(120):
+        parts = []
+        for _ in range(rnd.randint(0, 3)):
+            p = rnd.choice(passages)
+            if rnd.random() < 0.4:  # a part of a passage
+                n = rnd.randint(51, len(p))
+                at = rnd.randint(0, len(p) - n)
+                p = p[at : at + n]
+            parts += [words(rnd, rnd.choice([0, 3, 30, 200])), p]
+        parts.append(words(rnd, rnd.choice([0, 5, 60])))
+        w = [x for part in parts for x in part]
+        text, at = "", 0
+        while at < len(w):
+            n = rnd.choice([4, 12, 40, 300])
+            text += (rnd.choice([" ", "\n"]) if text else "") + " ".join(w[at : at + n])
+            at += n
+        docs.append((k, text))
+    must, may = brute_runs(docs, 51), brute_runs(docs, 20)
+    found = {r["doc_id"]: {n for s in r["spans"] for n in range(s["start"], s["stop"])} for r in sd.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    wanted = sum(map(len, must.values()))
+    missed = sum(len(must[k] - found[k]) for k in found)
+    # a link across a few words of a document's own joins two runs, as their shingles still reach the threshold
+    beyond = sum(len(found[k] - may[k]) for k in found)
+    assert wanted > 5000 and missed <= 0.005 * wanted and beyond <= 0.01 * wanted
+
+
+def test_groups_larger_than_a_piece(spark, monkeypatch):
+    """A line, a passage and near copies in more documents than a task holds at once give the same spans."""
+    rnd = random.Random(41)
+    base, passage = words(rnd, 60), words(rnd, 55)
+    docs = [(k, " ".join(base[:59] + [f"x{k % 40}"]) + "\n" + " ".join(words(rnd, 10) + passage + words(rnd, 10))) for k in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    spans = lambda: {r["doc_id"]: r["spans"] for r in sd.repeated_spans(frame).collect()}
+    want = spans()
+    monkeypatch.setattr(sd, "PIECE", 16)
+    got = spans()
+    assert got == want and sum(map(bool, got.values())) == 599

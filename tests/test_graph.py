@@ -178,3 +178,37 @@ def test_relinking_uses_the_last_winners(spark):
     assert set(got) == {("x", "A"), ("x", "B")} and got["x", "A"] >= got["x", "B"]
     known = spark.createDataFrame([("x", "A"), ("A", "B")], "name string, entity string")
     assert sorted(r["name"] for r in graph.fall_back(items, names, known).where("record_id in (9, 11)").collect()) == ["A", "A", "C", "P"]
+
+
+def test_dense_and_sparse_graphs_give_the_same_scores(spark, toy, monkeypatch):
+    seeds = spark.createDataFrame([("M", "A", 0.5), ("M", "B", 0.6), ("Z", "A", 0.2), ("B", "M", 0.7)], "i string, j string, v double")
+    runs = {
+        "simrank": lambda: scores(iterate.matrix_simrank(toy, steps=4), "i", "j"),
+        "seeded": lambda: scores(iterate.seeded_simrank(toy, seeds, steps=3), "i", "j"),
+        "ppr": lambda: scores(iterate.personalized_pagerank(toy, steps=6), "source", "vertex"),
+    }
+    dense = {k: f() for k, f in runs.items()}
+    monkeypatch.setattr(iterate, "DENSE_VERTICES", 0)
+    for k, f in runs.items():
+        sparse = f()
+        assert {x: v for x, v in sparse.items() if v} == pytest.approx(dense[k]), k
+
+
+def test_default_steps_equal_plain_matrices(toy, spark):
+    names = ["A", "B", "C", "M"]
+    w = np.zeros((4, 4))
+    for a, b, x in TOY:
+        w[names.index(a), names.index(b)] = w[names.index(b), names.index(a)] = x
+    t, p = w / w.sum(0, keepdims=True), w / w.sum(1, keepdims=True)
+    s, walk = 0.2 * np.eye(4), np.eye(4)
+    for _ in range(100):
+        s = 0.8 * t.T @ s @ t + 0.2 * np.eye(4)
+    for _ in range(20):
+        walk = 0.8 * walk @ p + 0.2 * np.eye(4)
+    got, gone = scores(iterate.matrix_simrank(toy), "i", "j"), scores(iterate.personalized_pagerank(toy), "source", "vertex")
+    for i, x in enumerate(names):
+        for j, y in enumerate(names):
+            assert got[x, y] == pytest.approx(s[i, j]) and gone[x, y] == pytest.approx(walk[i, j])
+    seeds = spark.createDataFrame([("M", "A", 0.5), ("M", "B", 0.6)], "i string, j string, v double")
+    v = scores(iterate.seeded_simrank(toy, seeds), "i", "j")
+    assert (v["M", "A"], v["M", "B"], v["M", "M"]) == pytest.approx((0.435962840, 0.159172506, 0.470478232), abs=1e-8)
