@@ -248,35 +248,64 @@ def collective_rank(vertices: DataFrame, network: DataFrame, jump: float = 0.2,
     groups = max(1, vertices.select("record_id").distinct().count() // BATCH_RECORDS)
     bucket = F.pmod(F.xxhash64("record_id"), F.lit(groups)).alias("bucket")
 
-    def solve(v: pd.DataFrame, weight_of) -> pd.DataFrame:
-        done = []
-        for r, part in v.sort_values(["record_id", "slot", "place"]).groupby("record_id", sort=False):
-            names, name = np.unique(part["entity"].to_numpy(str), return_inverse=True)
-            weights = np.array([[weight_of(r, x, y) for y in names] for x in names])
-            home = pd.factorize(part["slot"])[0]
-            total = np.round(rank_record(home, part["score"].to_numpy(float), Walks(name, weights, jump, steps), rounds), 12)
-            order = np.lexsort((np.arange(len(part)), -total, home))
-            place = np.empty(len(part), np.int32)
-            place[order] = np.arange(len(part)) - np.searchsorted(home, home) + 1
-            done.append(pd.DataFrame({"record_id": part["record_id"], "slot": part["slot"], "mention": part["mention"], "entity": part["entity"], "score": total, "rank": place}))
-        return pd.concat(done)
-
     default = float(np.log(2.0))
+
+    def solve(v: pd.DataFrame, weights_of) -> pd.DataFrame:
+        v = v.sort_values(["record_id", "slot", "place"])
+        record, slot = pd.factorize(v["record_id"])[0], pd.factorize(v["slot"])[0]
+        score, entity, ids = v["score"].to_numpy(float), v["entity"].to_numpy(object), v["record_id"].to_numpy()
+        begin = np.flatnonzero(np.append(True, record[1:] != record[:-1]))
+        total, place = np.empty(len(v)), np.empty(len(v), np.int32)
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(v)], strict=True):
+            at = {x: k for k, x in enumerate(dict.fromkeys(entity[lo:hi].tolist()))}
+            name = np.fromiter((at[x] for x in entity[lo:hi]), np.int64, hi - lo)
+            home = np.cumsum(np.append(0, slot[lo + 1 : hi] != slot[lo : hi - 1]))
+            found = np.round(rank_record(home, score[lo:hi], Walks(name, weights_of(ids[lo], list(at)), jump, steps), rounds), 12)
+            order = np.lexsort((np.arange(hi - lo), -found, home))
+            own = np.empty(hi - lo, np.int32)
+            own[order] = np.arange(hi - lo) - np.searchsorted(home, home) + 1
+            total[lo:hi], place[lo:hi] = found, own
+        return pd.DataFrame({"record_id": v["record_id"], "slot": v["slot"], "mention": v["mention"], "entity": v["entity"], "score": total, "rank": place})
+
+    def by_pairs(known: dict, record, names: list) -> np.ndarray:
+        return np.array([[known.get((record, x, y), default) for y in names] for x in names])
+
     dealt = vertices.withColumn("bucket", bucket)
     if network.limit(NETWORK_ROWS + 1).count() <= NETWORK_ROWS:
-        held = vertices.sparkSession.sparkContext.broadcast({(r["src"], r["dst"]): r["weight"] for r in network.select("src", "dst", "weight").toLocalIterator()})
-        return dealt.groupBy("bucket").applyInPandas(lambda v: solve(v, lambda r, x, y: held.value.get((x, y), default)), out)
+        held = vertices.sparkSession.sparkContext.broadcast(HeldNetwork(network, default))
+        return dealt.groupBy("bucket").applyInPandas(lambda v: solve(v, lambda record, names: held.value.between(names)), out)
     own = vertices.select(F.col("record_id").alias("r"), F.col("entity").alias("src")).distinct()
     links = own.join(network.select("src", "dst", "weight"), "src").join(own.toDF("r", "dst"), ["r", "dst"])
     links = links.withColumn("group", F.pmod(F.xxhash64("r"), F.lit(groups)))
 
     def with_links(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip(zip(e["r"], e["src"], e["dst"], strict=True), e["weight"], strict=True))
-        return solve(v, lambda r, x, y: known.get((r, x, y), default)) if len(v) else pd.DataFrame({c: [] for c in ("record_id", "slot", "mention", "entity", "score", "rank")})
+        return solve(v, lambda record, names: by_pairs(known, record, names)) if len(v) else pd.DataFrame({c: [] for c in ("record_id", "slot", "mention", "entity", "score", "rank")})
 
     return dealt.groupBy("bucket").cogroup(links.groupBy("group")).applyInPandas(with_links, out)
 
 
+class HeldNetwork:
+    """A network of at most ``NETWORK_ROWS`` edges: as a matrix where its names are few, else by pairs."""
+
+    def __init__(self, network: DataFrame, default: float) -> None:
+        rows = [(r["src"], r["dst"], r["weight"]) for r in network.select("src", "dst", "weight").toLocalIterator()]
+        names = sorted({x for r in rows for x in r[:2]})
+        self.at, self.default, self.matrix, self.pairs = {x: k for k, x in enumerate(names)}, default, None, None
+        if len(names) <= DENSE_VERTICES:
+            self.matrix = np.full((len(names) + 1, len(names) + 1), default)  # the last row and column are for names without edges
+            for src, dst, weight in rows:
+                self.matrix[self.at[src], self.at[dst]] = weight
+        else:
+            self.pairs = {r[:2]: r[2] for r in rows}
+
+    def between(self, names: list) -> np.ndarray:
+        if self.pairs is not None:
+            return np.array([[self.pairs.get((x, y), self.default) for y in names] for x in names])
+        k = [self.at.get(x, -1) for x in names]
+        return self.matrix[np.ix_(k, k)]
+
+
 def _winners(ranked: DataFrame) -> DataFrame:
     return ranked.where("rank = 1").select("record_id", "slot", F.col("entity").alias("name"))
 

@@ -125,8 +125,9 @@ def test_coherence(spark, monkeypatch):
     v = spark.createDataFrame(rows, "record_id long, slot int, mention string, entity string, score double, place int")
     e = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "src string, dst string, weight double")
     monkeypatch.setattr(iterate, "BATCH_RECORDS", 3)
-    for held in (iterate.NETWORK_ROWS, 0):
+    for held, few in ((iterate.NETWORK_ROWS, 1500), (iterate.NETWORK_ROWS, 0), (0, 0)):
         monkeypatch.setattr(iterate, "NETWORK_ROWS", held)
+        monkeypatch.setattr(iterate, "DENSE_VERTICES", few)
         for cells in (1 << 22, 8):
             monkeypatch.setattr(iterate, "WALK_CELLS", cells)
             got = {}
