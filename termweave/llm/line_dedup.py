@@ -6,7 +6,7 @@
    (levels of bit arrays with ranks), the fingerprint array (64 other bits) and the count array. Hashes under the threshold are
    not built in, as a probe would refuse them.
 3. Documents probe the arrays, and a line goes if its count reaches the threshold; no line is joined. While the whole index is under ``index_bytes`` each worker
-   holds it. Beyond that, line hashes are sent to their shard (split into ``SALTS`` parts, as a hot line may be
+   holds it. Beyond that, line hashes are sent to their shard (split into parts by its counts, as a hot line may be
    a third of all), where the arrays come first in the sorted stream and the lines after them probe them; only
    hits return to their documents.
 
@@ -32,8 +32,9 @@ from ..runtime import materialize, pieces
 
 STRIP = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 18
-SALTS = 16
-INDEX = "shard int, n long, sizes array<long>, bits binary, prints binary, counts binary"
+#: Lines that a shard's part is to meet at most, of those that it holds.
+PART_LINES = 1 << 20
+INDEX = "shard int, n long, total long, sizes array<long>, bits binary, prints binary, counts binary"
 
 
 def line_key(line: str) -> bytes:
@@ -112,7 +113,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     slot = perfect.slots(h)
     prints, counts = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
     prints[slot], counts[slot] = h[:, 1] ^ h[:, 0] << np.uint64(32), pdf["n_docs"].to_numpy(np.int64)
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(h)], "sizes": [perfect.sizes], "bits": [perfect.words.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()]})
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(h)], "total": [int(counts.sum())], "sizes": [perfect.sizes], "bits": [perfect.words.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()]})
 
 
 # --- the operator -------------------------------------------------------------------------------------------
@@ -178,6 +179,9 @@ def _probe_routed(docs: DataFrame, shards: int, index: DataFrame, at: int, least
     """Line hashes travel to their shard; only hits come back. For an index of any size."""
     row, text = "_row_of_line_dedup", docs.columns[at]
     docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    parts = np.ones(shards, np.int64)  # a number for each shard
+    for r in index.select("shard", "total").toLocalIterator():
+        parts[r["shard"]] = -(-r["total"] // PART_LINES)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -185,10 +189,11 @@ def _probe_routed(docs: DataFrame, shards: int, index: DataFrame, at: int, least
                 h = hash_keys([line_key(y) for y in (x or "").split("\n")])
                 for a in range(0, len(h), 65536):
                     part = h[a : a + 65536].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0] % shards).cast("int32"), pa.array(np.full(len(part), r)), pa.array(np.arange(a, a + len(part))), pa.array(part[:, 0]), pa.array(part[:, 1])], ["shard", row, "line", "h1", "h2"])
+                    shard, at = part[:, 0] % shards, np.arange(a, a + len(part))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard).cast("int32"), pa.array((r + at) % parts[shard]).cast("int32"), pa.array(np.full(len(part), r)), pa.array(at), pa.array(part[:, 0]), pa.array(part[:, 1])], ["shard", "salt", row, "line", "h1", "h2"])
 
-    sent = docs.select(row, text).mapInArrow(lines, f"shard int, {row} long, line long, h1 long, h2 long").withColumn("salt", F.pmod(F.xxhash64(row, "line"), F.lit(SALTS)).cast("int"))
-    arrays = index.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sent = docs.select(row, text).mapInArrow(lines, f"shard int, salt int, {row} long, line long, h1 long, h2 long")
+    arrays = index.drop("n", "total").join(index.select("shard", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("total") / PART_LINES) - 1).cast("int"))).alias("salt")), "shard")
     stream = sent.unionByName(arrays, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("sizes").isNull())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

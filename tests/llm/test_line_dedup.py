@@ -57,3 +57,11 @@ def test_very_long_texts_in_pieces(spark):
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 2)
     for held in (1 << 25, -1):
         assert sorted(map(tuple, line_dedup.digest_lines(docs, min_docs=2, index_bytes=held).collect()), key=str) == want
+
+
+def test_hot_shards_are_split(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART_LINES", 7)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 5)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 3)
+    assert sorted(map(tuple, line_dedup.digest_lines(docs, min_docs=3, index_bytes=-1).collect()), key=str) == want
