@@ -1,9 +1,11 @@
 """Candidate generation: from mentions to ``(mention, seg_no, entity, sim, match_type)``.
 
 A mention comes as ``mention`` and, where it has been split, ``segments``. The dictionary of entities is closed. It is broadcast
-while its rows and their bytes are under ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``, which are measured; beyond, pairs come from a
-join on shared characters and on shared first letters of syllables, which loses no pair of positive similarity, as two texts that
-have none of these in common have none. An empty name is in every mention and pairs with all.
+while its rows and their bytes are under ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``, which are measured. Beyond, pairs come from a join
+on first letters of syllables (characters, without a table). Every tier asks that a text holds a name's characters, or that a
+similarity reaches 0.57 on texts without locations; either way ``LEAST_COMMON`` of the name's syllables, or of its different characters,
+begin as some of the text's do. So a name's commonest first letters that make up less than that of both need no row in the join, and
+no pair is lost. A name without any pairs with all.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ SEMI_SIM, FUZZY_SIM, PROMOTED_SIM, LOCATION_SIM, SIBLING_SIM = 0.80, 0.62, 0.68,
 SEGMENT_CONTAINS_SIM, SEGMENT_FUZZY_SIM, WHOLE_FUZZY_SIM = 0.30, 0.65, 0.70
 PARENT_SIM, HIGH_CONFIDENCE = 0.1, 0.857
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Under (0.70 - 0.29) / 0.71, which the location tier can do with, and under all other thresholds.
+LEAST_COMMON = 0.57
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -69,10 +73,18 @@ def pairs(texts: DataFrame, entities: DataFrame, rule: Column, syllables: Column
     if _small(e):
         return t.join(F.broadcast(e), rule)
     table = _table(syllables)
-    begins = lambda c: F.transform(X.syllables(F.col(c), table), lambda x: F.substring(x, 1, 1))
-    by_key = lambda d, c: d.select("*", F.explode(F.array_union(X.chars(F.col(c)), begins(c))).alias("ch"))
-    empty = t.join(e.where("entity = ''").distinct(), rule)
-    return by_key(t, "text").join(by_key(e, "entity"), "ch").where(rule).drop("ch").unionByName(empty).distinct()
+    begins = lambda c: F.transform(X.syllables(c, table), lambda x: F.substring(x, 1, 1))
+    bare = F.filter(F.split(X.strip_locations(F.col("entity")), ""), lambda x: x != "")
+    signs = F.transform(bare, lambda c: F.struct(c.alias("ch"), F.substring(F.coalesce(table[c], c), 1, 1).alias("item")))
+    items = e.select("entity", F.explode(signs).alias("sign")).groupBy("entity", "sign.item").agg(F.count("*").alias("times"), F.count_distinct("sign.ch").alias("kinds"))
+    known = items.join(items.groupBy("item").agg(F.count("*").alias("names")), "item")
+    commonest, all_ = Window.partitionBy("entity").orderBy(F.desc("names"), "item"), Window.partitionBy("entity")
+    enough = lambda c: F.sum(c).over(commonest) >= LEAST_COMMON * F.sum(c).over(all_)
+    asked = known.withColumn("kept", enough("times") | enough("kinds")).where("kept").select("entity", "item")
+    said = t.select("text", F.explode(F.array_distinct(begins(F.col("text")))).alias("item")).distinct()
+    met = said.join(asked, "item").select("text", "entity").distinct()
+    none = e.join(items.select("entity").distinct(), "entity", "left_anti")
+    return t.join(met, "text").join(e, "entity").where(rule).select(*t.columns, *e.columns).unionByName(t.join(none, rule)).distinct()
 
 
 def _blended(sim: Column, mine: Column, entity: Column) -> Column:

@@ -110,6 +110,13 @@ def maybe_in(df: DataFrame, column: str, wanted: DataFrame, most_bits: int = MOS
     return held.where("_bits & shiftleft(1L, cast(_bit % 64 as int)) != 0").select(*df.columns)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside get Arrow batches of at most ``rows`` rows; the session's own setting comes back after them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

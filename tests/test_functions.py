@@ -85,3 +85,23 @@ def test_links_by_syllables_do_not_depend_on_the_size_of_the_dictionary(spark, m
     monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
     assert rows() == small
     assert {("她心", "他新"), ("塔", "踏")} <= {r[:2] for r in small}
+
+
+def test_blocking_loses_no_link(spark, monkeypatch):
+    """Over random texts with repeats, locations and sounds a large dictionary gives the links of a small one."""
+    import random
+
+    from termweave.operators import candidates as C
+
+    rnd = random.Random(3)
+    letters = "心肌梗死塞痛前间壁左室急性"
+    table = F.create_map(*(F.lit(x) for pair in zip(letters, "xin ji geng si se tong qian jian bi zuo shi ji xing".split(), strict=True) for x in pair))
+    text = lambda: "".join(rnd.choice(letters[: rnd.choice([4, 13])]) for _ in range(rnd.randint(1, 7)))
+    names = sorted({text() for _ in range(150)} | {"前壁"})
+    entities = spark.createDataFrame([(str(k), x) for k, x in enumerate(names)], "code string, name string")
+    said = sorted({text() for _ in range(120)} | {"心心心心心肌梗", "肌梗死"})
+    mentions = spark.createDataFrame([(x, [x[:3], x[3:]] if k % 2 and len(x) > 3 else [x]) for k, x in enumerate(said)], "mention string, segments array<string>")
+    rows = lambda: sorted((tuple(r) for f in (C.link, C.segment_candidates) for r in f(mentions, entities, table).collect()), key=str)
+    small = rows()
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 0)
+    assert len(small) > 300 and rows() == small
