@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, new_path, pieces
+from ..runtime import arrow_rows, materialize, new_path, pieces
 
 MAGIC = b"TWPACK01"
 BLOCK = 4096
@@ -164,6 +164,7 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         #: Tokens that the library looks for in texts before anything else.
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = True  # it need not look where there is none
         self.begins = np.zeros(self.library.get_vocab_size(), bool)
         for token, k in self.library.get_vocab().items():
             self.begins[k] = token.startswith("\u0120")  # how byte-level vocabularies write a space
@@ -172,6 +173,10 @@ class LibraryEncoder:
         self.points = {p: self._ask([p])[0].tobytes() for p in ".,"}
         self.words = Words({})
 
+    def _marked(self, text: str) -> bool:
+        """Whether an added token is in a text; most texts don't even have its first letter."""
+        return any(m[0] in text and m in text for m in self.marks)
+
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -207,7 +212,7 @@ class LibraryEncoder:
         whole, split, found = [], [], []
         for x in texts:
             x = x or ""
-            rest = [x] if MEETING[0].search(x) or MEETING[1].search(x) or any(m in x for m in self.marks) else x.replace("\n", " \n").split(" ")
+            rest = [x] if MEETING[0].search(x) or MEETING[1].search(x) or self._marked(x) else x.replace("\n", " \n").split(" ")
             whole.append(rest.pop(0))
             split.append(rest)
             found.append(list(map(words.__getitem__, rest)))
@@ -218,7 +223,14 @@ class LibraryEncoder:
             for _ in range(ids.count(None)):
                 k = ids.index(None, k + 1)
                 ids[k] = words[rest[k]]
-        out = [h.tobytes() + b"".join(ids) for h, ids in zip(self._ask(whole), found, strict=True)]
+        heads = self._ask(whole)
+        marked = [k for k, x in enumerate(whole) if self._marked(x)]
+        if marked:
+            self.library.encode_special_tokens = False
+            for k, ids in zip(marked, self._ask([whole[k] for k in marked]), strict=True):
+                heads[k] = ids
+            self.library.encode_special_tokens = True
+        out = [h.tobytes() + b"".join(ids) for h, ids in zip(heads, found, strict=True)]
         for w in long:
             words.pop(w, None)
             words.pop(w[:-1], None)
@@ -272,7 +284,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabula
         if keys:
             yield close()
 
-    written = materialize(ranged.mapInArrow(write, "file string, part long, seq long, n_docs long, n_ids long"), "token-file-list")
+    with arrow_rows(spark, 512):  # else a task holds many texts in a batch beside its memory of words
+        written = materialize(ranged.mapInArrow(write, "file string, part long, seq long, n_docs long, n_ids long"), "token-file-list")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
