@@ -58,6 +58,7 @@ JOIN = 128
 DEEP = WINDOW - SHINGLE
 LAST = 2**62
 PIECE = 1 << 20
+BUCKET = 64
 
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -557,18 +558,40 @@ def _similar_lines(docs: DataFrame, buckets: DataFrame, classes: DataFrame, min_
     held = materialize(members.join(reached, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "passage-held")
     open_ = materialize(held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key"), "passage-open")
     rest = materialize(held.join(open_, "key", "left_semi").join(known.select("id", "size", "sketch"), "id"), "passage-rest")
-    left, right = _side(rest, "a", "key", F.col("component").alias("c")), _side(rest, "b", "key", F.col("component").alias("d"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("c") < F.col("d")) & _may_link(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across, sets = _across(docs, rest, known, min_words, threshold)
     untried = materialize(across.join(tried, ["a", "b"], "left_anti"), "passage-across")
     more = None if untried.isEmpty() else _checked(docs, untried, known, min_words, threshold)
     if more is not None and not more.isEmpty():
         last, reached = reached, materialize(connected_components(links.unionAll(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "passage-components")
         forget(last)
-    for done in (star, known, half, tried, links, held, open_, rest, untried, *([] if more is None else [more])):
+    for done in (star, known, half, tried, links, held, open_, rest, untried, *sets, *([] if more is None else [more])):
         forget(done)
     return reached
 
 
+def _across(docs: DataFrame, rest: DataFrame, known: DataFrame, min_words: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of different components in ``rest(key, id, component, size, sketch)`` that may link, and the tables they come from.
+
+    In buckets of up to ``BUCKET`` lines all such pairs are tried. In larger ones only lines that have a shingle in common among the least
+    of their sets: sets of n and m shingles with a Jaccard similarity of t share one among the n - ceil(t n) + 1 and m - ceil(t m) + 1 least.
+    """
+    big = materialize(rest.groupBy("key").count().where(F.col("count") > BUCKET).select("key"), "passage-big")
+    small = rest.join(big, "key", "left_anti")
+    pairs = _across_by(small, threshold, "key")
+    if big.isEmpty():
+        return pairs.distinct(), [big]
+    large = materialize(rest.join(big, "key", "left_semi"), "passage-large")
+    sets = _sets(docs, known.select("id", "doc_id", "at").join(large.select("id").distinct(), "id", "left_semi"), min_words)
+    least = F.expr(f"slice(array_sort(set), 1, size(set) - cast(ceil({threshold} * size(set) - 1e-9) as int) + 1)")
+    prefixes = large.join(sets.select("id", F.explode(least).alias("shingle")), "id")
+    return pairs.unionAll(_across_by(prefixes, threshold, "key", "shingle")).distinct(), [big, large, sets]
+
+
+def _across_by(rows: DataFrame, threshold: float, *keys: str) -> DataFrame:
+    left, right = _side(rows, "a", *keys, F.col("component").alias("c")), _side(rows, "b", *keys, F.col("component").alias("d"))
+    return left.join(right, list(keys)).where((F.col("c") < F.col("d")) & _may_link(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 class Aligned:
     """Two word sequences, as 32 bits of each word's hash, and the hashes of their shingles."""
 
