@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import forget, materialize, pieces
+from ..runtime import arrow_rows, forget, materialize, pieces
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 DIGEST = 16
@@ -146,7 +146,8 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(leaf, pa.binary()), pa.array(found, pa.binary()), pa.array(units, pa.list_(pa.string()))], ["conv_id", "leaf", "path", "units"])
 
     kind = convs.schema["conv_id"].dataType.simpleString()
-    formatted = materialize(convs.mapInArrow(paths, f"conv_id {kind}, leaf binary, path binary, units array<string>"), "chat-formatted")
+    with arrow_rows(spark, 256):
+        formatted = materialize(convs.mapInArrow(paths, f"conv_id {kind}, leaf binary, path binary, units array<string>"), "chat-formatted")
     different = formatted.groupBy("path").agg(F.first("leaf").alias("leaf"), F.first("units").alias("units"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,8 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     emitted_schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.binary()), ("leaf", pa.binary()), *new, ("marks", pa.list_(ints)), ("same", pa.int64()), ("least", pa.int64()), ("starts", ints), ("owners", ints)])
     emitted_kind = "part long, seq long, path binary, leaf binary, units array<string>, tokens array<long>, marks array<array<long>>, same long, least long, starts array<long>, owners array<long>, ids array<int>"
     ordered = different.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(emit, emitted_kind)
-    emitted = materialize(ordered, "chat-emitted")
+    with arrow_rows(spark, 256):
+        emitted = materialize(ordered, "chat-emitted")
     inherited = spark.sparkContext.broadcast(_settle(emitted))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +211,8 @@ def build_tree(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     parts_kind = pa.list_(pa.struct([("chunk", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))
     placed_schema = pa.schema([("leaf", pa.binary()), ("chunk", pa.int64()), *new, ("loss", spans), ("depth", pa.int64()), ("position", pa.int64()), ("attends", spans), ("parts", parts_kind)])
     placed_kind = f"leaf binary, chunk long, units array<string>, tokens array<long>, loss {_SPANS}, depth long, position long, attends {_SPANS}, parts array<struct<chunk: bigint, at: bigint, n: bigint>>, ids array<int>"
-    placed = materialize(emitted.drop("path").mapInArrow(place, placed_kind), "chat-tree")
+    with arrow_rows(spark, 256):
+        placed = materialize(emitted.drop("path").mapInArrow(place, placed_kind), "chat-tree")
     forget(emitted)
     return placed.drop("leaf", "parts"), placed.select("leaf", "parts"), formatted.select("conv_id", "leaf")
 
@@ -300,7 +303,8 @@ def read_back(chunks: DataFrame, leaves: DataFrame, conversations: DataFrame, to
                 yield pa.RecordBatch.from_pylist(rows)
 
     columns = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    read = materialize(paths.mapInArrow(digest, f"leaf binary, {columns}"), "chat-read")
+    with arrow_rows(chunks.sparkSession, 256):
+        read = materialize(paths.mapInArrow(digest, f"leaf binary, {columns}"), "chat-read")
     forget(wanted)
     return conversations.join(read, "leaf").select("conv_id", *(c.split()[0] for c in columns.split(", ")))
 

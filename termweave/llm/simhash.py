@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, pieces
+from ..runtime import arrow_rows, materialize, pieces
 from .components import connected_components
 
 SEED = 42
@@ -131,7 +131,8 @@ def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             fp = np.array([fingerprint(x, width) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    rows = materialize(docs.mapInArrow(prints, "doc_id long, fp long"), "simhash")
+    with arrow_rows(docs.sparkSession, 1024):
+        rows = materialize(docs.mapInArrow(prints, "doc_id long, fp long"), "simhash")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     reached = materialize(connected_components(fuzzy_links(classes, bits)), "simhash-components")
     linked = classes.join(reached, classes.fp == reached.id).select("fp", "first", "component")
