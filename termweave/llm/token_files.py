@@ -37,7 +37,7 @@ from ..runtime import arrow_rows, materialize, new_path, pieces
 MAGIC = b"TWPACK01"
 BLOCK = 4096
 FILE_IDS = 8 << 20
-KEPT = 900_000
+KEPT = 1_600_000
 LONG_WORD = 64
 #: A space or line end that white space or the text's end follows.
 MEETING = (re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:\s|\Z)"))
@@ -130,22 +130,6 @@ class PackedFile:
 # --- encoding -----------------------------------------------------------------------------------------------
 
 
-class Words(dict):
-    """Ids by word; a word that isn't there gives None and is noted."""
-
-    def __init__(self, older: dict[str, bytes]) -> None:
-        super().__init__()
-        self.older, self.new = older, set()
-
-    def __missing__(self, word: str) -> bytes | None:
-        ids = self.older.get(word)
-        if ids is None:
-            self.new.add(word)
-        else:
-            self[word] = ids
-        return ids
-
-
 class LibraryEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each word met.
 
@@ -171,7 +155,8 @@ class LibraryEncoder:
         (line,) = self.library.encode("\n", add_special_tokens=False).ids
         self.begins[line] = True
         self.points = {p: self._ask([p])[0].tobytes() for p in ".,"}
-        self.words = Words({})
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _marked(self, text: str) -> bool:
         """Whether an added token is in a text; most texts don't even have its first letter."""
@@ -180,49 +165,56 @@ class LibraryEncoder:
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
+    def _learn(self, new: set[str]) -> None:
+        """Ask for the ids of new words."""
         words, points = self.words, self.points
-        new, ended = words.new, []
-        words.new = set()
-        for w in list(new):
-            if w[-1] in points and w[-2:-1] in LETTERS:
-                new.discard(w)
-                ended.append(w)
-                if words[w[:-1]] is None:
-                    new.add(w[:-1])
-        words.new.clear()
+        ended = [w for w in new if w[-1:] in points and w[-2:-1] in LETTERS]
+        if ended:
+            new.difference_update(ended)
+            new.update([w for w in [x[:-1] for x in ended] if w not in words])
         asked = list(new)
         for a in range(0, len(asked), 256):
             part = asked[a : a + 256]
-            ids = self._ask(["".join([w if w[0] == "\n" else " " + w for w in part])])[0]
+            ids = self._ask(["".join([w if w[:1] == "\n" else " " + w for w in part])])[0]
             ends = np.flatnonzero(self.begins[ids]) * 4
             if len(ends) != len(part):
                 raise ValueError("this vocabulary doesn't begin a piece at each space and line end")
             flat, ends = ids.tobytes(), ends.tolist()
             words.update(zip(part, [flat[x:y] for x, y in zip(ends, [*ends[1:], len(flat)], strict=True)], strict=True))
-        for w in ended:
-            words[w] = words[w[:-1]] + points[w[-1]]
+        words.update([(w, words[w[:-1]] + points[w[-1]]) for w in ended])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, four bytes each."""
         if len(self.words) > KEPT // 2:
-            self.words.older = {}
-            self.words = Words(self.words)
-        words = self.words
-        whole, split, found = [], [], []
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
+        whole, found = [], []
+        new: set[str] = set()
+        missing: list[tuple[list, list[str], int]] = []
         for x in texts:
             x = x or ""
             rest = [x] if MEETING[0].search(x) or MEETING[1].search(x) or self._marked(x) else x.replace("\n", " \n").split(" ")
             whole.append(rest.pop(0))
-            split.append(rest)
-            found.append(list(map(words.__getitem__, rest)))
-        long = [w for w in words.new if len(w) > LONG_WORD]
-        self._learn()
-        for rest, ids in zip(split, found, strict=True):
+            ids = list(map(words.get, rest))
             k = -1
-            for _ in range(ids.count(None)):
-                k = ids.index(None, k + 1)
-                ids[k] = words[rest[k]]
+            try:
+                while True:
+                    k = ids.index(None, k + 1)
+                    w = rest[k]
+                    known = older.get(w)
+                    if known is None:
+                        new.add(w)
+                        missing.append((ids, rest, k))
+                    else:
+                        ids[k] = words[w] = known
+            except ValueError:
+                pass
+                found.append(ids)
+        long = [w for w in new if len(w) > LONG_WORD]
+        if new:
+            self._learn(new)
+        for ids, rest, k in missing:
+            ids[k] = words[rest[k]]
         heads = self._ask(whole)
         marked = [k for k, x in enumerate(whole) if self._marked(x)]
         if marked:
