@@ -280,27 +280,3 @@ def test_groups_larger_than_a_piece(spark, monkeypatch):
     monkeypatch.setattr(sd, "PIECE", 16)
     got = spans()
     assert got == want and sum(map(bool, got.values())) == 599
-
-
-def test_large_buckets_lose_no_link(spark, monkeypatch):
-    """Variants in a row, of which only neighbours are similar, and strangers under the same key."""
-    rnd = random.Random(51)
-    base = words(rnd, 70)
-    docs = []
-    for k in range(60):
-        base[(k * 7) % 70] = f"edit{k}"
-        docs.append((k, " ".join(base)))
-    docs += [(100 + k, " ".join(words(rnd, 40) + base[:20])) for k in range(30)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    cut = lambda: {r["doc_id"]: r["spans"] for r in sd.repeated_spans(frame).collect()}
-    want = cut()
-    monkeypatch.setattr(sd, "BUCKET", 1)
-    assert cut() == want and sum(map(bool, want.values())) >= 59
-    rows = [(key, i, i, 66, [0] * sd.SKETCH) for key in (1, 2) for i in range(40)]
-    sets = {i: sorted(rnd.sample(range(i % 5 * 18, i % 5 * 18 + 26), 22)) for i in range(40)}  # within five ranges that overlap
-    monkeypatch.setattr(sd, "_sets", lambda *a: spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, set array<long>"))
-    rest = spark.createDataFrame(rows, "key long, id long, component long, size int, sketch array<long>")
-    found, _ = sd._across(None, rest, rest.selectExpr("id", "1L as doc_id", "1L as at"), 20, 0.8)
-    got = {(r["a"], r["b"]) for r in found.collect()}
-    similar = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
-    assert similar and similar <= got
