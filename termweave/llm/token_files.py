@@ -37,7 +37,7 @@ from ..runtime import arrow_rows, materialize, new_path, pieces
 MAGIC = b"TWPACK01"
 BLOCK = 4096
 FILE_IDS = 8 << 20
-KEPT = 1_600_000
+KEPT = 2_000_000
 LONG_WORD = 64
 #: A space or line end that white space or the text's end follows.
 MEETING = (re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:\s|\Z)"))
