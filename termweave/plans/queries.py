@@ -292,9 +292,10 @@ def tiered(spark, sf):
     return C.link(sayings(spark, sf), terms(spark, sf), sounds())
 
 
-@_query("tiered_candidates", "SELECT mention, entity, round(sim, 6) AS sim, match_type FROM tiered", f"{_SPOKEN}, {_TIERED}")
+@_query("tiered_candidates", "SELECT mention, coalesce(entity, '') AS entity, round(coalesce(sim, 0), 6) AS sim, match_type FROM tiered", f"{_SPOKEN}, {_TIERED}")
 def tiered_candidates(spark, sf):
-    return tiered(spark, sf).select("mention", "entity", F.round("sim", 6).alias("sim"), "match_type")
+    """A mention without candidates has an empty one at 0, of the tier it came to."""
+    return tiered(spark, sf).select("mention", F.coalesce("entity", F.lit("")).alias("entity"), F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("sim"), "match_type")
 
 
 def _ascii(x: str) -> str:

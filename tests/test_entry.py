@@ -64,5 +64,5 @@ def test_coherence_rank_takes_every_candidate(spark, tmp_path):
     }
     for name, frame in tables.items():
         frame.write.parquet(f"{tmp_path}/{name}.parquet")
-    won = {r["entity"] for r in __spark_entry__.queries()["coherence_rank"](spark, str(tmp_path)).where("mention = 'dcba'").collect()}
+    won = {r["entity"] for r in __spark_entry__.queries()["coherence_rank"](spark, str(tmp_path)).where("mention = 'dcba' and rank = 1").collect()}
     assert won == {"dcba"}
