@@ -119,7 +119,8 @@ def fuzzy_links(classes: DataFrame, bits: int = 3) -> DataFrame:
         raise ValueError("the key scheme covers up to 3 differing bits")
     asked, indexed = classes.select("fp").mapInArrow(_asked, "key long, a long"), classes.select("fp").mapInArrow(_indexed, "key long, b long")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return asked.join(indexed, "key").where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    # Spark takes both sides for as small as the classes they are made from and would broadcast one, through the driver
+    return asked.hint("merge").join(indexed, "key").where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 def group_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, bits: int = 3) -> DataFrame:

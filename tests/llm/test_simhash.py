@@ -6,6 +6,7 @@ import xxhash
 
 from termweave.llm import simhash
 from termweave.llm.components import connected_components
+from termweave.runtime import materialize
 
 
 def brute_fingerprint(text):
@@ -51,6 +52,13 @@ def test_golay_code_is_perfect():
         assert (near == asked[:, None]).any(1).all()
 
 
+def test_index_rows_are_not_broadcast(spark):
+    """A class has 43 index rows, which Spark's estimate from the classes leaves out."""
+    found = simhash.fuzzy_links(materialize(spark.createDataFrame([(f,) for f in range(8)], "fp long"), "test"))
+    assert found.count() == 28
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_links_are_all_pairs_within_three_bits(spark):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(40)]
