@@ -16,7 +16,7 @@ Long and deep pages take linear time: what is open is counted by scope, indents
 cell spans no more columns than the table's longest row has cells, and tables inside ``TABLES`` others are not aligned but flow as blocks.
 
 Defined cases: null and empty pages give an empty text; unclosed tags, comments and quotes never fail; a page whose tree can't be
-rendered for an error of this module gives its text without tags; repeated rows and extra columns pass through; an empty table gives an empty table.
+rendered for an error of this module gives its text without tags and says so in the column ``error``, or ends the job where there is none; repeated rows and extra columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from ..runtime import pieces
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+_NUMBER = re.compile(r"&#0*([0-9]+)")  # 8 digits are beyond any character
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 _CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"?|'(?:[^'\\\n]|\\.)*+'?|[{};]", re.S)
 _AT_RULE = re.compile(r"@([\w-]+)(.*)\Z", re.S)
@@ -73,6 +74,11 @@ TABLES = 16
 SPAN = 1000
 
 
+def _unescape(text: str) -> str:
+    """``html.unescape``, which fails on references of more digits than an integer may have."""
+    return html.unescape(_NUMBER.sub(lambda m: f"&#{m[1][:8]}", text) if "&#" in text else text)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -84,7 +90,7 @@ def _attributes(raw: str) -> dict[str, str]:
     out: dict[str, str] = {}
     if raw and not raw.isspace():
         for name, a, b, c in _ATTR.findall(raw):
-            out.setdefault(name.lower(), html.unescape(a or b or c))
+            out.setdefault(name.lower(), _unescape(a or b or c))
     return out
 
 
@@ -165,7 +171,7 @@ def build_tree(page: str) -> tuple[Node, list[str]]:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack.nodes[-1].children.append(html.unescape(text) if "&" in text else text)
+            stack.nodes[-1].children.append(_unescape(text) if "&" in text else text)
         if not m:
             return root, sheets
         at = m.end()
@@ -199,7 +205,7 @@ def build_tree(page: str) -> tuple[Node, list[str]]:
                 if _media(attrs.get("media", "")):
                     sheets.append(raw)
             elif tag in ("textarea", "title", "xmp", "plaintext"):
-                stack.nodes[-1].children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
+                stack.nodes[-1].children.append(_unescape(raw) if tag in ("textarea", "title") else raw)
             stack.pop()
             at = end.end() if end else len(page)
 
@@ -598,33 +604,46 @@ def page_text(page: str | None) -> str:
 
 def bare_text(page: str) -> str:
     """A page without its tags and comments, as a last resort."""
-    return _WHITE.sub(" ", html.unescape(_TOKEN.sub(" ", page))).strip()
+    return _WHITE.sub(" ", _unescape(_TOKEN.sub(" ", page))).strip()
 
 
-def safe_text(page: str | None) -> str:
-    """``page_text``, or ``bare_text`` of a page that it fails on: one page must not end a job over many."""
+def checked_text(page: str | None) -> tuple[str, str | None]:
+    """``page_text`` and null, or of a page that it fails on ``bare_text`` and the error. Want of memory is not the page's."""
     try:
-        return page_text(page)
-    except Exception:  # noqa: BLE001
-        return bare_text(page or "")
+        return page_text(page), None
+    except MemoryError:
+        raise
+    except Exception as e:  # noqa: BLE001
+        return bare_text(page or ""), f"{type(e).__name__}: {e}"
+
+
+def safe_text(page: str | None) -> str:
+    """The text of ``checked_text``."""
+    return checked_text(page)[0]
+
 
+def extract_text(pages: DataFrame, page: str = "html", text: str = "text", error: str | None = None) -> DataFrame:
+    """``pages`` with the column ``text`` in place of ``page``.
 
-def extract_text(pages: DataFrame, page: str = "html", text: str = "text") -> DataFrame:
-    """``pages`` with the column ``text`` in place of ``page``."""
+    With a column ``error``, null for every page that was rendered, one page does not end a job over many: it holds the error of
+    ``checked_text``. Without one, a page that fails does.
+    """
     at = pages.columns.index(page)
-    schema = T.StructType([*(f for f in pages.schema if f.name not in (page, text)), T.StructField(text, T.StringType())])
-    keep = [k for k, c in enumerate(pages.columns) if c not in (page, text)]
+    made = [text] if error is None else [text, error]
+    schema = T.StructType([*(f for f in pages.schema if f.name not in (page, *made)), *(T.StructField(c, T.StringType()) for c in made)])
+    keep = [k for k, c in enumerate(pages.columns) if c not in (page, *made)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
+            found = [checked_text(x) if error is not None else (page_text(x), None) for x in b.column(at).to_pylist()]
             # characters that UTF-8 can't hold come from numeric references
-            texts = [safe_text(x).encode("utf-8", "replace").decode() for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(texts, pa.string())], schema.names)
+            columns = [[None if x is None else x.encode("utf-8", "replace").decode() for x in c] for c in (zip(*found, strict=True) if found else ([], []))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(c, pa.string()) for c in columns[: len(made)])], schema.names)
 
     return pages.mapInArrow(run, schema)
 
 
 def text_lengths(pages: DataFrame) -> DataFrame:
-    """``extract_text`` with the number of characters and lines."""
-    done = extract_text(pages)
+    """``extract_text`` with its errors and the number of characters and lines."""
+    done = extract_text(pages, error="error")
     return done.withColumn("n_chars", F.length("text").cast("long")).withColumn("n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))

@@ -1,5 +1,8 @@
 from html.parser import HTMLParser
 
+import pyarrow as pa
+import pytest
+
 from termweave.llm.html_text import extract_text, page_text, text_lengths
 
 
@@ -139,6 +142,44 @@ def test_a_page_that_fails_gives_its_bare_text(spark, monkeypatch):
     assert html_text.safe_text("<p>a &amp; <b>b</b><!-- c -->\n<i>d") == "a & b d" and html_text.safe_text(None) == ""
 
 
+def test_a_page_that_fails_is_told_from_one_that_does_not(spark, monkeypatch):
+    from termweave.llm import html_text
+
+    class Here:
+        """A table whose functions run in this process, where they can be made to fail."""
+
+        columns, schema = ["page_id", "html"], spark.createDataFrame([], "page_id long, html string").schema
+
+        def mapInArrow(self, function, schema):
+            rows = pa.RecordBatch.from_pydict({"page_id": [1, 2], "html": ["<p>a<p>b", "<style>bad</style><p>a<p>b"]})
+            return [list(b.to_pydict().items()) for b in function(iter([rows]))]
+
+    whole = html_text.render
+
+    def render(root, sheets=None):
+        if "bad" in sheets:
+            raise KeyError("x")
+        return whole(root, sheets)
+
+    monkeypatch.setattr(html_text, "render", render)
+    assert extract_text(Here(), error="error") == [[("page_id", [1, 2]), ("text", ["a\n\nb", "bad a b"]), ("error", [None, "KeyError: 'x'"])]]
+    with pytest.raises(KeyError):
+        extract_text(Here())
+
+    def full(*a):
+        raise MemoryError
+
+    monkeypatch.setattr(html_text, "render", full)
+    with pytest.raises(MemoryError):
+        html_text.safe_text("<p>a")
+
+
+def test_long_numeric_references(spark):
+    texts = {"<p>a&#" + "9" * 5000 + ";b": "a\ufffdb", "<p>&#" + "0" * 5000 + "65;": "A", "<p>&#65;&#x42;&#0;&#;&#y": "AB\ufffd&#;&#y"}
+    rows = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+    assert [(r["text"], r["error"]) for r in text_lengths(rows).orderBy("page_id").collect()] == [(x, None) for x in texts.values()]
+
+
 def make_block(rnd, depth, inside_item=False):
     """A random block as (html, lines, margin), rendered from its structure without any parsing."""
     words = lambda: [rnd.choice(["alpha", "be", "c&d", "<x>", "long-word", "é中"]) for _ in range(rnd.randint(1, 4))]
