@@ -35,9 +35,12 @@ def star_pairs(items: DataFrame) -> DataFrame:
 
 
 def positional_pairs(items: DataFrame, ordered: bool = False) -> DataFrame:
-    """``a, b, n`` over places p < q of a record with repeats kept (pairs as a <= b), or over all p != q."""
+    """``a, b, n`` over places p < q of a record with repeats kept (pairs as a <= b), or over all p != q.
+
+    Written items are far smaller than they are in memory, so Spark must not choose to broadcast them by their files.
+    """
     x, y = items.select("record_id", F.col("slot").alias("p"), F.col("name").alias("x")), items.select("record_id", F.col("slot").alias("q"), F.col("name").alias("y"))
-    j = x.join(y, "record_id").where("p != q" if ordered else "p < q")
+    j = x.hint("merge").join(y, "record_id").where("p != q" if ordered else "p < q")
     a, b = (F.col("x"), F.col("y")) if ordered else (F.least("x", "y"), F.greatest("x", "y"))
     return j.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"))
 

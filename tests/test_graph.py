@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from termweave.operators import graph, iterate
+from termweave.runtime import materialize
 
 TOY = [("M", "A", 1.0), ("M", "C", 8.0), ("A", "C", 13.0), ("M", "B", 1.0)]
 
@@ -154,6 +155,39 @@ def test_vertices_and_training(spark):
     assert {r["name"]: r["popularity"] for r in pop.collect()} == pytest.approx({"a": 3 / 7, "b": 1 / 7, "c": 2 / 7, "d": 1 / 7})
 
 
+def test_items_are_not_broadcast_to_themselves(spark):
+    items = materialize(spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "record_id long, slot int, name string"), "test")
+    pairs = graph.positional_pairs(items, ordered=True)
+    assert pairs.count() == 2 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_records_are_solved_once(spark, monkeypatch):
+    said = spark.createDataFrame([(r, k, m) for r, record in enumerate(["xy", "yx", "xy", "x", "xy", "x", "xyx"]) for k, m in enumerate(record)], "record_id long, slot int, mention string")
+    sims = spark.createDataFrame([("x", "a", 0.5), ("x", "b", 0.5), ("y", "a", 0.6), ("y", "c", 0.7)], "mention string, entity string, sim double")
+    names = spark.createDataFrame([(x,) for x in "abcd"], "name string")
+    like = iterate.like_records(said, "slot", "mention").cache()
+    assert sorted(map(tuple, like.collect())) == [(0, 0), (1, 1), (2, 0), (3, 3), (4, 0), (5, 3), (6, 6)]
+    all_, first = (d.join(sims, "mention") for d in (said, said.join(like.where("record_id = like"), "record_id", "left_semi")))
+    want, got = iterate.train_network(all_, names, rounds=2), iterate.train_network(first, names, rounds=2, like=like)
+    for x, y, keys, value in zip(want, got, (("src", "dst"), ("name",)), ("weight", "popularity"), strict=True):
+        assert scores(x, *keys, value=value) == pytest.approx(scores(y, *keys, value=value)) != {}
+    pop = want[1]
+    ranked = iterate.collective_rank(iterate.candidate_vertices(all_, pop), want[0])
+    assert sorted(iterate.collective_rank(iterate.candidate_vertices(all_, pop), want[0], top=1).collect()) == sorted(ranked.where("rank = 1").collect())
+
+
+def test_walks_have_a_number_for_each_name():
+    rnd = np.random.default_rng(3)
+    weights, name = rnd.random((3, 3)) + 0.1, np.array([0, 1, 0, 2, 1, 0])
+    walks, own = iterate.Walks(name, weights, 0.2, 20), weights[np.ix_(name, name)] * (1 - np.eye(6))
+    plain = now = np.eye(6)
+    for _ in range(20):
+        now = 0.8 * (own / own.sum(1, keepdims=True)).T @ now + 0.2 * plain
+    got = walks.elsewhere(np.arange(3))
+    assert got.shape == (3, 3)  # of six vertices
+    assert got[np.ix_(name, name)][~np.eye(6, dtype=bool)] == pytest.approx(now[~np.eye(6, dtype=bool)])
+
+
 def test_classify_relate_and_triage(spark, toy):
     cand = spark.createDataFrame([("m", "A", 0.5), ("m", "B", 0.4), ("k", "A", 0.9), ("k", "Z", 0.2), ("s", "A", 1.0)], "mention string, entity string, sim double")
     near = spark.createDataFrame([("m", "C"), ("k", "C"), ("s", "C")], "mention string, entity string")
