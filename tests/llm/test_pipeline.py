@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline as cp
 
 from . import test_bpe, test_line_dedup, test_simhash
-from termweave.llm import quality
+from termweave.llm import quality, simhash
 
 
 def test_stages(spark, sf_dir):
@@ -48,3 +48,17 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
         assert {r["doc_id"] for r in left} <= {50, 51}
     for _, stage in cp.STAGES:  # each on what another did not clean
         stage(spark, odd, "").count()
+
+
+def test_third_stage_sends_no_index_rows_through_the_driver(spark, sf_dir, monkeypatch):
+    """A fingerprint has 43 index rows on average, which Spark's estimate leaves out; where it broadcasts them the driver's memory ends."""
+    plans, components = [], simhash.connected_components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", seen)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert dict(cp.STAGES)["simhash_near_dedup"](spark, docs, sf_dir).count() <= docs.count()
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
