@@ -474,33 +474,46 @@ def _collide(sent: DataFrame) -> DataFrame:
     return sent.repartition("key").sortWithinPartitions("key").mapInArrow(run, _MET)
 
 
+def _ranges(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of ``values`` that begin at ``first``, one after the other, and where each begins there."""
+    begin = np.cumsum(sizes) - sizes
+    return values[np.repeat(first - begin, sizes) + np.arange(int(sizes.sum()))], begin
+
+
+def _listed(values: np.ndarray, first: np.ndarray, sizes: np.ndarray, before: list, names: list[str], after: tuple = ()) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``PIECE`` listed values: columns ``before``, a list of each range of ``values``, columns ``after``."""
+    starts, _ = _groups((np.cumsum(sizes) - sizes) // PIECE)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(first)], strict=True):
+        flat, begin = _ranges(values, first[lo:hi], sizes[lo:hi])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(flat)), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in before), lists, *(c.slice(lo, hi - lo) for c in after)], names)
+
+
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``docs`` joined with ``places`` on doc_id; texts of documents that aren't named stay where they are, but for a few."""
     return maybe_in(docs, "doc_id", places.select("doc_id")).join(places, "doc_id")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """(id, set) of the paragraphs in ``wanted(id, doc_id, at)``, from whole texts."""
-    places = materialize(wanted.groupBy("doc_id").agg(F.collect_set("at").alias("at"), F.collect_set("id").alias("ids")), "passage-places")
+    """(id, set) of the paragraphs in ``wanted(id, doc_id, at)``, and by chance a few others, from whole texts.
+
+    Texts stay where they are: of the documents that may be wanted, all paragraphs pass a second bit map, of ids, and only sets travel.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            ids, sets = [], []
-            for text, at, some in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                lines, at, some = Lines(text or ""), set(at), set(some)
-                for a, n in lines.paragraphs(min_words):
-                    if a in at:
-                        grams = lines.shingles(a, n)
-                        h = paragraph_id(grams)
-                        if h in some:  # rows that repeat a doc_id may differ in their texts
-                            ids.append(h)
-                            sets.append(np.unique(grams).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
-
-    found = _texts(docs, places).select("text", "at", "ids").mapInArrow(run, "id long, set array<long>")
-    out = materialize(found.dropDuplicates(["id"]), "passage-sets")
-    forget(places)
-    return out
+            texts = Texts(b.column(0).to_pylist())
+            first, n = texts.paragraphs(min_words)
+            if not len(first):
+                continue
+            sizes = n - SHINGLE + 1
+            flat, begin = _ranges(texts.grams, first, sizes)
+            ids, one = np.unique(paragraph_ids(flat, begin).view(np.int64), return_index=True)
+            yield from _listed(flat.view(np.int64), begin[one], sizes[one], [pa.array(ids)], ["id", "set"])
+
+    found = maybe_in(docs, "doc_id", wanted.select("doc_id")).select("text").mapInArrow(run, "id long, set array<long>")
+    once = maybe_in(found, "id", wanted.select("id")).dropDuplicates(["id"])
+    return materialize(once.select("id", F.array_distinct("set").alias("set")), "passage-sets")
 
 
 def _may_link(threshold: float):
@@ -730,25 +743,50 @@ def _jobs(hits: DataFrame, cuts: DataFrame) -> DataFrame:
     return materialize(grouped.mapInArrow(run, _JOB), "passage-jobs")
 
 
-def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, low, high, words, total): 32 bits of the hash of each word low to high of a text of ``total`` words, for ``wanted(doc_id, low, high)``."""
-    places = materialize(wanted.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("places")), "passage-slice-places")
+_CUT_JOB = f"{_JOB}, low long, high long, first_low long, first_high long"
+_SLICE = f"{_CUT_JOB}, words array<int>, total long, own int"
+_CUT = (*_ENDS, "places", "first_places", "low", "high", "first_low", "first_high")
+
+
+def _slices(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """For the jobs in ``cut`` (``_CUT_JOB``) 32 bits of the hash of each word of their slices, and the ``total`` words of the text: ``_SLICE``.
+
+    ``own`` 1: a row for each job, with the words low to high of its document. 0: one for each different (first, first_low, first_high),
+    with those words of the earlier document; the other columns are null. So a job's own words needn't be brought to it afterwards.
+    """
+    own = cut.groupBy("doc_id").agg(F.collect_list(F.struct(*_CUT)).alias("own"))
+    theirs = cut.select(F.col("first").alias("doc_id"), F.col("first_low").alias("low"), F.col("first_high").alias("high")).distinct()
+    theirs = theirs.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("theirs"))
+    places = materialize(own.join(theirs, "doc_id", "full"), "passage-slice-places")
+    types = {c: pa.list_(pa.int32()) if c in ("places", "first_places") else pa.int64() for c in _CUT}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            ids, ends, totals, words = [], [], [], []
-            for i, text, places in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                said = (text or "").encode().split()
-                ids += [i] * len(places)
-                totals += [len(said)] * len(places)
-                ends += [(r["low"], r["high"]) for r in places]
-                words += [said[r["low"] : r["high"]] for r in places]
-            flat = word_hashes([w for x in words for w in x]).astype(np.uint32).view(np.int32)
-            cut = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
-            low, high = np.array(ends, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(low), pa.array(high), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(totals, pa.int64())], ["doc_id", "low", "high", "words", "total"])
-
-    out = materialize(_texts(docs, places).select("doc_id", "text", "places").mapInArrow(run, "doc_id long, low long, high long, words array<int>, total long"), "passage-slices")
+            said = [(t or "").encode().split() for t in b.column(1).to_pylist()]
+            total, found = np.array([len(x) for x in said], np.int64), []
+            least, most = total.copy(), np.zeros(len(said), np.int64)
+            for c in ("own", "theirs"):
+                marks = b.column(c).offsets.to_numpy()
+                jobs = b.column(c).values.slice(int(marks[0]), int(marks[-1] - marks[0]))
+                owner = np.repeat(np.arange(b.num_rows), np.diff(marks))
+                low, high = (np.minimum(jobs.field(e).to_numpy(), total[owner]) for e in ("low", "high"))
+                np.minimum.at(least, owner, low)
+                np.maximum.at(most, owner, high)
+                found.append((jobs, owner, low, high))
+            most = np.maximum(least, most)
+            flat = word_hashes([w for x, lo, hi in zip(said, least.tolist(), most.tolist(), strict=True) for w in x[lo:hi]]).astype(np.uint32).view(np.int32)
+            begin = np.cumsum(most - least) - (most - least) - least  # of each text, if its hashes began with its first word
+            for is_own, (jobs, owner, low, high) in zip((1, 0), found, strict=True):
+                if is_own:
+                    fixed = {c: jobs.field(c) for c in _CUT}
+                else:
+                    earlier = {"first": b.column(0).take(pa.array(owner)), "first_low": jobs.field("low"), "first_high": jobs.field("high")}
+                    fixed = {c: earlier[c] if c in earlier else pa.nulls(len(owner), types[c]) for c in _CUT}
+                ends = pa.array(total[owner]), pa.array(np.full(len(owner), is_own, np.int32))
+                if len(owner):
+                    yield from _listed(flat, begin[owner] + low, np.maximum(high - low, 0), list(fixed.values()), [*_CUT, "words", "total", "own"], ends)
+
+    out = materialize(_texts(docs, places).select("doc_id", "text", "own", "theirs").mapInArrow(run, _SLICE), "passage-slices", "own")
     forget(places)
     return out
 
@@ -784,10 +822,9 @@ def _aligned(docs: DataFrame, hits: DataFrame, cuts: DataFrame, threshold: float
         down, up = (lambda c: (F.floor(F.greatest(F.col(c) - around, F.lit(0)) / MARGIN) * MARGIN).cast("long")), (lambda c: (F.ceil((F.col(c) + around) / MARGIN) * MARGIN).cast("long"))  # noqa: B023
         cut = jobs.withColumns({"low": F.greatest(down("at"), F.col("floor")), "high": F.least(up("stop"), F.col("ceiling")), "first_low": down("first_at"), "first_high": up("first_stop")})
         cut = materialize(cut, "passage-cut-jobs")
-        both_ends = cut.select("doc_id", "low", "high").unionAll(cut.select("first", "first_low", "first_high")).distinct()
-        slices = _slices(docs, both_ends)
-        theirs = slices.toDF("first", "first_low", "first_high", "y", "first_total")
-        joined = cut.join(slices.withColumnRenamed("words", "x"), ["doc_id", "low", "high"]).join(theirs, ["first", "first_low", "first_high"])
+        slices = _slices(docs, cut)
+        theirs = slices.where("own = 0").select("first", "first_low", "first_high", F.col("words").alias("y"), F.col("total").alias("first_total"))
+        joined = slices.where("own = 1").drop("own").withColumnRenamed("words", "x").join(theirs, ["first", "first_low", "first_high"])
         step = materialize(joined.mapInArrow(run, f"{_JOB}, spans array<struct<at: bigint, n: bigint>>, again boolean"), "passage-aligned")
         spans = step.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.at", "s.n")
         for done in (cut, slices, *([jobs] if found is None else [])):

@@ -159,6 +159,21 @@ def test_sets_are_those_of_the_wanted_paragraphs(spark):
     assert sorted((r["id"], sorted(r["set"])) for r in got) == sorted({h: (h, known[a, h]) for h, _, a in wanted}.values())
 
 
+def test_slices_come_with_their_jobs(spark):
+    """A job's own words are in its row, whatever rows repeat a doc_id; each slice of an earlier document comes once; other texts don't come."""
+    rnd = random.Random(8)
+    texts = {k: words(rnd, 40 * k) for k in (1, 2, 3)}
+    docs = spark.createDataFrame([*((k, " ".join(t)) for k, t in texts.items()), (3, None), (9, "other")], "doc_id long, text string")
+    job = lambda i, first, low, high, first_low, first_high, seeds: (i, first, low, high, 0, 9, 0, sd.LAST, seeds, seeds, low, high, first_low, first_high)
+    jobs = [job(3, 1, 32, 64, 0, 32, [40]), job(3, 1, 64, 160, 0, 32, [70, 80]), job(2, 1, 0, 32, 0, 64, [3])]
+    got = sd._slices(docs, spark.createDataFrame(jobs, sd._CUT_JOB)).collect()
+    hashed = lambda k, a, b: sd.word_hashes([w.encode() for w in texts[k][a:b]]).astype(np.uint32).view(np.int32).tolist()
+    own = sorted((r["doc_id"], r["first"], r["low"], r["high"], r["places"], r["words"], r["total"]) for r in got if r["own"] == 1)
+    whole = [(j[0], j[1], j[2], j[3], j[8], hashed(j[0], j[2], j[3]), 40 * j[0]) for j in jobs]
+    assert own == sorted([*whole, *((*x[:5], [], 0) for x in whole if x[0] == 3)])
+    assert sorted((r["first"], r["first_low"], r["first_high"], r["words"], r["total"]) for r in got if r["own"] == 0) == [(1, 0, 32, hashed(1, 0, 32), 40), (1, 0, 64, hashed(1, 0, 64), 40)]
+
+
 def _inside(rnd, passages):
     """Documents of one line, each passage between words of its own."""
     return [(k, " ".join(words(rnd, rnd.randint(30, 60)) + p + words(rnd, rnd.randint(30, 60))), p) for k, p in enumerate(passages)]
