@@ -95,8 +95,13 @@ def log_network(items: DataFrame, names: DataFrame | None = None) -> tuple[DataF
 
     With ``names(name)``, a closed dictionary, its names without items count as 1 too.
     """
-    edges = positional_pairs(items, ordered=True).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.log(F.col("n") + F.lit(2)).alias("weight"))
-    said = items.select("name", F.lit(1).alias("c"))
+    return weigh_network(positional_pairs(items, ordered=True), items.select("name", F.lit(1).alias("c")), names)
+
+
+def weigh_network(pairs: DataFrame, counts: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``log_network`` from ``pairs(a, b, n)`` and ``counts(name, c)``, which are summed."""
+    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.log(F.col("n") + F.lit(2)).alias("weight"))
+    said = counts.select("name", "c")
     if names is not None:
         said = said.unionAll(names.select("name").distinct().select("name", F.lit(0)))
     counts = said.groupBy("name").agg((F.sum("c") + 1).alias("c"))

@@ -247,3 +247,34 @@ def test_default_steps_equal_plain_matrices(toy, spark):
     seeds = spark.createDataFrame([("M", "A", 0.5), ("M", "B", 0.6)], "i string, j string, v double")
     v = scores(iterate.seeded_simrank(toy, seeds), "i", "j")
     assert (v["M", "A"], v["M", "B"], v["M", "M"]) == pytest.approx((0.435962840, 0.159172506, 0.470478232), abs=1e-8)
+
+
+def test_records_of_mentions_train_as_their_candidates(spark, monkeypatch):
+    """Records travel as their mentions, once for all that say the same; candidates and networks beyond the bound go by joins, from the start or from a round on."""
+    said = spark.createDataFrame([(r, k, m) for r, record in enumerate(["xy", "yx", "xyz", "x", "zzy", "x", "xyx", "zw"]) for k, m in enumerate(record)], "record_id long, slot int, mention string")
+    sims = spark.createDataFrame([("x", "a", 0.5), ("x", "b", 0.5), ("y", "a", 0.6), ("y", "c", 0.7), ("z", "b", 0.7), ("z", "e", 0.69), ("z", "d", 0.69)], "mention string, entity string, sim double")
+    names = spark.createDataFrame([(x,) for x in "abcdf"], "name string")
+    want = iterate.train_network(said.join(sims, "mention"), names, rounds=2)
+    edges, popularity = scores(want[0], "src", "dst", value="weight"), scores(want[1], "name", value="popularity")
+    assert len(edges) >= 4 and len(popularity) >= 5
+    for bound in (iterate.NETWORK_ROWS, 8, 2):
+        monkeypatch.setattr(iterate, "NETWORK_ROWS", bound)
+        pairs = []
+        monkeypatch.setattr(iterate, "materialize", lambda df, name, *parts: pairs.append(name) or materialize(df, name, *parts))  # noqa: B023
+        got = iterate.train_network(sims, names, rounds=2, said=said)
+        assert scores(got[0], "src", "dst", value="weight") == pytest.approx(edges)
+        assert scores(got[1], "name", value="popularity") == pytest.approx(popularity)
+        assert ("train-pairs" in pairs, "train-records" in pairs) == (bound < 100, bound > 2)
+
+
+@pytest.mark.parametrize("kind", ["even", "uneven", "one way", "empty"])
+def test_records_are_solved_together_as_alone(kind):
+    rnd = np.random.default_rng(5)
+    weights = {"even": np.log(rnd.integers(900, 1500, (30, 30))), "empty": np.zeros((30, 30))}.get(kind, np.log(rnd.choice([2, 3, 50], (30, 30))))
+    weights = weights if kind == "one way" else np.triu(weights) + np.triu(weights, 1).T
+    record, home, name, score = (np.array(x) for x in zip(*((r, h, x, rnd.random()) for r in range(40) for h in range(r % 6 + 1) for x in rnd.permutation(30)[: 1 + r // 2]), strict=True))
+    got = iterate.rank_records(record, home, score, name, lambda r, k: weights[k[:, :, None], k[:, None, :]], 0.2, 20)
+    for r in range(40):
+        at = record == r
+        names, own = np.unique(name[at], return_inverse=True)
+        assert got[at] == pytest.approx(iterate.rank_record(home[at], score[at], iterate.Walks(own, weights[np.ix_(names, names)], 0.2, 20)), abs=1e-14)
